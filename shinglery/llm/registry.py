@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglery.llm import flac, licences, mixing, secrets
+from shinglery.llm import flac, licences, mixing, packing, secrets, topk
 from shinglery.llm.common import documents, map_texts
 
 
@@ -32,9 +32,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk.quantized(F.col("embedding")).alias("q")).where("q IS NOT NULL AND vec_id IS NOT NULL")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_flac_media, op5_mix_sources, op6_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op4_flac_media, op5_mix_sources, op6_secret_scan, op8_exact_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.sql()}
+    return {"op5_mix_sources": mixing.sql(), "op8_exact_topk": topk.sql()}
