@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglery.llm import flac, licences, mixing, packing, pii, secrets, topk, toxicity
+from shinglery.llm import flac, language_model, licences, mixing, packing, pii, secrets, topk, toxicity
 from shinglery.llm.common import documents, map_texts
 
 
@@ -25,6 +25,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "text"), model)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", language_model.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language_model.score(docs, language_model.fit(docs.where("NOT held_out")))
+
+
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_texts(documents(spark, sf_dir).select("doc_id", "text"), flac.digests, flac.DIGESTS, rows=1024)
 
@@ -52,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op4_flac_media, op5_mix_sources, op6_secret_scan, op7_toxicity, op8_exact_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_kneser_ney, op4_flac_media, op5_mix_sources, op6_secret_scan, op7_toxicity, op8_exact_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
