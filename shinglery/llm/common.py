@@ -59,18 +59,19 @@ def sha256_hex(text: str) -> str:
 def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema: dict[str, pa.DataType], text: str = "text", keep: list[str] | None = None, rows: int = 256) -> DataFrame:
     """Adds the columns that `fn` makes of the texts (null: empty), a few hundred rows at a time.
 
-    `keep` names the other columns to carry (all but the text, if None); fn's columns follow them.
+    `keep` names the columns to carry (all but the text, if None); fn's columns follow them, and win
+    where a name is taken.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
-    ddl = ", ".join([f"`{c}` {t}" for c, t in source.dtypes[:-1]] + [f"`{c}` {_ddl(t)}" for c, t in schema.items()])
-    n = len(keep)
+    keep = [c for c in (df.columns if keep is None else keep) if (c != text or keep) and c not in schema]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`")]))
+    ddl = ", ".join([f"`{c}` {t}" for c, t in source.dtypes[: len(keep)]] + [f"`{c}` {_ddl(t)}" for c, t in schema.items()])
+    n, at = len(keep), source.columns.index(text)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, rows):
                 part = b.slice(lo, rows)
-                made = fn([x or "" for x in part.column(n).to_pylist()])
+                made = fn([x or "" for x in part.column(at).to_pylist()])
                 cols = [pa.array(made[c], t) for c, t in schema.items()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], [*keep, *schema])
 
