@@ -8,10 +8,12 @@ cut into full pieces and a rest; equal rows get places of their own; an empty ta
 from __future__ import annotations
 
 import heapq
+import re
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,15 @@ from shinglery.llm.mixing import ranged, running
 # Ids a sequence holds, and the id that ends a document.
 LENGTH, END = 2048, 1
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+PUNCTUATION = string.punctuation
+BEYOND_LATIN = re.compile("[^\x00-\u024f]").search
+
+
+def _ids_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -31,30 +41,57 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: How byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from 256 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_CHARS = {b: b if b in _PLAIN else 256 + i for i, b in enumerate(_PLAIN + [b for b in range(256) if b not in _PLAIN], -len(_PLAIN))}
+
+
 class Words:
-    """Ids of texts. White space always ends a token of this vocabulary, so words are looked up one by one;
-    new ones go through the tokenizer in batches. Ids are kept as little-endian 32-bit bytes."""
+    """Ids of texts. White space always ends a token of this vocabulary, so words are looked up one by one.
+
+    A new word of Latin letters, with punctuation behind or not, is normalised and split here as the
+    tokenizer would, and its parts go to the tokenizer's model; other new words go through the whole
+    tokenizer. Ids are kept as little-endian 32-bit bytes, in generations of bounded size.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = self.parts[part] = _ids_bytes([t.id for t in self.model.tokenize(spelt)])
+        return ids
+
+    def _new(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii() or not BEYOND_LATIN(text):
+            low = text.lower()
+            letters = low.rstrip(PUNCTUATION)
+            if letters.isalpha():
+                return self._part(low) if len(letters) == len(low) else self._part(letters) + self._part(low[len(letters) :])
+            if not letters:
+                return self._part(low)
+        return _ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        young, old = self.young, self.old
-        new = {w for words in split for w in set(words) if w not in young}
-        young.update((w, old[w]) for w in new if w in old)
-        new = [w for w in new if w not in old]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            young[w] = np.array(e.ids, "<u4").tobytes()
-        end = END.to_bytes(4, "little")
-        out = [b"".join([young[w] for w in words]) + end for words in split]
-        if len(young) > REMEMBERED:
-            self.young, self.old = {}, young
+        end, out = END.to_bytes(4, "little"), []
+        for t in texts:
+            young, words = self.young, t.encode("utf-8", "replace").split()
+            for w in words:
+                if w not in young:
+                    young[w] = self.old.get(w) or self._new(w)
+            out.append(b"".join([young[w] for w in words]) + end)
+            if len(young) > REMEMBERED:
+                self.young, self.old, self.parts = {}, young, {}
         return out
 
 
