@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, only the columns that fingerprints need."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """The documents table, only the columns that fingerprints need; dealt out if its files are too few."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def unpack(buffer: bytes, ends: list[int]) -> list[tuple[int, bytes]]:
