@@ -11,13 +11,14 @@ from shinglery.llm.common import written
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links the neighbours of each node to the least of them and the node itself.
 
-    large: those above the node; else those below it, and the node. Minima are aggregated before the
-    join, so that a hub's edges are a skewed join at most.
+    large: those above the node; else those below it, and the node. Minima are aggregated and written
+    before the join: between two plain exchanges a hub's edges are a skewed join, which adaptive
+    execution splits, while an aggregate under the join would bind it to the node's partition.
     """
     seen = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     if large:
         seen = seen.unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    least = written(seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "minima")
     met = seen.join(least, F.col("u") == F.col("n"))
     out = met.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")) if large else met.select("m", F.explode(F.array("u", "v")).alias("b")).select(F.col("m").alias("a"), "b")
     return out.where("a <> b").distinct()

@@ -188,11 +188,12 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     """`(a, b)`: a spanning forest of the pairs that pruning leaves, per pair of blocks of each bucket.
 
     Buckets are grouped by key alone first; signatures are joined only to rows of buckets of two and more.
+    Sizes of groups are written before a join here and below, so that a skewed join can be split.
     """
     words = [F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS) for i in range(BANDS)]
     keys = F.array(*[F.xxhash64(F.lit(i), w) for i, w in enumerate(words)])
     rows = classes.where("n_shingles > 0").select("node", F.posexplode(keys).alias("band", "bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("bucket", "full")
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("bucket", "full"), "buckets")
     met = rows.join(sizes, F.col("bucket") == F.col("full")).select("node", "band", "bucket", "size")
     sigs = classes.select(F.col("node").alias("sig_node"), "sig")
     work = blocked(met, ["bucket"], "size", BUCKET).join(sigs, F.col("node") == F.col("sig_node")).drop("sig_node")
@@ -277,7 +278,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     first = F.min(F.struct(F.col(key).isNull(), F.col(key), "text_hash"))
     classes = written(rows.groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     near = components(candidate_links(classes))
-    sized = near.join(near.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "sized"), F.col("root") == F.col("sized")).drop("sized")
+    sizes = written(near.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "sized"), "sizes")
+    sized = near.join(sizes, F.col("root") == F.col("sized")).drop("sized")
     names = classes.select(F.col("node").alias("own_node"), F.col(f"first.{key}").alias("first_key"), F.col("first.text_hash").alias("first_hash"), "copies")
     wanted = sized.join(names, F.col("node") == F.col("own_node")).drop("own_node").hint("shuffle_hash")
     texts = docs.select(F.col(key).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -289,7 +291,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     own = classes.select("node", F.col(f"first.{key}").alias("rep_id"), F.col("first.text_hash").alias("rep_hash"), "copies")
     own = own.join(roots, F.col("node") == F.col("linked"), "left").join(counts, F.col("node") == F.col("counted"), "left")
     own = written(own.select("node", "rep_id", "rep_hash", "copies", F.coalesce("root", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links")), "nodes")
-    least = own.groupBy("group").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "rep_hash")).alias("least")).withColumnRenamed("group", "grouped")
+    least = own.groupBy("group").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "rep_hash")).alias("least"))
+    least = written(least.withColumnRenamed("group", "grouped"), "least")
     final = written(own.join(least, F.col("group") == F.col("grouped")).select(F.col("node").alias("final"), F.col("least.rep_id").alias("class_id"), F.col("least.rep_hash").alias("class_hash"), "rep_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "final")
     out = rows.select(key, "node", "n_shingles", "text_hash").join(final, F.col("node") == F.col("final"))
     return out.select(key, "class_id", "rep_id", "n_links", "n_shingles", "text_hash", "class_hash")
