@@ -25,15 +25,16 @@ from shinglery.llm.common import map_texts, sha256_hex, spans_text
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base pattern; as a match ends with its digits, looking behind changes none and keeps long runs linear.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-#: Generators of further candidates: kind, a cheap test of the text, a pattern.
+#: Generators of further candidates: kind, a cheap test of the text, a pattern that starts at the start of a run.
 GENERATORS = (
-    ("email", lambda t: "@" in t, re.compile(r"[\w.%+-]+ ?@ ?[\w-]+(?: ?\. ?[\w-]+)+")),
-    ("email", lambda t: "(at)" in t or "[at]" in t or " dot " in t, re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")),
+    ("email", lambda t: "@" in t, re.compile(r"(?<![\w.%+-])[\w.%+-]+ ?@ ?[\w-]+(?: ?\. ?[\w-]+)+")),
+    ("email", lambda t: "(at)" in t or "[at]" in t or " dot " in t, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")),
     ("ip", lambda t: t.count(":") > 2, re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7}(?![\w:])")),
     ("phone", lambda t: True, re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}[0-9]{2,5}){2,4}(?![\w-])")),
     ("card", lambda t: True, re.compile(r"(?<![\w.-])[0-9]{4}(?:[ ._-]?[0-9]{4}){2}[ ._-]?[0-9]{1,7}(?![\w-])")),
@@ -171,14 +172,19 @@ class Judge:
 
     def further(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Accepted candidates that overlap neither `taken` nor better ones."""
-        found = candidates(text)
-        free = [c for c in found if not any(s < c[2] and c[1] < e for _, s, e in taken)]
+        if not (found := candidates(text)):
+            return []
+        covered = bytearray(len(text))
+        for _, s, e in taken:
+            covered[s:e] = b"\1" * (e - s)
+        free = [c for c in found if covered.find(1, c[1], c[2]) < 0]
         if not free:
             return []
         p = self.trees.probability(np.array([features(text, *c) for c in free]))
         out: list[tuple[str, int, int]] = []
         for q, c in sorted(zip(p, free, strict=True), key=lambda x: (-x[0], x[1][1], x[1][2])):
-            if q >= self.thresholds[c[0]] and not any(s < c[2] and c[1] < e for _, s, e in out):
+            if q >= self.thresholds[c[0]] and covered.find(1, c[1], c[2]) < 0:
+                covered[c[1] : c[2]] = b"\1" * (c[2] - c[1])
                 out.append(c)
         return out
 

@@ -69,6 +69,10 @@ def test_personal_data():
     for _ in range(3000):
         t = "".join(rng.choice("a1.@-% é") for _ in range(rng.randrange(30)))
         assert [s[1:] for s in pii.base_spans(t) if s[0] == "email"] == [m.span() for m in plain.finditer(t)]
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        t = "".join(rng.choice("1223..a") for _ in range(rng.randrange(30)))
+        assert [s[1:] for s in pii.base_spans(t) if s[0] == "ip"] == [m.span() for m in plain.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
     t = "mail a.b@c.de, 1.2.3.4 or 300.1.1.1, 4111 1111 1111 1111, +1 (555) 123-4567"
     assert [(k, t[a:b]) for k, a, b in pii.base_spans(t)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567")]
     judge, rng = pii.judge(), random.Random(99)
@@ -77,6 +81,15 @@ def test_personal_data():
     assert pii.redacted("a x@y.zz b", [("email", 2, 8), ("phone", 4, 6)]) == "a [EMAIL] b"
 
 
+@pytest.mark.parametrize("part", ["a", "1", "1.", "@a", "a:", "eyJ", "+1 ", "token ", "12 34 ", "(", "ab@c.de ", "4111 1111 1111 1111, ", "call (555) 123-4567 "])
+def test_long_runs_take_linear_time(part):
+    n = 300_000
+    text = f"licensed under {part * (n // len(part))} @ (at) :// x@y.zz secret=abcdef"
+    assert ("email", len(text) - 20, len(text) - 14) in pii.find(text, pii.judge())[1]
+    assert secrets.scan(text)[-1] == ("assign", len(text) - 13, len(text))
+    assert licences.scan(text)["n_words"] >= 4
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 3))
