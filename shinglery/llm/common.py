@@ -78,6 +78,12 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema:
     return source.mapInArrow(mapped, ddl)
 
 
+def numbered(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """The columns under names `col_0`, `col_1`, ..., which no operator's own columns bear, and the text's."""
+    names = [f"col_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names[df.columns.index(text)]
+
+
 def _ddl(t: pa.DataType) -> str:
     if pa.types.is_list(t):
         return f"array<{_ddl(t.value_type)}>"

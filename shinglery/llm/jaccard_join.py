@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import map_texts, written
+from shinglery.llm.common import map_texts, numbered, written
 from shinglery.llm.components import components
 from shinglery.llm.licences import LOWER, WORDS
 
@@ -303,6 +303,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = jaccard_join(docs, key, text)
     stay = found.where(F.col(key).eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))
     stay = stay.select(F.col(key).alias("stay_key"), F.col("text_hash").alias("stay_hash")).distinct().hint("shuffle_hash")
-    own = docs.withColumn("own_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = own.join(stay, F.col(key).eqNullSafe(F.col("stay_key")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
-    return kept.dropDuplicates([key, "own_hash"]).select(*docs.columns)
+    own, own_text = numbered(docs, text)
+    own_key = own.columns[docs.columns.index(key)]
+    own = own.withColumn("own_hash", F.xxhash64(F.coalesce(F.col(own_text), F.lit(""))))
+    kept = own.join(stay, F.col(own_key).eqNullSafe(F.col("stay_key")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
+    return kept.dropDuplicates([own_key, "own_hash"]).drop("own_hash").toDF(*docs.columns)
