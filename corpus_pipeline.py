@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shinglery.llm import jaccard_join, mixing, packing, pii, toxicity
-from shinglery.llm.common import written
+from shinglery.llm.common import numbered, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field does not reject; null and empty texts stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    own, text = numbered(docs)
+    return toxicity.score(own, model, text, own.columns).where("predicted = 0").select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +24,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kind's name in brackets in place of each span; null stays null."""
-    text = F.when(F.col("text").isNotNull(), F.col("pii_text"))
-    own = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return pii.redact(docs).select(*own)
+    own, text = numbered(docs)
+    clean = F.when(F.col(text).isNotNull(), F.col("pii_text"))
+    new = {"text": clean, "n_chars": F.length(clean).cast("long")}
+    return pii.redact(own, text).select(*[new.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, own.columns, strict=True)])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each epoch of a document that the mix takes, the last cut at the source's budget."""
-    rows = mixing.take(mixing.mix(docs, mixing.word_count(F.col("text"))))
-    return rows.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    own, text = numbered(docs)
+    named = dict(zip(docs.columns, own.columns, strict=True))
+    rows = mixing.take(mixing.mix(own, mixing.word_count(F.col(text)), named["source"], named["doc_id"]), text)
+    return rows.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(n).alias(c) for c, n in named.items()])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
