@@ -254,3 +254,18 @@ def test_pipeline_stages(spark):
     assert clean.count() == twice.count() and clean.where(F.col("text").rlike(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+@")).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "packing"]
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["score", "predicted", "toxic_spans", "pii_text", "own_hash", "stay_key", "node", "sig", "text_hash", "class_id", "root", "size", "toxic_key", "col_0", "mix_size", "a.b"]
+    rows = [(i, t, 7 if t is None else len(t), "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(["x a@b.cc y", "x a@b.cc y", None, ""])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars long", "source string", *[f"`{n}` string" for n in names]]))
+    got = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, got, SF)
+        assert got.columns == docs.columns
+    mixed = corpus_pipeline.mixed(spark, got, SF)
+    assert mixed.columns == docs.columns and {r.mix_size for r in mixed.collect()} == {"mix_size0"}
+    clean = {0: ("x [EMAIL] y", 11), 2: (None, None)}
+    assert sorted(tuple(r) for r in got.collect()) == [(r[0], *clean[r[0]], *r[3:]) for r in rows if r[0] in clean]
+    assert corpus_pipeline.packed(spark, docs, SF).count() == 4
