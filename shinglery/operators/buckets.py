@@ -42,7 +42,13 @@ def lane_buckets(signatures: DataFrame, params: MinHashParams, key: str = "doc_i
     return wide.select(key, F.posexplode("buckets").alias("lane", "bucket")).select(key, F.col("lane").cast("long").alias("lane"), "bucket")
 
 
-def lane_matrix(buckets: DataFrame, keys: list, key: str = "doc_id") -> DataFrame:
-    """Lanes as rows and the named documents as columns `d<key>`; the keys are given, never collected."""
-    firsts = [F.min(F.when(F.col(key) == k, F.col("bucket"))).alias(f"d{k}") for k in keys]
-    return buckets.where(F.col(key).isin(keys)).groupBy("lane").agg(*firsts)
+def lane_matrix(buckets: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
+    """`(tile, lane, d0, d1, ...)`: lanes as rows and documents as columns, `width` documents to a tile.
+
+    The document of key `tile * width + j` is column j of its tile, so that all documents show and no row
+    grows with them. Columns of keys that do not occur are null; a repeated key shows its least bucket.
+    """
+    place = F.pmod(F.col(key), F.lit(width))
+    firsts = [F.min(F.when(place == j, F.col("bucket"))).alias(f"d{j}") for j in range(width)]
+    tile = F.floor((F.col(key) - place) / width).cast("long")
+    return buckets.groupBy(tile.alias("tile"), "lane").agg(*firsts)

@@ -12,9 +12,9 @@ from shinglery.sources import synthetic
 from shinglery.sources.corpus import read_documents
 
 P = MinHashParams()
-#: The documents whose buckets the lane matrix shows as columns: a display of a few, as columns are.
-SHOWN = (0, 1, 2, 3)
-WORD, WORD_SEED, SYNTHETIC = 13, 0x9747B28C, 100_000
+#: Documents side by side in a tile of the lane matrix.
+TILE = 8
+WHOLE_SEED, SYNTHETIC = 0x9747B28C, 100_000
 TWO32 = 1 << 32
 
 
@@ -23,11 +23,6 @@ def _signature_hashes(spark, d):
     return signature.signature_long(signature.signature_from_hashes(hs, P))
 
 
-def _any_length(spark, d):
-    docs = read_documents(spark, d).select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, WORD).alias("text"))
-    return shingles.whole_hash(docs, WORD_SEED)
-
-
 QUERIES = {
     "shingle_count": lambda s, d: shingles.shingle_count(read_documents(s, d), P.k),
     "shingle_hash": lambda s, d: shingles.shingle_long(read_documents(s, d), P),
@@ -37,8 +32,8 @@ QUERIES = {
     "minhash_native": lambda s, d: signature.signature_long(signature.signature_native(read_documents(s, d), P)),
     "lane_buckets": lambda s, d: buckets.lane_buckets(signature.signature(read_documents(s, d), P), P),
     "pipeline_buckets": lambda s, d: minhash_pipeline(read_documents(s, d), P),
-    "lane_matrix": lambda s, d: buckets.lane_matrix(minhash_pipeline(read_documents(s, d), P), list(SHOWN)),
-    "murmur3_any_length": _any_length,
+    "lane_matrix": lambda s, d: buckets.lane_matrix(minhash_pipeline(read_documents(s, d), P), TILE),
+    "murmur3_any_length": lambda s, d: shingles.whole_hash(read_documents(s, d), WHOLE_SEED),
     "synthetic_text": lambda s, d: synthetic.synthetic_text(s, SYNTHETIC),
     "synthetic_offsets": lambda s, d: synthetic.synthetic_ends(s, SYNTHETIC // 200, SYNTHETIC - 1),
     "synthetic_hashes": lambda s, d: synthetic.synthetic_hashes(s, SYNTHETIC),
@@ -105,21 +100,24 @@ def _buckets() -> str:
 
 
 def _any_length_sql() -> str:
-    base = f"docs AS (SELECT doc_id, hex(encode(text)[1:{WORD}]) AS hx FROM documents WHERE text IS NOT NULL),\nsized AS (SELECT doc_id, hx, (length(hx) // 2)::BIGINT AS len FROM docs)"
-    parts, picks = [base], []
-    for n in range(WORD + 1):
-        parts.append(f"l{n} AS (SELECT doc_id, hx FROM sized WHERE len = {n})")
-        words = [_little(f"substr(hx, {8 * i + 1}, 8)", 4) for i in range(n // 4)]
-        tail = _little(f"substr(hx, {8 * (n // 4) + 1})", n % 4) if n % 4 else "0"
-        parts.append(_murmur(f"l{n}", words, tail, str(n), WORD_SEED, "doc_id", f"r{n}"))
-        picks.append(f"SELECT doc_id, h FROM r{n}")
-    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(picks)
+    u = lambda x: f"{x}::UBIGINT"
+    rotated = lambda x, r: f"((({x} << {r}) | ({x} >> {32 - r})) % {u(TWO32)})"
+    mixed = lambda words: f"list_transform(list_transform({words}, lambda w: (w * {u(C1)}) % {u(TWO32)}), lambda x: ({rotated('x', 15)} * {u(C2)}) % {u(TWO32)})"
+    whole = f"list_transform(list_transform(range(n // 4), lambda i: hex(b[4 * i + 1:4 * i + 4])), lambda v: {_little('v', 4)})"
+    tail = f"list_transform([rpad(hex(b[n - n % 4 + 1:n]), 8, '0')], lambda v: {_little('v', 4)})"
+    step = f"({rotated('xor(h, x)', 13)} * {u(STEP_MUL)} + {u(STEP_ADD)}) % {u(TWO32)}"
+    return f"""WITH docs AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
+words AS (SELECT doc_id, n, {mixed(whole)} AS ws, {mixed(tail)}[1] AS t FROM docs),
+folded AS (SELECT doc_id, xor(xor(list_reduce(ws, lambda h, x: {step}, {u(WHOLE_SEED)}), t), {u('n')}) AS s FROM words),
+one AS (SELECT doc_id, (xor(s, s >> 16) * {u(FINAL_1)}) % {u(TWO32)} AS s FROM folded),
+two AS (SELECT doc_id, (xor(s, s >> 13) * {u(FINAL_2)}) % {u(TWO32)} AS s FROM one)
+SELECT doc_id, xor(s, s >> 16)::BIGINT AS h FROM two"""
 
 
 def oracle() -> dict[str, str]:
     sig = _signatures() + "\nSELECT doc_id, fn, minhash FROM sigs"
     bks = _buckets() + "\nSELECT doc_id, lane, h AS bucket FROM bks"
-    shown = ", ".join(f"min(CASE WHEN doc_id = {k} THEN h END) AS d{k}" for k in SHOWN)
+    shown = ", ".join(f"min(CASE WHEN doc_id % {TILE} = {k} THEN h END) AS d{k}" for k in range(TILE))
     return {
         "shingle_count": f"SELECT doc_id, greatest(octet_length(encode(text)) - {P.k - 1}, 0)::BIGINT AS shingles FROM documents WHERE text IS NOT NULL",
         "shingle_hash": _shingles(P.k) + "\nSELECT doc_id, pos, h FROM shs",
@@ -129,7 +127,7 @@ def oracle() -> dict[str, str]:
         "minhash_native": sig,
         "lane_buckets": bks,
         "pipeline_buckets": bks,
-        "lane_matrix": _buckets() + f"\nSELECT lane, {shown} FROM bks WHERE doc_id IN {SHOWN} GROUP BY lane",
+        "lane_matrix": _buckets() + f"\nSELECT doc_id // {TILE} AS tile, lane, {shown} FROM bks GROUP BY doc_id // {TILE}, lane",
         "murmur3_any_length": _any_length_sql(),
         "synthetic_text": f"SELECT i, (i * i + i) % 256 AS byte FROM range({SYNTHETIC}) t(i)",
         "synthetic_offsets": f"SELECT i AS doc, least((i + 1) * 200, {SYNTHETIC - 1}) AS \"end\" FROM range({SYNTHETIC // 200}) t(i)",

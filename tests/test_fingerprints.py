@@ -51,8 +51,9 @@ def test_goldens_and_equal_documents(spark):
     assert len(got) == 4 and len({tuple(sorted(x.items())) for x in got.values()}) == 1
     assert [got[0][i] for i in (0, 1, 2, 3, 63)] == [2237701599, 2420324450, 3115614174, 3292967098, 2638199825]
     assert sum(got[0].values()) == 156001681644
-    m = buckets.lane_matrix(minhash_pipeline(docs, P), [0, 3])
-    assert m.count() == 64 and m.where("d0 != d3").count() == 0
+    assert buckets.lane_matrix(minhash_pipeline(docs, P), 4).where("tile = 0 AND d0 = d3").count() == 64
+    wide = buckets.lane_matrix(minhash_pipeline(docs, P), 3)
+    assert wide.count() == 128 and wide.where("tile = 1 AND d0 IS NOT NULL AND d1 IS NULL").count() == 64
 
 
 def test_short_empty_null(spark):
