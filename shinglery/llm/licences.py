@@ -120,7 +120,7 @@ def read_expression(text: str, at: int) -> tuple[list[str], list[str]]:
     Only `and`, `or`, `with` and brackets carry an expression over a further operand.
     """
     at = HEAD.match(text, at).end()
-    tokens, best, depth, operand = [], [], 0, False
+    tokens, whole, depth, operand = [], 0, 0, False
     while m := TOKEN.match(text, at):
         t = m[1].rstrip(".") if m[1] not in "()" else m[1]
         word = t not in ("(", ")") and t.lower() not in PRECEDENCE
@@ -131,9 +131,10 @@ def read_expression(text: str, at: int) -> tuple[list[str], list[str]]:
         operand = word or t == ")"
         at = m.end()
         if operand and not depth:
-            best = tokens[:]
+            whole = len(tokens)
         if word and m[1].endswith("."):
             break
+    best = tokens[:whole]
     after_with = {i + 1 for i, t in enumerate(best) if t.lower() == "with"}
     return best, [t.lower() for i, t in enumerate(best) if t not in "()" and t.lower() not in PRECEDENCE and i not in after_with]
 

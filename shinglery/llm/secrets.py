@@ -29,7 +29,7 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 #: Further kinds: a text that every match holds, and the pattern.
 FURTHER = {
     "pem": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
-    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")),
+    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")),
     "vcs": ("gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{30,}")),
     "chat": ("xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     "cloud": ("AIza", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
