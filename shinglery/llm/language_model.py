@@ -2,8 +2,8 @@
 hash arrays in the shared folder and memory-mapped by the workers that score.
 
 Counting: each task turns its texts into word hashes, counts its distinct bigrams in numpy and deals them out
-by context in blocks of bytes; bigrams of the most frequent contexts, found on a bounded sample, are dealt out
-by bigram, so that no context fills a task (the sample only balances work, it changes no count). A part
+by context in blocks of bytes; bigrams of the most frequent contexts, found on a random share of all rows, are
+dealt out by bigram, so that no context fills a task (the share only balances work, it changes no count). A part
 merges its blocks, writes its bigram array and passes on what its words contribute; a second shuffle merges
 words. Hashes have 48 bits for words and 64 for bigrams.
 
@@ -32,10 +32,10 @@ ADDED = 0.1
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M48 = (1 << 48) - 1
 START, END = (xxhash.xxh3_64_intdigest(x) & M48 for x in (b"\n<s>", b"\n</s>"))
-#: Tokens that a task counts at once, bigrams meant for a part, words that a worker remembers.
-FLUSH, PART, REMEMBERED = 3_000_000, 1_000_000, 300_000
-#: Documents in the sample that finds frequent contexts, and how many contexts are dealt out by bigram.
-SAMPLE, FREQUENT = 400, 256
+#: Tokens that a task counts at once, bytes of text meant for a part, words that a worker remembers.
+FLUSH, PART, REMEMBERED = 3_000_000, 6_400_000, 300_000
+#: The share of rows in which frequent contexts are sought, and how many contexts are dealt out by bigram.
+SHARE, FREQUENT = 0.02, 256
 #: What the model stores of a word: occurrences, distinct words before it, occurrences as a context, and
 #: distinct words after it that occur once, twice, more often.
 WORD = ("count", "before", "total", "once", "twice", "more")
@@ -231,6 +231,21 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def frequent_words(source: DataFrame) -> np.ndarray:
+    """Hashes of the start symbol and of the words that are most frequent in a random share of the texts."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = Hashes(), Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                n.update(hashes.of(t))
+        top = n.most_common(4 * FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in top], pa.int64()) for i in (0, 1)], ["word", "n"])
+
+    counts = source.where(F.rand(11) < SHARE).mapInArrow(listed, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.array([START, *[r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]], np.uint64)
+
+
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Counts all of `docs`; the bigrams of a part and its words meet in one task, nothing at the driver."""
     spark = docs.sparkSession
@@ -238,13 +253,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     fs, path = file_system(uri)
     fs.create_dir(path, recursive=True)
     source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample, seen, tokens = Counter(), 0, 0
-    for r in source.limit(SAMPLE).collect():
-        seen, own = seen + 1, Hashes().of(r[0])
-        tokens += len(own)
-        sample.update(own)
-    parts = max(1, round(source.count() * tokens / max(seen, 1) / PART))
-    frequent = np.array([START, *[h for h, _ in sample.most_common(FREQUENT)]], np.uint64)
+    parts = max(1, round((source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART))
+    frequent = frequent_words(source)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
