@@ -121,5 +121,3 @@ SELECT doc_id, size, s AS source_size, target, (e * size + greatest(0, least(siz
 def slim(docs: DataFrame) -> DataFrame:
     """What a mix needs of the documents; the text is read once, for its size."""
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-
-

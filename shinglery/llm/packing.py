@@ -33,8 +33,6 @@ def _ids_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-
-
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
