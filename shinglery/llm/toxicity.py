@@ -3,8 +3,11 @@ document scores and offending offsets.
 
 Tokens are labelled from documents: a word, or a beginning of words, that is significantly more frequent in
 toxic than in clean training documents is a sign, and toxic where it stands in a toxic one. The field has a
-weight for each sign, a weight for all other tokens, and transitions. Documents are scored by a logistic function of the marginals' sum and
-maximum, fitted on the training documents. Training takes a bounded sample, see TRAIN_DOCS and TRAIN_CHARS.
+weight for each sign, a weight for all other tokens, and transitions. Documents are scored by a logistic
+function of the best stretch of text (its marginals' sum above a rate between clean and toxic documents') and
+the highest marginal, fitted on the training documents, so that scattered chance hits do not add up with length
+and a toxic passage counts in a text of any length. Training takes a sample of documents of all lengths,
+bounded in number and in all characters, see TRAIN_DOCS and TRAIN_CHARS.
 
 Defined cases: null and empty texts score as a document without toxic tokens; without labels every score is
 0; a label of a missing document is ignored; repeated rows are scored alike; other columns are kept.
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 
 from shinglery.llm.common import map_texts
 
-#: At most so many labelled documents of each label, of at most so many characters, are learned from.
+#: At most so many labelled documents of each label, of at most so many characters on average, are learned from.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 8_000
+#: The field is fitted on chains of at most so many tokens; longer documents are several.
+CHAIN = 1024
 #: A word counts as a sign from this log-likelihood ratio and number of toxic documents on.
 SIGNIFICANT, LEAST_DOCS = 15.0, 5
 #: Share of toxic documents, at equal numbers of both, among those that hold a sign.
@@ -169,18 +174,21 @@ class Field:
 
 
 class Model:
-    """A field, and the logistic function of (log(1 + sum of marginals), highest marginal)."""
+    """A field, and the logistic function of (log(1 + best stretch), highest marginal)."""
 
     def __init__(self, texts: list[str], toxic: list[int]):
         split = [tokens(t) for t in texts]
-        self.field, self.weights, self.window = Field({}), None, 32
+        self.field, self.weights, self.window, self.cost = Field({}), None, 32, 0.0
         if not texts or len(set(toxic)) < 2:
             self.share = float(np.mean(toxic)) if toxic else 0.0
             return
         self.field = Field(signs([set(s) for s in split], toxic))
         ids = [np.array(self.field.ids(s), np.int64) for s in split]
-        self.field.fit(ids, [(x > 0) * np.int64(y) for x, y in zip(ids, toxic, strict=True)])
-        x = np.array([self._summary(self._tag(s)) for s in split])
+        chains = [(x[i : i + CHAIN], y) for x, y in zip(ids, toxic, strict=True) for i in range(0, x.size, CHAIN)]
+        self.field.fit([x for x, _ in chains], [(x > 0) * np.int64(y) for x, y in chains])
+        tagged = [self._tag(s) for s in split]
+        self.cost = self._rate(tagged, [len(s) for s in split], toxic)
+        x = np.array([self._summary(t) for t in tagged])
         self.weights = _logistic(np.c_[x, np.ones(len(x))], np.array(toxic, float))
 
     def _tag(self, words: list[str]) -> list[tuple[int, float]]:
@@ -203,8 +211,23 @@ class Model:
         return out
 
     @staticmethod
-    def _summary(tagged: list[tuple[int, float]]) -> list[float]:
-        return [math.log1p(sum(p for _, p in tagged)), max((p for _, p in tagged), default=0.0)]
+    def _rate(tagged: list[list[tuple[int, float]]], sizes: list[int], toxic: list[int]) -> float:
+        """The marginals per token that tell stretches of clean and of toxic documents apart best."""
+        total, size = [1.0, 1.0], [1, 1]
+        for t, n, y in zip(tagged, sizes, toxic, strict=True):
+            total[y] += sum(p for _, p in t)
+            size[y] += n
+        low, high = (a / n for a, n in zip(total, size, strict=True))
+        return (high - low) / math.log(high / low) if high > low else low
+
+    def _summary(self, tagged: list[tuple[int, float]]) -> list[float]:
+        """A stretch's worth is the sum of its marginals less `cost` for each token."""
+        best = run = 0.0
+        last = 0
+        for i, p in tagged:
+            run = max(0.0, run - self.cost * (i - last)) + p
+            best, last = max(best, run), i
+        return [math.log1p(best), max((p for _, p in tagged), default=0.0)]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int]]]:
         """The document's score, and the offsets of tokens that are more likely toxic than not."""
@@ -230,7 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learns from `limit` documents of each label at most, chosen by a hash of their ids.
 
     The ids come from the labels alone; a threshold on the hash leaves about as many as are wanted, so that
-    neither texts nor many ids move. Only the chosen documents' texts (the bound above) reach the driver.
+    neither texts nor many ids move. Lengths are read before texts: should the chosen documents of a label hold
+    more than `limit` * TRAIN_CHARS characters, those that no longer fit, in the hash's order, stay out.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.select(key, F.col(label).cast("int").alias("toxic_label")).distinct()
@@ -240,8 +264,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for value, n in sorted(counts.items()):
         few = known.where((F.col("toxic_label") == value) & (draw < int((1 << 30) * min(1.0, 1.1 * limit / n))))
         chosen += few.orderBy(draw, key).limit(limit).collect()
-    ids = docs.sparkSession.createDataFrame(chosen, f"toxic_key {dict(known.dtypes)[key]}, toxic_label int")
-    rows = docs.where(F.length(text) <= TRAIN_CHARS).select(F.col(key), F.col(text)).join(F.broadcast(ids), F.col(key) == F.col("toxic_key"))
+    spark, kind = docs.sparkSession, dict(known.dtypes)[key]
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text))
+    of = lambda ids: texts.join(F.broadcast(spark.createDataFrame(ids, f"toxic_key {kind}, toxic_label int")), F.col(key) == F.col("toxic_key"))
+    chars: dict = {}
+    for r in of(chosen).groupBy("toxic_key").agg(F.sum(F.length(text)).alias("n")).collect():
+        chars[r["toxic_key"]] = r["n"]
+    room, kept = {value: limit * TRAIN_CHARS for value in counts}, []
+    for k, value in chosen:
+        if k in chars and chars[k] <= room[value]:
+            room[value] -= chars[k]
+            kept.append((k, value))
+    rows = of(kept)
     got = sorted(((r[text], r["toxic_label"]) for r in rows.select(text, "toxic_label").collect()), key=lambda x: (x[1], x[0]))
     return Model([t for t, _ in got], [y for _, y in got])
 

@@ -162,6 +162,20 @@ def test_toxicity_held_out(spark):
     assert model.score(text)[1] == [(4, 10)] and toxicity.Model([], []).score("x") == (0.0, [])
 
 
+def test_toxicity_of_long_texts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abdeilmnorst") for _ in range(5))
+    make = lambda n, hits: " ".join("vilely" if i in range(4, 4 + 9 * hits, 9) else word() for i in range(n))
+    texts = [make(40, rng.choice([2, 3, 4]) if i % 4 == 0 else rng.random() < 0.1) for i in range(400)]
+    model = toxicity.Model(texts, [int(i % 4 == 0) for i in range(400)])
+    scattered = " ".join("vilely" if i % 1000 == 500 else word() for i in range(4000))
+    assert model.score(texts[0])[0] >= 0.7 > model.score(scattered)[0]
+    assert model.score(f"{make(4000, 0)} {make(40, 4)} {make(4000, 0)}")[0] >= 0.7
+    long = [(i, make(4000, 4 * (i % 2)), i % 2) for i in range(40)]
+    docs, labels = spark.createDataFrame([x[:2] for x in long], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in long], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).field.words  # no short document to learn from
+
+
 def test_field_marginals_agree_with_enumeration():
     f = toxicity.Field({"a": 1.0})
     f.emit, f.step = np.array([-1.0, 2.0]), np.array([-0.5, 0.3, 1.1])
