@@ -3,7 +3,9 @@ parser evaluates and/or/with licence expressions.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a phrase matches wherever its
 words stand consecutively, whatever ASCII separators stand between; overlapping places all count; an
-expression that does not parse is ignored; repeated rows give repeated results; other columns are kept.
+expression that does not parse is ignored; after a tag with a colon or equals sign every name of an expression
+is a label, listed or not (LicenseRef- too), after LOOSE and tags in prose listed ones only, and expressions
+without them are ignored; repeated rows give repeated results; other columns are kept.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ NOTICES = {
     "cc by nc nd": "cc-by-nc-nd",
 }
 #: Words before a licence expression.
-TAGS = ("spdx license identifier", "licensed under", "license expression")
+LOOSE = "licensed under"
+TAGS = ("spdx license identifier", LOOSE, "license expression")
 
 #: How much a licence asks of a user, by the first prefix that fits; the rest count as UNKNOWN.
 DUTY = (
@@ -57,7 +60,8 @@ DUTY = (
 UNKNOWN, EXCEPTION = 0.5, 0.6
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+-]+)")
+TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+-]+(?::LicenseRef-[A-Za-z0-9.-]+)?)")
+FIELD = re.compile(r"[\s\"'*]*[:=]")
 HEAD = re.compile(r"[\s:=\"'*]*(?:(?:the|terms|of|either)\s+)*", re.I)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Lower case; all that cannot be in a word becomes a space.
@@ -183,7 +187,8 @@ def scan(text: str) -> dict:
     if tagged:
         for m in TAG.finditer(text):
             tokens, names = read_expression(text, m.end())
-            names = [n for n in names if KNOWN.fullmatch(n)]
+            if LOOSE_TAG.fullmatch(m[0]) or not FIELD.match(text, m.end()):
+                names = [n for n in names if KNOWN.fullmatch(n)]
             if names and (d := evaluate(tokens)) is not None:
                 labels.update(names)
                 duties.append(d)
@@ -198,7 +203,7 @@ def scan(text: str) -> dict:
     }
 
 
-TAG = re.compile("|".join(r"[^A-Za-z0-9]+".join(t.split()) for t in TAGS), re.I)
+TAG, LOOSE_TAG = (re.compile("|".join(r"[^A-Za-z0-9]+".join(t.split()) for t in tags), re.I) for tags in (TAGS, [LOOSE]))
 SCHEMA = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
 

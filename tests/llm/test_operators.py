@@ -63,6 +63,14 @@ def test_licence_expressions():
     assert got["base_labels"] == "mit" and got["labels"] == "apache-2.0,gpl-2.0,mit"
 
 
+def test_unlisted_licences():
+    scan = lambda t: (lambda r: (r["labels"], r["score"]))(licences.scan(t))
+    assert scan("SPDX-License-Identifier: EPL-2.0 OR Zlib\n") == ("epl-2.0,zlib", licences.UNKNOWN)
+    assert scan("License-Expression: MIT AND (EPL-2.0 OR LicenseRef-Own)") == ("epl-2.0,licenseref-own,mit", licences.UNKNOWN)
+    assert scan("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b")[0] == "documentref-a:licenseref-b"
+    assert scan("an SPDX-License-Identifier is a tag") == scan("licensed under certain terms") == ("", 0.0) and scan("licensed under MIT or certain terms") == ("mit", 0.1)
+
+
 def test_personal_data():
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = random.Random(3)
