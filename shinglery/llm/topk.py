@@ -6,7 +6,8 @@ can beat its kth score: the bound is the query's product with the values where t
 
 Defined cases: vectors that are null, empty, of another length than most of the query's, or that hold null
 or non-finite components take no part; ties go to the smaller id; equal vectors are scored once and all
-count; a query never finds its own id; fewer candidates than k give fewer rows; other columns are ignored.
+count; a query never finds its own id; rows with a null id take no part; repeated rows count once, and an id with
+several vectors, on either side, scores the best of its pairs, so that no query finds an id twice; fewer candidates than k give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.vectors, of = np.unique(vectors, axis=0, return_inverse=True)
-        order = np.lexsort((ids, of.ravel()))
-        self.ids, self.starts = ids[order], np.searchsorted(of.ravel()[order], np.arange(len(self.vectors) + 1))
+        of, self.ids = np.unique(np.c_[of.ravel(), ids], axis=0).T
+        self.starts = np.searchsorted(of, np.arange(len(self.vectors) + 1))
+        self.repeated = np.unique(self.ids).size < self.ids.size
         self.ascending = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.vectors, self.ascending.T, axis=0).T
 
@@ -67,11 +69,19 @@ class Lists:
         for c in held:
             ids = self.ids[self.starts[c] : min(self.starts[c + 1], self.starts[c] + k + 1)]
             out += [(int(scores[c]), int(i)) for i in ids if i != own]
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:k]
+        best = dict(sorted((i, s) for s, i in out))
+        return sorted(((s, i) for i, s in best.items()), key=lambda x: (-x[0], x[1]))[:k]
 
     def _kth(self, scores: np.ndarray, met: np.ndarray, own: int, k: int) -> int | None:
         """The kth best score of other rows so far; equal vectors count as often as they occur."""
         at = np.flatnonzero(met)
+        if self.repeated:
+            found: set[int] = set()
+            for c in at[np.argsort(-scores[at], kind="stable")]:
+                found.update(i for i in self.ids[self.starts[c] : min(self.starts[c + 1], self.starts[c] + k + 1)].tolist() if i != own)
+                if len(found) >= k:
+                    return int(scores[c])
+            return None
         if at.size > k + 1:
             at = at[np.argpartition(-scores[at], k)[: k + 1]]
         have = 0
@@ -106,7 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.values.to_numpy()[lists.offsets[0].as_py() :]
         starts = np.cumsum(sizes) - sizes
-        rows: list[tuple[int, int, int]] = []
+        best: dict[tuple[int, int], int] = {}
         for dim in np.unique(sizes):
             mine = np.flatnonzero(sizes == dim)
             m = flat[starts[mine][:, None] + np.arange(dim)]
@@ -114,8 +124,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
             if cand.any() and not cand.all():
                 block = Lists(ids[mine][cand], m[cand])
                 for q, v in zip(ids[mine][~cand], m[~cand], strict=True):
-                    rows += [(int(q), i, s) for s, i in block.top(int(q), v, k)]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                    for s, i in block.top(int(q), v, k):
+                        best[int(q), i] = max(s, best.get((int(q), i), s))
+        cols = list(zip(*[(q, i, s) for (q, i), s in best.items()], strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     found = dealt.groupBy("block", "grp").applyInArrow(search, "query_id long, vec_id long, score long")

@@ -206,6 +206,21 @@ def test_top_k_ties_and_copies():
         assert lists.top(own, v[own], 5) == want
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.integers(-9, 9, 3).tolist()) for i in rng.integers(0, 60, 150)]
+    rows += rows[:50] + [(7, [9, 9, 9])] * 40
+    table = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    want = []
+    for q in {i for i, _ in rows}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max([int(np.dot(v, w)) for j, w in rows if j == q] + [best.get(i, -(10**9))])
+        want += [(q, r, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    assert sorted(map(tuple, topk.top_k(table, table).collect())) == sorted(want)
+
+
 def test_jaccard_join_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     shingles = jaccard_join.Shingler()
