@@ -1,7 +1,8 @@
 """Packing by shortest-pack-first over the histogram of lengths: lengths are placed longest first and the
 counts of packing patterns updated; patterns join back to the pieces of documents by rank.
 
-Defined cases: null and empty texts are the end id alone; a document of more ids than a sequence holds is
+Defined cases: null and empty texts are the end id alone; the vocabulary's special tokens, written out in a text,
+are their own ids, as the tokenizer reads them by default; a document of more ids than a sequence holds is
 cut into full pieces and a rest; equal rows get places of their own; an empty table gives no rows.
 """
 
@@ -56,7 +57,6 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
