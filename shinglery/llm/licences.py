@@ -3,7 +3,7 @@ parser evaluates and/or/with licence expressions.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a phrase matches wherever its
 words stand consecutively, whatever ASCII separators stand between; overlapping places all count; an
-expression that does not parse is ignored; after a tag with a colon or equals sign every name of an expression
+expression that does not parse is ignored; a tag stands where the automaton finds its words; after a tag with a colon or equals sign every name of an expression
 is a label, listed or not (LicenseRef- too), after LOOSE and tags in prose listed ones only, and expressions
 without them are ignored; repeated rows give repeated results; other columns are kept.
 """
@@ -63,6 +63,8 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+-]+(?::LicenseRef-[A-Za-z0-9.-]+)?)")
 FIELD = re.compile(r"[\s\"'*]*[:=]")
 HEAD = re.compile(r"[\s:=\"'*]*(?:(?:the|terms|of|either)\s+)*", re.I)
+#: A word, as in the fixed definition.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Lower case; all that cannot be in a word becomes a space.
 WORDS = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in LOWER)
@@ -147,7 +149,7 @@ def read_expression(text: str, at: int) -> tuple[list[str], list[str]]:
 def automaton() -> ahocorasick.Automaton:
     """Phrases between spaces over the lower-cased words, as bytes seen as Latin-1."""
     found: dict[str, list[tuple[int, str, str]]] = {}
-    for kind, phrases in (("base", BASE), ("notice", NOTICES), ("tag", dict.fromkeys(TAGS, ""))):
+    for kind, phrases in (("base", BASE), ("notice", NOTICES), ("tag", {t: t for t in TAGS})):
         for p, label in phrases.items():
             found.setdefault(f" {p} ", []).append((len(p.split()), kind, label))
     a = ahocorasick.Automaton()
@@ -165,9 +167,8 @@ def scan(text: str) -> dict:
     words = text.encode("utf-8", "replace").translate(LOWER).translate(WORDS).split()
     joined = b" " + b" ".join(words) + b" "
     line = joined.decode("latin-1")
-    starts, base, labels, duties = [], set(), set(), []
+    starts, base, labels, duties, tags = [], set(), set(), [], []
     at = seen = 0
-    tagged = False
     for end, (size, kinds) in automaton().iter(line):
         begin = end - size + 1
         if begin >= at:
@@ -180,14 +181,16 @@ def scan(text: str) -> dict:
                 starts.append(seen)
                 base.add(label)
             if kind == "tag":
-                tagged = True
+                tags.append((seen + label.count(" "), label))
             else:
                 labels.add(label)
                 duties.append(duty(label))
-    if tagged:
-        for m in TAG.finditer(text):
-            tokens, names = read_expression(text, m.end())
-            if LOOSE_TAG.fullmatch(m[0]) or not FIELD.match(text, m.end()):
+    if tags:
+        ends = [m.end() for m in WORD.finditer(text)]
+        for last, tag in tags:
+            at = ends[last]
+            tokens, names = read_expression(text, at)
+            if tag == LOOSE or not FIELD.match(text, at):
                 names = [n for n in names if KNOWN.fullmatch(n)]
             if names and (d := evaluate(tokens)) is not None:
                 labels.update(names)
@@ -203,7 +206,6 @@ def scan(text: str) -> dict:
     }
 
 
-TAG, LOOSE_TAG = (re.compile("|".join(r"[^A-Za-z0-9]+".join(t.split()) for t in tags), re.I) for tags in (TAGS, [LOOSE]))
 SCHEMA = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
 
