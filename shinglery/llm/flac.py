@@ -4,8 +4,10 @@ predictors, verifies the frame checksums and gives PCM blocks with seekable samp
 All frames of many streams are worked on in step: frame headers, Rice codes and predictors advance one
 sample at a time over an array of frames, so that the cost is that of numpy and not of a loop per byte.
 
+The media column is read by an operator of its own, which gets the stored bytes as any reader of the table would.
+
 Defined cases: null and empty values become 64 zero samples; equal values give equal streams; a damaged
-header, frame or sample digest raises ValueError; rows keep their other columns.
+header, frame or sample digest raises ValueError; rows keep their other columns, but for those named as outputs.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, UNIT, RATE = 256, 64, 8000
+from shinglery.llm.common import map_texts
+
+BLOCK, UNIT, RATE = 512, 64, 8000
+#: A seek point for every frame, but at most so many a stream, as its table's length has three bytes.
+POINTS = 900_000
 #: Coefficient precision and shift of the writer's linear predictor, which is of order 2.
 PRECISION, SHIFT = 12, 9
 #: Frames that are written and read at once: rows that fit a core's cache, and enough for numpy.
-WRITE_STEP, STEP = 1 << 9, 1 << 14
+WRITE_STEP, STEP = 1 << 9, 1 << 13
 
 
 def _crc_table(width: int, poly: int) -> np.ndarray:
@@ -80,7 +86,10 @@ def _frame_number(i: int) -> bytes:
 
 def _head(i: int, size: int) -> bytes:
     """A frame header without its CRC: fixed blocking, rate from STREAMINFO, one channel, 8 bits."""
-    code, extra = (8, b"") if size == BLOCK else (6, bytes([size - 1]))
+    if size == BLOCK:
+        code, extra = 8 + (BLOCK // 256).bit_length() - 1, b""
+    else:
+        code, extra = (6, bytes([size - 1])) if size <= 256 else (7, (size - 1).to_bytes(2, "big"))
     return bytes([0xFF, 0xF8, code << 4, 0x02]) + _frame_number(i) + extra
 
 
@@ -196,8 +205,9 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         sizes = [len(f) for f in own]
         info = BLOCK.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(data) & (1 << 36) - 1).to_bytes(8, "big") + digest
-        at = np.cumsum([0, *sizes[:-1]])
-        points = b"".join(struct.pack(">QQH", i * BLOCK, int(o), min(BLOCK, len(data) - i * BLOCK)) for i, o in enumerate(at))
+        at = np.cumsum([0, *sizes[:-1]]).tolist()
+        every = -(-len(at) // POINTS)
+        points = b"".join([struct.pack(">QQH", i * BLOCK, at[i], min(BLOCK, len(data) - i * BLOCK)) for i in range(0, len(at), every)])
         out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(own))
     return out
 
@@ -371,47 +381,75 @@ def _frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.
     return out, ends + 2
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads. Frames are found by the seek points, or one after another where there are none."""
-    infos = [Stream(x) for x in streams]
+Block = tuple[int, int, bytes]
+
+
+def _stretches(info: Stream) -> list[tuple[int, int, int]]:
+    """(first sample, sample after the last, byte) of the stretches between seek points; the whole stream is
+    one where the points do not begin with its first sample."""
+    points = sorted({(p[0], p[1]) for p in info.points if p[0] < info.samples})
+    if not points or points[0] != (0, 0):
+        points = [(0, 0)]
+    ends = [p[0] for p in points[1:]] + [info.samples]
+    return [(p[0], e, info.first + p[1]) for p, e in zip(points, ends, strict=True) if e > p[0]]
+
+
+def _decoded(streams: list[bytes], jobs: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """Samples of the jobs (stream, byte of the first frame, samples); the frames of a job follow each other,
+    jobs advance together. ValueError if a frame is damaged or does not end with its job."""
     data = np.frombuffer(b"".join(streams), np.uint8)
     base = np.cumsum([0, *[len(x) for x in streams]])
-    whole = [sum(p[2] for p in i.points) == i.samples for i in infos]
-    parts: list[list[np.ndarray]] = [[] for _ in streams]
-    job = [(i, base[i] + x.first + p[1]) for i, x in enumerate(infos) if whole[i] for p in x.points]
-    for lo in range(0, len(job), STEP):
-        own = job[lo : lo + STEP]
-        first, last = int(own[0][1]), int(base[own[-1][0] + 1])
-        got, _ = _frames(data[first:last], np.array([x[1] - first for x in own], np.int64))
-        for (i, _), s in zip(own, got, strict=True):
-            parts[i].append(s)
-    open_ = {i: int(base[i] + x.first) for i, x in enumerate(infos) if not whole[i] and x.samples}
-    while open_:
-        got, ends = _frames(data, np.array(list(open_.values()), np.int64))
-        for i, s, e in zip(list(open_), got, ends, strict=True):
-            parts[i].append(s)
-            open_[i] = int(e)
-            if sum(map(len, parts[i])) >= infos[i].samples:
-                del open_[i]
+    parts: list[list[np.ndarray]] = [[] for _ in jobs]
+    live = [(j, int(base[i]) + at, left) for j, (i, at, left) in enumerate(jobs)]
+    while live:
+        after = []
+        for lo in range(0, len(live), STEP):
+            own = live[lo : lo + STEP]
+            first, last = min(x[1] for x in own), int(base[max(jobs[x[0]][0] for x in own) + 1])
+            got, ends = _frames(data[first:last], np.array([x[1] - first for x in own], np.int64))
+            for (j, _, left), s, e in zip(own, got, ends.tolist(), strict=True):
+                parts[j].append(s)
+                if s.size > left:
+                    raise ValueError("a frame crosses a seek point or the end")
+                if s.size < left:
+                    after.append((j, first + e, left - s.size))
+        live = after
+    return [np.concatenate(p) for p in parts]
+
+
+def blocks_of(streams: list[bytes]) -> list[list[Block]]:
+    """The PCM blocks of each stream, (sample offset, byte offset, payload bytes), one for each seek point.
+
+    Every frame's checksums and the digest of all samples are verified.
+    """
+    infos = [Stream(x) for x in streams]
+    spans = [_stretches(i) for i in infos]
+    pcm = iter(_decoded(streams, [(i, at, end - lo) for i, own in enumerate(spans) for lo, end, at in own]))
     out = []
-    for info, own in zip(infos, parts, strict=True):
-        pcm = np.concatenate(own) if own else np.empty(0, np.int8)
-        if pcm.size != info.samples or hashlib.md5(pcm.tobytes(), usedforsecurity=False).digest() != info.digest:
+    for info, own in zip(infos, spans, strict=True):
+        parts = [next(pcm) for _ in own]
+        digest = hashlib.md5(usedforsecurity=False)
+        for p in parts:
+            digest.update(p.tobytes())
+        if sum(p.size for p in parts) != info.samples or digest.digest() != info.digest:
             raise ValueError("the samples do not fit the stream's digest")
-        out.append((pcm.view(np.uint8) ^ 128).tobytes())
+        out.append([(lo, at, (p.view(np.uint8) ^ 128).tobytes()) for (lo, _, at), p in zip(own, parts, strict=True)])
     return out
 
 
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payloads."""
+    return [b"".join([pcm for _, _, pcm in blocks]) for blocks in blocks_of(streams)]
+
+
 def seek(stream: bytes, sample: int, count: int) -> bytes:
-    """`count` samples from `sample` on, decoding only the frames that hold them."""
-    info = Stream(stream)
-    held = [p for p in info.points if p[0] < sample + count and p[0] + p[2] > sample]
+    """`count` samples from `sample` on, decoding only the stretches between seek points that hold them."""
+    held = [x for x in _stretches(Stream(stream)) if x[0] < sample + count and x[1] > sample]
     if not held:
         return b""
-    data = np.frombuffer(stream, np.uint8)
-    got, _ = _frames(data, np.array([info.first + p[1] for p in held], np.int64))
+    got = np.concatenate(_decoded([stream], [(0, at, end - lo) for lo, end, at in held]))
     lo = sample - held[0][0]
-    return (np.concatenate(got)[lo : lo + count].view(np.uint8) ^ 128).tobytes()
+    return (got[lo : lo + count].view(np.uint8) ^ 128).tobytes()
 
 
 def features(samples: np.ndarray) -> str:
@@ -435,43 +473,50 @@ def grouped(values: list, most: int = 1 << 22) -> Iterator[list]:
 
 
 def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Replaces the text by a `media` column: the FLAC stream of its payload; narrow."""
-    from shinglery.llm.common import map_texts
+    """Replaces the text by a `media` column, the FLAC stream of its payload, and its own `n_bytes`; narrow."""
 
     def stored(texts: list[str]) -> dict[str, list]:
-        return {media: [m for run in grouped([payload(t.encode("utf-8", "replace")) for t in texts]) for m in encode(run)]}
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        return {media: [m for run in grouped([payload(x) for x in raw]) for m in encode(run)], "n_bytes": [len(x) for x in raw]}
 
-    return map_texts(df, stored, {media: pa.binary()}, text)
+    return map_texts(df, stored, {media: pa.binary(), "n_bytes": pa.int64()}, text, rows=1024)
 
 
 def pcm_blocks(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """`(key, sample_offset, byte_offset, pcm)`: the verified blocks of each stream, by seek point."""
+    """`(key, sample_offset, byte_offset, pcm)`: the verified blocks of each stream, by seek point. Rows with
+    null media have none."""
     source = df.where(F.col(media).isNotNull()).select(key, media)
+    names = [key, "sample_offset", "byte_offset", "pcm"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                stream = b.column(1)[row].as_py()
-                (data,), info = decode([stream]), Stream(stream)
-                p = info.points or [(0, 0, info.samples)]
-                cols = [pa.array([b.column(0)[row].as_py()] * len(p), b.column(0).type), pa.array([x[0] for x in p], pa.int64()), pa.array([info.first + x[1] for x in p], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([data[x[0] : x[0] + x[2]] for x in p], pa.binary())], [key, "sample_offset", "byte_offset", "pcm"])
-
-    return source.mapInArrow(blocks, f"{key} {dict(df.dtypes)[key]}, sample_offset long, byte_offset long, pcm binary")
-
-
-def digests(texts: list[str]) -> dict[str, list]:
-    """Stores each text, reads the stored bytes back and describes both."""
-    out: dict[str, list] = {c: [] for c in DIGESTS}
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    sizes = iter(map(len, raw))
-    for run in grouped([payload(x) for x in raw]):
-        streams = encode(run)
-        for stream, back in zip(streams, decode(streams), strict=True):
-            row = (next(sizes), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), features((np.frombuffer(back, np.uint8) ^ 128).view(np.int8)))
-            for c, v in zip(DIGESTS, row, strict=True):
-                out[c].append(v)
-    return out
+            row = 0
+            for run in grouped(b.column(1).to_pylist()):
+                got = [(row + i, *x) for i, own in enumerate(blocks_of(run)) for x in own]
+                row += len(run)
+                at, *cols = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)]], names)
+
+    return source.mapInArrow(blocks, f"`{key}` {dict(df.dtypes)[key]}, sample_offset long, byte_offset long, pcm binary")
+
+
+def described(df: DataFrame, media: str = "media") -> DataFrame:
+    """Replaces the `media` column by what its verified PCM blocks, read back, say of it; null media give nulls."""
+
+    def digests(streams: list[bytes]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in DIGESTS}
+        for run in grouped([x or b"" for x in streams]):
+            blocks = iter(blocks_of([x for x in run if x]))
+            for stream in run:
+                row = [None] * len(DIGESTS)
+                if stream:
+                    back = b"".join([pcm for _, _, pcm in next(blocks)])
+                    row = [len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), features((np.frombuffer(back, np.uint8) ^ 128).view(np.int8))]
+                for c, v in zip(DIGESTS, row, strict=True):
+                    out[c].append(v)
+        return out
+
+    return map_texts(df, digests, DIGESTS, media, rows=1024)
 
 
-DIGESTS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+DIGESTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
