@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has none (a single machine, tests), a temporary folder is set as checkpoint folder.
+    Where a session on one machine has none (tests), a temporary folder is set as checkpoint folder; on a
+    cluster that raises ValueError, as executors would not see it.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -36,7 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.shared_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -59,8 +81,8 @@ def sha256_hex(text: str) -> str:
 def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema: dict[str, pa.DataType], text: str = "text", keep: list[str] | None = None, rows: int = 256) -> DataFrame:
     """Adds the columns that `fn` makes of the texts (null: empty), a few hundred rows at a time.
 
-    `keep` names the columns to carry (all but the text, if None); fn's columns follow them, and win
-    where a name is taken.
+    `keep` names the columns to carry (all but the text, if None); fn's columns follow them. An input column
+    that is named like one of fn's goes: rename it before (see `numbered`) to keep both.
     """
     keep = [c for c in (df.columns if keep is None else keep) if (c != text or keep) and c not in schema]
     source = df.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`")]))

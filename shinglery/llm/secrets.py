@@ -1,21 +1,24 @@
 """Secret scans over an incremental blob ledger: every version is content-addressed, only unseen pairs of
 blob and rule version are scanned, and findings join back to all paths.
 
+The rule version is a digest of the rules themselves, so that a changed pattern is a new version. A ledger is a
+folder of increments; each run appends what it scanned, and a run over known blobs scans and moves no text.
+
 Defined cases: null text is the empty blob; null or repeated paths are paths like others; equal blobs have
-equal findings however many paths hold them; an empty table gives no rows; other columns are kept.
+equal findings however many paths hold them; a blob that two increments hold counts once; an empty table gives
+no rows; of the input's columns only the path is kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import map_texts, shared_path
-
-RULES_VERSION = "1"
+from shinglery.llm.common import discard, exists, map_texts, shared_path, written
 
 # The base kinds, their patterns and least lengths.
 BASE = ("assign", "access", "hex")
@@ -37,6 +40,17 @@ FURTHER = {
 }
 KINDS = (*BASE, *FURTHER)
 FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+#: Up to so many unseen blobs (48 bytes each) are broadcast to the texts, so that only their texts move.
+FEW = 100_000
+
+
+def rules_digest() -> str:
+    """The rule version: changes with any pattern, least length or hint."""
+    rules = [ASSIGN.pattern, ACCESS.pattern, HEX.pattern, sorted(LEAST.items()), HINTS, [(k, h, p.pattern) for k, (h, p) in FURTHER.items()]]
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+RULES_VERSION = rules_digest()
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -63,22 +77,32 @@ def scan_blobs(blobs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(blobs, lambda texts: {"findings": [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in scan(t)] for t in texts]}, {"findings": pa.list_(FINDING)}, text)
 
 
-def update_ledger(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
-    """The ledger rows `(blob, rules, findings)` of blobs that `ledger` has not seen under these rules.
+def update_ledger(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: str = RULES_VERSION, to: str | None = None) -> DataFrame:
+    """The ledger rows `(blob, rules, findings)` of blobs that `ledger` has not seen under these rules, written
+    as an increment below the folder `to` (the shared folder, if None).
 
-    Digests are grouped first, so that only one path for each blob brings its text along; the text is
-    joined by (path, blob), which spreads a blob of many copies. The rows are written to the shared
-    folder: they are the increment that a caller appends to the ledger.
+    Digests are grouped first, so that one path for each unseen blob brings its text along. If few blobs are
+    unseen, their digests go to the texts; else both sides are dealt out by (path, blob). Repeated rows of one
+    path and blob are reduced to one before they move and before they are scanned.
     """
+    spark = versions.sparkSession
     addressed = versions.select(F.col(path).alias("path"), F.col(text).alias("text"), blob_id(F.col(text)).alias("blob"))
     unseen = addressed.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    one = unseen.withColumnRenamed("path", "first_path").withColumnRenamed("blob", "first_blob").hint("shuffle_hash")
-    texts = addressed.join(one, (F.col("blob") == F.col("first_blob")) & F.col("path").eqNullSafe(F.col("first_path")), "left_semi")
-    found = scan_blobs(texts.select("blob", "text"), "text").groupBy("blob").agg(F.first("findings").alias("findings"))
-    spark, at = versions.sparkSession, shared_path(versions.sparkSession, "ledger")
+    unseen = written(unseen.select(F.col("blob").alias("first_blob"), F.col("path").alias("first_path")), "unseen")
+    n = unseen.count()
+    at = f"{to}/{shared_path(spark, 'increment').rpartition('/')[2]}" if to else shared_path(spark, "ledger")
+    if n:
+        own = (F.col("blob") == F.col("first_blob")) & F.col("path").eqNullSafe(F.col("first_path"))
+        texts = addressed.join(F.broadcast(unseen), own, "left_semi") if n <= FEW else addressed
+        texts = texts.groupBy("blob", "path").agg(F.first("text").alias("text"))
+        texts = texts if n <= FEW else texts.join(unseen.hint("shuffle_hash"), own, "left_semi")
+        found = scan_blobs(texts.select("blob", "text"), "text")
+    else:
+        found = scan_blobs(spark.createDataFrame([], "blob binary, text string"), "text")
     found.select("blob", F.lit(rules).alias("rules"), "findings").write.parquet(at)
+    discard(unseen)
     return spark.read.parquet(at)
 
 
@@ -90,3 +114,17 @@ def findings_of_paths(versions: DataFrame, ledger: DataFrame, path: str = "doc_i
 
 def joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def scan_versions(versions: DataFrame, root: str, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """Brings the ledger in the folder `root` up to date with `versions` and gives `(path, blob, findings)`.
+
+    The ledger is read as it stood before, plus this run's increment; a blob in several increments counts once.
+    """
+    spark = versions.sparkSession
+    before = spark.read.option("recursiveFileLookup", "true").parquet(root) if exists(spark, root) else None
+    more = update_ledger(versions, path, text, before, to=root)
+    if before is None:
+        return findings_of_paths(versions, more, path, text)
+    once = before.unionByName(more).where(F.col("rules") == RULES_VERSION).groupBy("blob", "rules").agg(F.first("findings").alias("findings"))
+    return findings_of_paths(versions, written(once, "ledger-now"), path, text)
