@@ -1,23 +1,27 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; marginals by forward-backward give
 document scores and offending offsets.
 
-Tokens are labelled from documents: a word, or a beginning of words, that is significantly more frequent in
-toxic than in clean training documents is a sign, and toxic where it stands in a toxic one. The field has a
-weight for each sign, a weight for all other tokens, and transitions. Documents are scored by a logistic
-function of the best stretch of text (its marginals' sum above a rate between clean and toxic documents') and
-the highest marginal, fitted on the training documents, so that scattered chance hits do not add up with length
-and a toxic passage counts in a text of any length. Training takes a sample of documents of all lengths,
+Token labels come from labelled documents: a word, or a beginning of words, that is significantly more frequent
+in toxic than in clean training documents is a sign, and a token is toxic where it bears a sign in a toxic
+document. The field sees of each token its word, beginnings, endings and shape, the same of the words before and
+after it, and the quarter of the text in which it stands. Forward-backward runs over every token of every document. A document's
+score is a logistic function of its best stretch of text (the sum of the marginals less a rate for each token,
+between the rates of clean and of toxic documents) and of the highest marginal, so that length alone adds
+nothing and a toxic passage counts in a text of any length. Training takes a sample of documents of all lengths,
 bounded in number and in all characters, see TRAIN_DOCS and TRAIN_CHARS.
 
 Defined cases: null and empty texts score as a document without toxic tokens; without labels every score is
-0; a label of a missing document is ignored; repeated rows are scored alike; other columns are kept.
+0, and with labels of one kind only it is that label; a label of a missing document is ignored; repeated rows
+are scored alike, as scores are rounded to DECIMALS; other columns are kept, but for those named as outputs.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +32,20 @@ from shinglery.llm.common import map_texts
 
 #: At most so many labelled documents of each label, of at most so many characters on average, are learned from.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 8_000
-#: The field is fitted on chains of at most so many tokens; longer documents are several.
-CHAIN = 1024
 #: A word counts as a sign from this log-likelihood ratio and number of toxic documents on.
 SIGNIFICANT, LEAST_DOCS = 15.0, 5
 #: Share of toxic documents, at equal numbers of both, among those that hold a sign.
 PURE = 0.8
-#: Lengths of the beginnings that are looked at.
-PREFIXES = (4, 5, 6, 7, 8)
-STEPS, RATE, RIDGE = 40, 0.3, 1e-3
-REJECT, SPAN = 0.7, 0.5
+#: Features of words enter the field from this ratio on; lengths of the beginnings and endings that are looked at.
+TELLING, PREFIXES, SUFFIXES = 4.0, (4, 5, 6, 7, 8), (3, 4)
+STEPS, RATE, RIDGE = 60, 0.3, 1e-3
+REJECT, SPAN, DECIMALS = 0.7, 0.5, 6
+#: Tokens of a segment of the chain, tokens that are learned from at once, words that a worker remembers.
+SEGMENT, CHUNK, REMEMBERED = 64, 200_000, 300_000
+QUARTERS = 4
 TOKEN = re.compile(r"\w+")
 
 
-def tokens(text: str) -> list[str]:
-    return " ".join(TOKEN.findall(text)).lower().split(" ") if text else []
-
-
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -61,183 +62,239 @@ def units(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in PREFIXES if len(word) > k]]
 
 
-def signs(docs: list[set[str]], toxic: list[int]) -> dict[str, float]:
-    """Units of toxic documents that cannot be chance, with their log-likelihood ratios.
+def traits(word: str) -> list[str]:
+    """What the field sees of a word as written: units, endings, shape."""
+    low = word.lower()
+    shape = "upper" if word.isupper() and len(word) > 1 else "title" if word[:1].isupper() else "lower" if word.isalpha() else "digit"
+    return [*units(low), *["*" + low[-k:] for k in SUFFIXES if len(low) > k], f"<{shape}>"]
+
 
-    A unit goes if the documents show that a shorter beginning says as much.
+def told(docs: list[set[str]], toxic: list[int]) -> tuple[dict[str, float], list[str]]:
+    """The signs with their log-likelihood ratios, and the traits that tell labels apart at all.
+
+    A sign cannot be chance, and goes if the documents show that a shorter beginning says as much.
     """
     n = sum(toxic)
     m = len(docs) - n
-    yes, no = Counter(), Counter()
+    yes, no, known = Counter(), Counter(), {}
     for words, label in zip(docs, toxic, strict=True):
-        (yes if label else no).update({u for w in words for u in units(w)})
-    found = {}
-    for u, a in yes.items():
-        rate, clean = a / n, no[u] / max(m, 1)
-        if a >= LEAST_DOCS and rate >= PURE * (rate + clean) and (g := _ratio(a, n, no[u], m)) >= SIGNIFICANT:
-            found[u] = g
+        (yes if label else no).update({t for w in words for t in (known.get(w) or known.setdefault(w, traits(w)))})
+    found, telling = {}, []
+    for t in sorted(yes.keys() | no.keys()):
+        a, b = yes[t], no[t]
+        if a + b < LEAST_DOCS or (g := _ratio(a, n, b, m)) < TELLING:
+            continue
+        telling.append(t)
+        rate = a / n
+        if a >= LEAST_DOCS and g >= SIGNIFICANT and rate >= PURE * (rate + b / m) and t[0] not in "*<":
+            found[t] = g
     best = {u: max([found.get(x, 0.0) for x in units(u.rstrip("*")) if x != u and len(x) <= len(u)], default=0.0) for u in found}
-    return {u: g for u, g in sorted(found.items()) if g > best[u]}
+    return {u: g for u, g in found.items() if g > best[u]}, telling
+
+
+def ratios(m: np.ndarray) -> np.ndarray:
+    """Of a chain of positive 2 x 2 matrices (m00, m01, m10, m11), each applied to the vector that the one
+    before leaves: second by first entry of every vector. The first matrix must not look at its vector.
+
+    The chain is cut into segments that advance together: products of the segments give the vectors at their
+    starts, from which all are filled. That is the recursion itself, but for rounding.
+    """
+    size = m.shape[1]
+    n = -(-size // SEGMENT)
+    padded = np.empty((4, n * SEGMENT))
+    padded[:, :size] = m
+    padded[:, size:] = np.array([[1.0], [0.0], [0.0], [1.0]])
+    steps = padded.reshape(4, n, SEGMENT).transpose(2, 0, 1).copy()
+    p = np.array([[1.0], [0.0], [0.0], [1.0]]) * np.ones(n)
+    for a, b, c, d in steps:
+        p = np.stack([a * p[0] + b * p[2], a * p[1] + b * p[3], c * p[0] + d * p[2], c * p[1] + d * p[3]])
+        p /= p.sum(0)
+    starts, x = np.empty(n), 1.0
+    for k, (p0, p1, p2, p3) in enumerate(p.T.tolist()):
+        starts[k] = x
+        x = (p2 + p3 * x) / (p0 + p1 * x)
+    out, x = np.empty((SEGMENT, n)), starts
+    for s, (a, b, c, d) in enumerate(steps):
+        out[s] = x = (c + d * x) / (a + b * x)
+    return out.T.ravel()[:size]
 
 
 class Field:
     """The chain of labels clean (0) and toxic (1). Weights are log potentials against clean and clean-clean."""
 
-    def __init__(self, found: dict[str, float]):
-        self.words = {w: i + 1 for i, w in enumerate(found)}
-        self.strength = [0.0, *found.values()]
-        self.emit = np.zeros(len(found) + 1)
+    def __init__(self, telling: list[str]):
+        self.traits = {t: i + 1 for i, t in enumerate(telling)}
+        #: Of each trait, of the token itself, of the one before, of the one after; trait 0 is common to all.
+        self.weights = np.zeros((3, len(telling) + 1))
+        self.place = np.zeros(QUARTERS)
         self.step = np.zeros(3)  # clean to toxic, toxic to clean, toxic to toxic
+        self.forget()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k in ("traits", "weights", "place", "step")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.forget()
+
+    def forget(self) -> None:
+        self.memory, self.potentials = {}, array("d")
 
-    def fit(self, rows: list[np.ndarray], gold: list[np.ndarray]) -> Field:
-        """Gradient ascent with per-weight steps; the sequences advance together, the longest first."""
-        order = sorted(range(len(rows)), key=lambda i: -rows[i].size)
-        rows, gold = [rows[i] for i in order if rows[i].size], [gold[i] for i in order if rows[i].size]
-        if not rows:
+    def seen(self, word: str) -> list[int]:
+        return [0, *[i for t in traits(word) if (i := self.traits.get(t))]]
+
+    def flat(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The traits of the words one after another, and where each word's begin."""
+        seen = [self.seen(w) for w in words]
+        counts = np.array([len(s) for s in seen])
+        return np.array([i for s in seen for i in s], np.int32), np.cumsum(counts) - counts
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Rows of `potentials`: what each word adds to its own, the next and the last token's potential."""
+        memory = self.memory
+        if new := [w for w in set(words) if w not in memory]:
+            memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
+            flat, starts = self.flat(new)
+            self.potentials.frombytes(np.add.reduceat(self.weights[:, flat], starts, axis=1).T.tobytes())
+        return np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
+
+    @staticmethod
+    def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By token of documents of positive sizes: is it the first, is it the last, its quarter."""
+        ends = np.cumsum(sizes)
+        first, last = np.zeros(int(ends[-1]), bool), np.zeros(int(ends[-1]), bool)
+        first[ends - sizes], last[ends - 1] = True, True
+        at = np.arange(first.size) - np.repeat(ends - sizes, sizes)
+        return first, last, at * QUARTERS // np.repeat(sizes, sizes)
+
+    def emissions(self, own: np.ndarray, before: np.ndarray, after: np.ndarray, layout: tuple) -> np.ndarray:
+        """exp of each token's log potential, from what tokens add to their own, the next and the last one's."""
+        first, last, quarter = layout
+        z = own + self.place[quarter]
+        z[1:] += np.where(first[1:], 0.0, before[:-1])
+        z[:-1] += np.where(last[:-1], 0.0, after[1:])
+        return np.exp(np.clip(z, -30.0, 30.0))
+
+    def marginals(self, e: np.ndarray, layout: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Of toxic, by token; and the expected numbers of the three transitions."""
+        first, last, _ = layout
+        up, down, stay = np.exp(self.step)
+        one = np.ones(e.size)
+        x = ratios(np.stack([one, np.where(first, 1.0, down), np.where(first, e, up * e), np.where(first, e, stay * e)]))
+        # backward: the vector of a token comes from that of the next one, whose potential it takes along
+        f = np.r_[e[1:], 1.0]
+        y = ratios(np.stack([one, np.where(last, 1.0, up * f), np.where(last, 1.0, down), np.where(last, 1.0, stay * f)])[:, ::-1])[::-1]
+        inner = np.flatnonzero(~last)
+        a, m = x[inner], f[inner] * y[inner + 1]
+        z = 1 + up * m + a * (down + stay * m)
+        edges = np.array([(up * m / z).sum(), (a * down / z).sum(), (a * stay * m / z).sum()])
+        return x * y / (1 + x * y), edges
+
+    def fit(self, docs: list[list[str]], gold: list[np.ndarray]) -> Field:
+        """Gradient ascent on the labels' likelihood with per-weight steps, over whole documents, some at a time."""
+        kinds: dict[str, int] = {}
+        chunks, held, size = [], [], 0
+        for d, g in [x for x in zip(docs, gold, strict=True) if x[0]] + [([], None)]:
+            if held and (g is None or size > CHUNK):
+                ids, y = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+                chunks.append((ids, y, self.layout(np.array([x[0].size for x in held]))))
+                held, size = [], 0
+            if d:
+                held.append((np.array([kinds.setdefault(w, len(kinds)) for w in d], np.int32), g.astype(np.float64)))
+                size += len(d)
+        if not chunks:
             return self
-        sizes = np.array([r.size for r in rows])
-        live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        flat_x, flat_y, first = np.concatenate(rows), np.concatenate(gold), np.cumsum(sizes) - sizes
-        seen = np.bincount(flat_x, flat_y, self.emit.size)
-        y0 = [(g[:-1], g[1:]) for g in gold]
-        seen_step = np.array([sum(int(((a == i) & (b == j)).sum()) for a, b in y0) for i, j in ((0, 1), (1, 0), (1, 1))], float)
-        scale, total = len(rows), np.zeros(self.emit.size + 3)
+        flat, starts = self.flat(kinds)
+        counts, total = np.diff(np.r_[starts, flat.size]), sum(x[2][0].sum() for x in chunks)
+        width, square = self.weights.shape[1], 0.0
         for _ in range(STEPS):
-            node, edges = self._expect(flat_x, first, live)
-            g = np.concatenate([seen - np.bincount(flat_x, node, self.emit.size), seen_step - edges]) / scale
-            g -= RIDGE * np.concatenate([self.emit, self.step])
-            total = 0.9 * total + 0.1 * g * g
-            move = RATE * g / (np.sqrt(total) + 1e-8)
-            self.emit += move[: self.emit.size]
-            self.step += move[self.emit.size :]
+            potentials, by_kind, rest = np.add.reduceat(self.weights[:, flat], starts, axis=1), np.zeros((3, len(kinds))), np.zeros(QUARTERS + 3)
+            for ids, y, layout in chunks:
+                inner = np.flatnonzero(~layout[1])
+                p, edges = self.marginals(self.emissions(*potentials[:, ids], layout), layout)
+                r, y0, y1 = y - p, y[inner], y[inner + 1]
+                for i, (at, v) in enumerate(((ids, r), (ids[inner], r[inner + 1]), (ids[inner + 1], r[inner]))):
+                    by_kind[i] += np.bincount(at, v, len(kinds))
+                rest += np.r_[np.bincount(layout[2], r, QUARTERS), np.array([((1 - y0) * y1).sum(), (y0 * (1 - y1)).sum(), (y0 * y1).sum()]) - edges]
+            g = np.concatenate([*[np.bincount(flat, np.repeat(k, counts), width) for k in by_kind], rest])
+            w = np.concatenate([self.weights.ravel(), self.place, self.step])
+            g = g / total - RIDGE * w
+            square = 0.9 * square + 0.1 * g * g
+            w += RATE * g / (np.sqrt(square) + 1e-8)
+            self.weights, self.place, self.step = w[: 3 * width].reshape(3, width), w[3 * width : -3], w[-3:]
+        self.forget()
         return self
 
-    def _expect(self, flat: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of toxic by token, and expected transitions."""
-        e, (up, down, stay) = np.exp(self.emit), np.exp(self.step)
-        n = first.size
-        a0, a1 = np.empty(flat.size), np.empty(flat.size)
-        x0, x1 = np.full(n, 1.0), e[flat[first]]
-        for t, k in enumerate(live.tolist()):
-            at = first[:k] + t
-            if t:
-                x0, x1 = x0[:k] + x1[:k] * down, (x0[:k] * up + x1[:k] * stay) * e[flat[at]]
-            s = x0 + x1
-            x0, x1 = x0 / s, x1 / s
-            a0[at], a1[at] = x0, x1
-        node, edges = np.empty(flat.size), np.zeros(3)
-        b0, b1 = np.ones(n), np.ones(n)
-        for t in range(live.size - 1, -1, -1):
-            k = int(live[t])
-            if t + 1 < live.size:
-                j = int(live[t + 1])
-                at = first[:j] + t
-                m = e[flat[at + 1]] * b1[:j]
-                z = a0[at] * (b0[:j] + up * m) + a1[at] * (down * b0[:j] + stay * m)
-                edges += [(a0[at] * up * m / z).sum(), (a1[at] * down * b0[:j] / z).sum(), (a1[at] * stay * m / z).sum()]
-                c0, c1 = b0[:j] + up * m, down * b0[:j] + stay * m
-                s = c0 + c1
-                b0[:j], b1[:j] = c0 / s, c1 / s
-            at = first[:k] + t
-            p = a1[at] * b1[:k]
-            node[at] = p / (p + a0[at] * b0[:k])
-        return node, edges
-
-    def ids(self, words: list[str]) -> list[int]:
-        """The strongest sign of each token, or 0."""
-        known, memo = self.words, {}
-        for w in set(words):
-            got = [i for u in units(w) if (i := known.get(u))]
-            memo[w] = max(got, key=self.strength.__getitem__) if got else 0
-        return [memo[w] for w in words]
-
-    def marginals(self, ids: list[int]) -> list[float]:
-        """Of toxic, by token of one sequence."""
-        e, (up, down, stay) = np.exp(self.emit).tolist(), np.exp(self.step).tolist()
-        x0, x1 = 1.0, e[ids[0]]
-        s = x0 + x1
-        forward = [(x0 / s, x1 / s)]
-        for i in ids[1:]:
-            x0, x1 = forward[-1]
-            x0, x1 = x0 + x1 * down, (x0 * up + x1 * stay) * e[i]
-            s = x0 + x1
-            forward.append((x0 / s, x1 / s))
-        out, b0, b1 = [], 1.0, 1.0
-        for t in range(len(ids) - 1, -1, -1):
-            x0, x1 = forward[t]
-            out.append(x1 * b1 / (x1 * b1 + x0 * b0))
-            m = e[ids[t]] * b1
-            b0, b1 = b0 + up * m, down * b0 + stay * m
-            s = b0 + b1
-            b0, b1 = b0 / s, b1 / s
-        return out[::-1]
+    def tag(self, docs: list[list[str]]) -> list[np.ndarray]:
+        """Marginals of toxic, by document and token."""
+        sizes = np.array([len(d) for d in docs])
+        full = np.flatnonzero(sizes)
+        out = [np.empty(0)] * len(docs)
+        if full.size:
+            if len(self.memory) > REMEMBERED:
+                self.forget()
+            ids = self.ids([w for d in docs for w in d])
+            layout = self.layout(sizes[full])
+            potentials = np.array(self.potentials).reshape(-1, 3)[ids].T
+            p, _ = self.marginals(self.emissions(*potentials, layout), layout)
+            for i, part in zip(full, np.split(p, np.cumsum(sizes[full])[:-1]), strict=True):
+                out[i] = part
+        return out
 
 
 class Model:
     """A field, and the logistic function of (log(1 + best stretch), highest marginal)."""
 
     def __init__(self, texts: list[str], toxic: list[int]):
-        split = [tokens(t) for t in texts]
-        self.field, self.weights, self.window, self.cost = Field({}), None, 32, 0.0
-        if not texts or len(set(toxic)) < 2:
-            self.share = float(np.mean(toxic)) if toxic else 0.0
+        self.field, self.weights, self.cost = None, None, 0.0
+        self.share = float(np.mean(toxic)) if toxic else 0.0
+        if len(set(toxic)) < 2:
             return
-        self.field = Field(signs([set(s) for s in split], toxic))
-        ids = [np.array(self.field.ids(s), np.int64) for s in split]
-        chains = [(x[i : i + CHAIN], y) for x, y in zip(ids, toxic, strict=True) for i in range(0, x.size, CHAIN)]
-        self.field.fit([x for x, _ in chains], [(x > 0) * np.int64(y) for x, y in chains])
-        tagged = [self._tag(s) for s in split]
-        self.cost = self._rate(tagged, [len(s) for s in split], toxic)
-        x = np.array([self._summary(t) for t in tagged])
+        docs = [TOKEN.findall(t) for t in texts]
+        signs, telling = told([set(d) for d in docs], toxic)
+        self.field = Field(telling)
+        known: dict[str, bool] = {}
+        for w in {w for d in docs for w in d}:
+            known[w] = any(u in signs for u in units(w.lower()))
+        gold = [np.array([known[w] for w in d]) if y else np.zeros(len(d), bool) for d, y in zip(docs, toxic, strict=True)]
+        self.field.fit(docs, gold)
+        tagged = [p for lo in range(0, len(docs), 64) for p in self.field.tag(docs[lo : lo + 64])]
+        self.cost = self._rate(tagged, toxic)
+        x = np.array([self.summary(t) for t in tagged])
         self.weights = _logistic(np.c_[x, np.ones(len(x))], np.array(toxic, float))
 
-    def _tag(self, words: list[str]) -> list[tuple[int, float]]:
-        """(token, marginal) of each token near a sign.
-
-        Farther tokens have the marginal of an endless clean stretch: the chain forgets by a constant
-        factor a step, so a window of context on either side holds all that a sign can change.
-        """
-        ids = self.field.ids(words)
-        hits = [i for i, x in enumerate(ids) if x]
-        out: list[tuple[int, float]] = []
-        i = 0
-        while i < len(hits):
-            j = i
-            while j + 1 < len(hits) and hits[j + 1] - hits[j] <= 2 * self.window:
-                j += 1
-            lo, hi = max(0, hits[i] - self.window), min(len(words), hits[j] + self.window + 1)
-            out += [(lo + k, v) for k, v in enumerate(self.field.marginals(ids[lo:hi])) if v > 0.01]
-            i = j + 1
-        return out
-
     @staticmethod
-    def _rate(tagged: list[list[tuple[int, float]]], sizes: list[int], toxic: list[int]) -> float:
+    def _rate(tagged: list[np.ndarray], toxic: list[int]) -> float:
         """The marginals per token that tell stretches of clean and of toxic documents apart best."""
         total, size = [1.0, 1.0], [1, 1]
-        for t, n, y in zip(tagged, sizes, toxic, strict=True):
-            total[y] += sum(p for _, p in t)
-            size[y] += n
+        for p, y in zip(tagged, toxic, strict=True):
+            total[y] += float(p.sum())
+            size[y] += p.size
         low, high = (a / n for a, n in zip(total, size, strict=True))
         return (high - low) / math.log(high / low) if high > low else low
 
-    def _summary(self, tagged: list[tuple[int, float]]) -> list[float]:
-        """A stretch's worth is the sum of its marginals less `cost` for each token."""
-        best = run = 0.0
-        last = 0
-        for i, p in tagged:
-            run = max(0.0, run - self.cost * (i - last)) + p
-            best, last = max(best, run), i
-        return [math.log1p(best), max((p for _, p in tagged), default=0.0)]
+    def summary(self, p: np.ndarray) -> list[float]:
+        """Of all tokens' marginals; a stretch's worth is their sum less `cost` for each token."""
+        if not p.size:
+            return [0.0, 0.0]
+        worth = np.cumsum(p - self.cost)
+        least = np.minimum.accumulate(np.r_[0.0, worth[:-1]])
+        return [math.log1p(max(0.0, float((worth - least).max()))), float(p.max())]
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, int]]]:
-        """The document's score, and the offsets of tokens that are more likely toxic than not."""
-        tagged = self._tag(tokens(text)) if self.field.words else []
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int]]]]:
+        """Per document its score, and the offsets of tokens that are more likely toxic than not."""
         if self.weights is None:
-            return self.share, []
-        z = float(np.dot(self.weights, [*self._summary(tagged), 1.0]))
-        bad = {i for i, p in tagged if p >= SPAN}
-        spans = [m.span() for i, m in enumerate(TOKEN.finditer(text)) if i in bad] if bad else []
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), spans
+            return [(round(self.share, DECIMALS), [])] * len(texts)
+        out = []
+        for t, p in zip(texts, self.field.tag([TOKEN.findall(t) for t in texts]), strict=True):
+            z = float(np.dot(self.weights, [*self.summary(p), 1.0]))
+            bad = set(np.flatnonzero(p >= SPAN).tolist())
+            spans = [m.span() for i, m in enumerate(TOKEN.finditer(t)) if i in bad] if bad else []
+            out.append((round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), DECIMALS), spans))
+        return out
+
+    def score(self, text: str) -> tuple[float, list[tuple[int, int]]]:
+        return self.scores([text])[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -287,7 +344,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     """Adds score, predicted and the offending offsets as `start:end`, comma-joined; narrow."""
 
     def scored(texts: list[str]) -> dict[str, list]:
-        rows = [model.score(t) for t in texts]
+        rows = model.scores(texts)
         return {"score": [s for s, _ in rows], "predicted": [int(s >= REJECT) for s, _ in rows], "toxic_spans": [",".join(f"{a}:{b}" for a, b in x) for _, x in rows]}
 
     return map_texts(df, scored, SCHEMA, text, keep)
