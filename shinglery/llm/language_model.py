@@ -1,27 +1,36 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted
+"""Language-model scores: an interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted
 hash arrays in the shared folder and memory-mapped by the workers that score.
 
-Counting: each task turns its texts into word hashes, counts its distinct bigrams in numpy and deals them out
-by context in blocks of bytes; bigrams of the most frequent contexts, found on a random share of all rows, are
-dealt out by bigram, so that no context fills a task (the share only balances work, it changes no count). A part
-merges its blocks, writes its bigram array and passes on what its words contribute; a second shuffle merges
-words. Hashes have 48 bits for words and 64 for bigrams.
+Counting: each task turns its texts into word hashes, counts its distinct n-grams in numpy and deals them out
+by context in compressed blocks; n-grams of the most frequent contexts, found on a random share of all rows, are
+dealt out by themselves, so that no context fills a task (the share only balances work, it changes no count). A
+part merges its blocks, writes its array and passes on what its n-grams say of the next lower order, which is
+merged in parts of its own, down to single words. Where there are more than FAN parts, blocks are dealt out
+digit by digit, so that neither blocks nor open files grow with tasks times parts; at most FILES files hold the
+parts of an order. Hashes have 48 bits for words and 64 for n-grams, counts up to 64.
+
+Every document begins after order - 1 start symbols. An n-gram counts as often as it occurs in the highest order
+and by the number of distinct words before it in lower ones.
 
 Defined cases: null and empty texts are the end token alone; repeated rows count as often as they occur; with
-nothing to learn from, all tokens have the uniform probability of the unknown word; other columns are kept.
+nothing to learn from, all tokens have the uniform probability of the unknown word; other columns are kept, but
+for those named as outputs; a file of the model that is lost raises FileNotFoundError.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, OrderedDict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +41,19 @@ ADDED = 0.1
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M48 = (1 << 48) - 1
 START, END = (xxhash.xxh3_64_intdigest(x) & M48 for x in (b"\n<s>", b"\n</s>"))
+ORDER = 2
 #: Tokens that a task counts at once, bytes of text meant for a part, words that a worker remembers.
-FLUSH, PART, REMEMBERED = 3_000_000, 6_400_000, 300_000
-#: The share of rows in which frequent contexts are sought, and how many contexts are dealt out by bigram.
+FLUSH, PART, REMEMBERED = 2_000_000, 6_400_000, 300_000
+#: Parts that a task deals out to at once, files of an order, files that a worker maps at once.
+FAN, FILES, MAPS = 1024, 1 << 16, 4096
+#: The share of rows in which frequent contexts are sought, and how many contexts are dealt out by n-gram.
 SHARE, FREQUENT = 0.02, 256
-#: What the model stores of a word: occurrences, distinct words before it, occurrences as a context, and
-#: distinct words after it that occur once, twice, more often.
-WORD = ("count", "before", "total", "once", "twice", "more")
+#: What is known of an n-gram of a lower order: occurrences, distinct words before it, its count as a context,
+#: and distinct words after it that count once, twice, more often.
+NUMBERS = ("raw", "before", "total", "once", "twice", "more")
+#: Discounts stay so far inside (0, k).
+MARGIN = 0.05
+ROWS = "part long, block binary, stats array<long>"
 
 
 class Hashes:
@@ -70,114 +85,171 @@ def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def keys_of(words: list[np.ndarray]) -> np.ndarray:
+    """The keys of n-grams given word by word: that of an n-gram is made of its context's and its last word."""
+    key = mixed(words[0])
+    for w in words[1:]:
+        key = mixed(key, w)
+    return key
+
+
 def dealt(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def part_of(contexts: np.ndarray, grams: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each bigram: by context, or by bigram for the frequent contexts."""
-    return dealt(np.where(np.isin(contexts, frequent), grams, mixed(contexts)), parts)
+    """The part of each n-gram of the highest order: by context, or by itself for the frequent contexts."""
+    return dealt(np.where(np.isin(contexts, frequent), grams, contexts), parts)
 
 
-def packed(hashes: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
-    """48-bit hashes and 32-bit numbers, column by column, which compresses well."""
-    out = [len(hashes[0]).to_bytes(4, "little")]
-    for h in hashes:
-        out += [h.astype("<u4").tobytes(), (h >> np.uint64(32)).astype("<u2").tobytes()]
-    return b"".join(out + [n.astype("<u4").tobytes() for n in numbers])
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
-def unpacked(block: bytes, hashes: int, numbers: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    n, at, first, second = int.from_bytes(block[:4], "little"), 4, [], []
-    for _ in range(hashes):
-        low, high = np.frombuffer(block, "<u4", n, at), np.frombuffer(block, "<u2", n, at + 4 * n)
-        first.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
-        at += 6 * n
-    for _ in range(numbers):
-        second.append(np.frombuffer(block, "<u4", n, at))
-        at += 4 * n
-    return first, second
+def packed(words: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Word hashes by a dictionary of the block, and numbers, column by column and compressed."""
+    known, ids = np.unique(np.concatenate(words), return_inverse=True)
+    columns = [known.astype("<u4"), (known >> np.uint64(32)).astype("<u2"), narrow(ids), *map(narrow, numbers)]
+    top = json.dumps([len(words), len(known), len(words[0]), *[c.itemsize for c in columns[2:]]]).encode()
+    return zstandard.compress(top + b"\n" + b"".join([c.tobytes() for c in columns]), 1)
 
 
-def gathered(blocks: list[bytes], hashes: int, numbers: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    got = [unpacked(b, hashes, numbers) for b in blocks]
-    return [np.concatenate([g[0][i] for g in got]) for i in range(hashes)], [np.concatenate([g[1][i] for g in got]) for i in range(numbers)]
+def unpacked(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    data = zstandard.decompress(block)
+    at = data.index(b"\n") + 1
+    order, kinds, n, *widths = json.loads(data[:at])
+    low, high = np.frombuffer(data, "<u4", kinds, at), np.frombuffer(data, "<u2", kinds, at + 4 * kinds)
+    known = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+    at, columns = at + 6 * kinds, []
+    for i, width in enumerate(widths):
+        columns.append(np.frombuffer(data, f"<u{width}", n * (1 if i else order), at))
+        at += columns[-1].nbytes
+    return list(known[columns[0]].reshape(order, n)), columns[1:]
 
 
-def summed(keys: np.ndarray, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, where each first stood, and sums of the numbers."""
+def summed(words: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Keys of the distinct n-grams in order, their words, and sums of the numbers."""
+    keys = keys_of(words)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else np.empty(0, np.int64)
-    return keys[first], order[first], [np.add.reduceat(n[order].astype(np.int64), first) if keys.size else n.astype(np.int64) for n in numbers]
+    sums = [np.add.reduceat(n[order].astype(np.uint64), first) if keys.size else n.astype(np.uint64) for n in numbers]
+    return keys[first], [w[order[first]] for w in words], sums
+
+
+def gathered(blocks: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    got = [unpacked(b) for b in blocks]
+    return summed(*[[np.concatenate([g[side][i] for g in got]) for i in range(len(got[0][side]))] for side in (0, 1)])
 
 
-def blocks_by(part: np.ndarray, parts: int, hashes: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+def blocks_by(part: np.ndarray, words: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """A block for each part that has rows."""
     order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    hashes, numbers = [h[order] for h in hashes], [n[order] for n in numbers]
-    for p in range(parts):
-        lo, hi = ends[p], ends[p + 1]
-        if hi > lo:
-            yield p, packed([h[lo:hi] for h in hashes], [n[lo:hi] for n in numbers])
-
-
-def bigrams(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, words) of documents, each of which begins after the start symbol."""
-    words = np.fromiter((h for t in texts for h in t), np.uint64)
-    contexts = np.empty_like(words)
-    contexts[1:] = words[:-1]
+    part = part[order]
+    words, numbers = [h[order] for h in words], [n[order] for n in numbers]
+    cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), part.size] if part.size else [0]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield int(part[lo]), packed([h[lo:hi] for h in words], [n[lo:hi] for n in numbers])
+
+
+def rows_of(parts: list[int], blocks: list[bytes | None], stats: list[list[int] | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blocks, pa.binary()), pa.array(stats, pa.list_(pa.int64()))], ["part", "block", "stats"])
+
+
+def block_rows(found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    rows = list(found)
+    return rows_of([r[0] for r in rows], [r[1] for r in rows], [None] * len(rows))
+
+
+def padded(texts: list[list[int]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of documents, each after order - 1 start symbols, and where the documents' own words stand."""
+    start = [START] * (order - 1)
+    words = np.fromiter((h for t in texts for part in (start, t) for h in part), np.uint64)
     sizes = np.array([len(t) for t in texts])
-    contexts[np.cumsum(sizes) - sizes] = START
-    return contexts, words
+    own = np.arange(int(sizes.sum())) + np.repeat((order - 1) * np.arange(1, sizes.size + 1), sizes)
+    return words, own
 
 
-def save(uri: str, arrays: list[np.ndarray]) -> None:
-    """Writes the arrays of one part; a rename at the end makes repeated tasks harmless."""
-    fs, path = file_system(uri)
-    own = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as f:
-        f.write(len(arrays[0]).to_bytes(8, "little"))
-        for a in arrays:
-            f.write(a.tobytes())
-    fs.move(own, path)
+def ngrams(words: np.ndarray, own: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of the n-gram that ends at each own word, the first word first."""
+    return [words[own - j] for j in range(order - 1, -1, -1)]
+
+
+def stored(order: int, highest: int, numbers: Sequence) -> Sequence:
+    """Those of NUMBERS that the arrays of an order hold: the count alone in the highest one."""
+    return numbers[:1] if order == highest else numbers if order == 1 else numbers[1:]
+
+
+class Writer:
+    """The files of an order: parts one after another, and an index of them at the end. A rename makes repeated
+    tasks harmless."""
+
+    def __init__(self, uri: str, shelf: int):
+        self.fs, self.path = file_system(f"{uri}/{shelf}")
+        self.own = f"{self.path}.{uuid.uuid4().hex}"
+        self.out, self.index, self.at = self.fs.open_output_stream(self.own), {}, 0
+
+    def add(self, part: int, columns: list[np.ndarray]) -> None:
+        self.index[part] = [self.at, len(columns[0]), *[c.itemsize for c in columns]]
+        for c in columns:
+            data = c.tobytes() + bytes(-c.nbytes % 8)
+            self.out.write(data)
+            self.at += len(data)
+
+    def close(self) -> None:
+        index = json.dumps(self.index).encode()
+        self.out.write(index + len(index).to_bytes(8, "little"))
+        self.out.close()
+        self.fs.move(self.own, self.path)
 
 
 class Arrays:
-    """Sorted hash arrays by part, mapped when first needed: `uri/<name>-<part>` holds the hashes and then
-    columns of 32-bit numbers. Where the folder is not a local path, the part is fetched to a file first."""
-
-    def __init__(self, uri: str, name: str, parts: int, numbers: int):
-        self.uri, self.name, self.parts, self.numbers = uri, name, parts, numbers
-        self.open: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-
-    def _part(self, p: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        if p not in self.open:
-            fs, path = file_system(f"{self.uri}/{self.name}-{p}")
-            if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
-                self.open[p] = np.empty(0, np.uint64), [np.empty(0, np.uint32)] * self.numbers
-                return self.open[p]
-            if fs.type_name != "local":
-                with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile(delete=False) as own:
-                    while chunk := f.read(1 << 22):
-                        own.write(chunk)
-                path = own.name
-            data = np.memmap(path, np.uint8, "r")
-            if fs.type_name != "local":
-                os.unlink(path)
-            n = int.from_bytes(data[:8].tobytes(), "little")
-            keys, rest = data[8 : 8 + 8 * n].view(np.uint64), data[8 + 8 * n :]
-            self.open[p] = keys, [rest[4 * n * i : 4 * n * (i + 1)].view(np.uint32) for i in range(self.numbers)]
-        return self.open[p]
+    """The parts of an order, mapped when first needed, at most MAPS files at once. Where the folder is not a
+    local path, a file is fetched first. A file that was written and is gone raises FileNotFoundError."""
+
+    def __init__(self, uri: str, parts: int, shelf: int, files: set[int], numbers: int):
+        self.uri, self.parts, self.shelf, self.files, self.numbers = uri, parts, shelf, files, numbers
+        self.open: OrderedDict[int, tuple[np.ndarray, dict]] = OrderedDict()
+
+    def _file(self, shelf: int) -> tuple[np.ndarray, dict]:
+        if shelf in self.open:
+            self.open.move_to_end(shelf)
+            return self.open[shelf]
+        fs, path = file_system(f"{self.uri}/{shelf}")
+        if fs.type_name != "local":
+            with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile(delete=False) as own:
+                while chunk := f.read(1 << 22):
+                    own.write(chunk)
+            path = own.name
+        data = np.memmap(path, np.uint8, "r")
+        if fs.type_name != "local":
+            os.unlink(path)
+        size = int.from_bytes(data[-8:].tobytes(), "little")
+        self.open[shelf] = data, json.loads(data[-8 - size : -8].tobytes())
+        if len(self.open) > MAPS:
+            self.open.popitem(last=False)
+        return self.open[shelf]
+
+    def _part(self, part: int) -> list[np.ndarray]:
+        data, index = self._file(part // self.shelf) if part // self.shelf in self.files else (None, {})
+        if str(part) not in index:
+            return [np.empty(0, np.uint64)]
+        at, n, *widths = index[str(part)]
+        out = []
+        for w in widths:
+            out.append(data[at : at + n * w].view(f"<u{w}"))
+            at += n * w + -(n * w) % 8
+        return out
 
     def get(self, keys: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
         """The numbers of each key, 0 where it is absent; keys ascend within parts, so that pages are read in order."""
         out = [np.zeros(keys.size, np.int64) for _ in range(self.numbers)]
         order = np.lexsort((keys, part))
-        ends = np.searchsorted(part[order], np.arange(self.parts + 1))
-        for p in np.flatnonzero(np.diff(ends)).tolist():
-            at = order[ends[p] : ends[p + 1]]
-            known, columns = self._part(p)
+        ends = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            at = order[lo:hi]
+            known, *columns = self._part(int(part[at[0]]))
             if known.size:
                 spot = np.minimum(np.searchsorted(known, keys[at]), known.size - 1)
                 found = known[spot] == keys[at]
@@ -187,21 +259,23 @@ class Arrays:
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """The discounts of counts 0, 1, 2 and more from how many counts are 1, 2, 3, 4."""
+    """The discounts of counts 0, 1, 2 and more from how many counts are 1, 2, 3, 4: inside (0, k), so that
+    something is always left for what was not seen."""
     if min(n) <= 0:
         return np.array([0.0, 0.5, 1.0, 1.5])
     y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0, *[min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)]])
+    return np.array([0.0, *[min(max(k - (k + 1) * y * n[k] / n[k - 1], MARGIN), k - MARGIN) for k in (1, 2, 3)]])
 
 
 class Model:
-    """Where the arrays are and the numbers that all words share."""
-
-    def __init__(self, uri: str, parts: int, frequent: np.ndarray, stats: list[int]):
-        self.uri, self.parts, self.frequent = uri, parts, frequent
-        self.tokens, self.distinct, self.pairs = stats[0], stats[1], stats[2]
-        self.high, self.low = discounts(stats[3:7]), discounts(stats[7:11])
-        self.rest = [stats[7], stats[8], self.distinct - stats[7] - stats[8]]
+    """Where the arrays are and the numbers that all words share; stats by order: how many n-grams count 1, 2,
+    3, 4, how many there are, the sum of their counts, occurrences."""
+
+    def __init__(self, uri: str, order: int, parts: int, shelf: int, frequent: np.ndarray, stats: dict[int, list[int]], files: dict[int, set[int]]):
+        self.uri, self.order, self.parts, self.shelf, self.frequent, self.files = uri, order, parts, shelf, frequent, files
+        self.discounts = {k: discounts(stats[k][:4]) for k in range(1, order + 1)}
+        once, twice, _, _, self.distinct, self.pairs, self.tokens = stats[1]
+        self.rest = [once, twice, self.distinct - once - twice]
         self.arrays = None
 
     def __getstate__(self):
@@ -210,99 +284,187 @@ class Model:
     def score(self, hashes: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per document: known tokens, the base score, the model's log10 probability."""
         if self.arrays is None:
-            self.arrays = Arrays(self.uri, "grams", self.parts, 1), Arrays(self.uri, "words", self.parts, len(WORD))
-        contexts, words = bigrams(hashes)
-        own, back = np.unique(np.concatenate([contexts, words]), return_inverse=True)
-        count, before, total, once, twice, more = self.arrays[1].get(own, dealt(mixed(own), self.parts))
-        u, w = back[: words.size], back[words.size :]
-        grams, first, of = np.unique(mixed(contexts, words), return_index=True, return_inverse=True)
-        c = self.arrays[0].get(grams, part_of(contexts[first], grams, self.frequent, self.parts))[0][of]
-        low = np.maximum(before - self.low[np.minimum(before, 3)], 0.0)
-        left = float(np.dot(self.low[1:], self.rest)) if self.pairs else 1.0
-        low = (low + left / (self.distinct + 1)) / max(self.pairs, 1)
-        weight = np.where(total > 0, (self.high[1] * once + self.high[2] * twice + self.high[3] * more) / np.maximum(total, 1), 1.0)
-        p = np.maximum(c - self.high[np.minimum(c, 3)], 0.0) / np.maximum(total[u], 1) + weight[u] * low[w]
-        base = np.log10((count[w] + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
+            self.arrays = {k: Arrays(f"{self.uri}/{k}", self.parts, self.shelf, self.files[k], len(stored(k, self.order, NUMBERS))) for k in range(1, self.order + 1)}
+        words, own = padded(hashes, self.order)
+        key, last = None, None
+        for k in range(1, self.order + 1):
+            before, key = key, mixed(words)
+            if k > 1:
+                key = np.r_[np.uint64(0), mixed(before[:-1], words[1:])]
+            if k < self.order:
+                distinct, back = np.unique(key, return_inverse=True)
+                numbers = [n[back] for n in self.arrays[k].get(distinct, dealt(distinct, self.parts))]
+                raw, *numbers = numbers if k == 1 else (raw, *numbers)
+                count = numbers[0][own]
+            else:
+                distinct, first, back = np.unique(key[own], return_index=True, return_inverse=True)
+                count = self.arrays[k].get(distinct, part_of(before[own - 1][first], distinct, self.frequent, self.parts))[0][back]
+            less = np.maximum(count - self.discounts[k][np.minimum(count, 3)], 0.0)
+            if k == 1:
+                left = float(np.dot(self.discounts[1][1:], self.rest)) if self.pairs else 1.0
+                p = (less + left / (self.distinct + 1)) / max(self.pairs, 1)
+                raw = raw[own]
+            else:
+                _, total, *kinds = (n[own - 1] for n in last)
+                weight = sum(d * n for d, n in zip(self.discounts[k][1:], kinds, strict=True))
+                p = less / np.maximum(total, 1) + np.where(total > 0, weight / np.maximum(total, 1), 1.0) * p
+            last = numbers
+        base = np.log10((raw + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
         starts = np.cumsum([0, *[len(h) for h in hashes[:-1]]])
-        return np.add.reduceat((count[w] > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
+        return np.add.reduceat((raw > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
 
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def frequent_words(source: DataFrame) -> np.ndarray:
-    """Hashes of the start symbol and of the words that are most frequent in a random share of the texts."""
+def frequent_contexts(source: DataFrame, order: int) -> np.ndarray:
+    """Keys of the contexts that are most frequent in a random share of the texts, and of the start's."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, n = Hashes(), Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n.update(hashes.of(t))
+            for lo in range(0, b.num_rows, 256):
+                words, own = padded([hashes.of(t) for t in b.column(0).slice(lo, 256).to_pylist()], order)
+                keys, counts = np.unique(keys_of(ngrams(words, own, order)[:-1]), return_counts=True)
+                n.update(dict(zip(keys.view(np.int64).tolist(), counts.tolist(), strict=True)))
         top = n.most_common(4 * FREQUENT)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in top], pa.int64()) for i in (0, 1)], ["word", "n"])
-
-    counts = source.where(F.rand(11) < SHARE).mapInArrow(listed, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return np.array([START, *[r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in top], pa.int64()) for i in (0, 1)], ["key", "n"])
+
+    counts = source.where(F.rand(11) < SHARE).mapInArrow(listed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    return np.r_[keys_of([np.array([START], np.uint64)] * (order - 1)), found]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[list[int]]]]:
+    """Runs of rows of equal part: blocks, and stats of the rows that carry those."""
+    part, blocks, stats = None, [], []
+    for b in batches:
+        for p, block, s in zip(*[b.column(c).to_pylist() for c in ("part", "block", "stats")], strict=True):
+            if p != part:
+                if part is not None:
+                    yield part, blocks, stats
+                part, blocks, stats = p, [], []
+            if s is None:
+                blocks.append(block)
+            else:
+                stats.append(s)
+    if part is not None:
+        yield part, blocks, stats
+
+
+class Counting:
+    """The steps of a fit, as functions over Arrow batches."""
+
+    def __init__(self, uri: str, order: int, parts: int, shelf: int, frequent: np.ndarray):
+        self.uri, self.order, self.parts, self.shelf, self.frequent = uri, order, parts, shelf, frequent
+
+    def part(self, words: list[np.ndarray]) -> np.ndarray:
+        if len(words) < self.order:
+            return dealt(keys_of(words), self.parts)
+        context = keys_of(words[:-1])
+        return part_of(context, mixed(context, words[-1]), self.frequent, self.parts)
+
+    def counted(self, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct n-grams of about FLUSH tokens at a time, dealt out to groups of `width` parts."""
+        hashes, held, size = Hashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            grams = [np.concatenate([h[i] for h in held]) for i in range(self.order)]
+            _, words, counts = summed(grams, [np.ones(size, np.uint8)])
+            return block_rows(blocks_by(self.part(words) // width, words, counts))
 
-
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Counts all of `docs`; the bigrams of a part and its words meet in one task, nothing at the driver."""
-    spark = docs.sparkSession
-    uri = shared_path(spark, "language-model")
-    fs, path = file_system(uri)
-    fs.create_dir(path, recursive=True)
-    source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = max(1, round((source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART))
-    frequent = frequent_words(source)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-
-        def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            contexts, words = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            grams, at, (n,) = summed(mixed(contexts, words), [np.ones(words.size, np.uint32)])
-            contexts, words = contexts[at], words[at]
-            rows = list(blocks_by(part_of(contexts, grams, frequent, parts), parts, [contexts, words], [n]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "block"])
-
-        held, size = [], 0
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                held.append(bigrams([hashes.of(t) for t in b.column(0).slice(lo, 256).to_pylist()]))
-                size += held[-1][1].size
+                words, own = padded([hashes.of(t) for t in b.column(0).slice(lo, 256).to_pylist()], self.order)
+                held.append(ngrams(words, own, self.order))
+                size += own.size
                 if size >= FLUSH:
-                    yield flush(held)
+                    yield flush()
                     held, size = [], 0
         if held:
-            yield flush(held)
-
-    def merged(key: tuple, table: pa.Table) -> pa.Table:
-        (contexts, words), (n,) = gathered(table.column("block").to_pylist(), 2, 1)
-        grams, at, (n,) = summed(mixed(contexts, words), [n])
-        contexts, words = contexts[at], words[at]
-        save(f"{uri}/grams-{key[0].as_py()}", [grams, n.astype(np.uint32)])
-        none = np.zeros(n.size, np.uint32)
-        both = np.concatenate([contexts, words])
-        numbers = [np.r_[none, n], np.r_[none, none + 1], np.r_[n, none], np.r_[n == 1, none], np.r_[n == 2, none], np.r_[n > 2, none]]
-        own, _, numbers = summed(both, numbers)
-        rows = list(blocks_by(dealt(mixed(own), parts), parts, [own], numbers))
-        stats = [[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [[0] * 4] * (len(rows) - 1)
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(stats, pa.list_(pa.int64()))], ["part", "block", "stats"])
-
-    def closed(key: tuple, table: pa.Table) -> pa.Table:
-        (own,), numbers = gathered(table.column("block").to_pylist(), 1, len(WORD))
-        own, _, numbers = summed(own, numbers)
-        save(f"{uri}/words-{key[0].as_py()}", [own, *[n.astype(np.uint32) for n in numbers]])
-        count, before = numbers[0], numbers[1]
-        high = np.sum(table.column("stats").to_pylist(), axis=0).tolist()
-        row = [int(count.sum()), int((count > 0).sum()), int(before.sum()), *high, *[int((before == k).sum()) for k in (1, 2, 3, 4)]]
-        return pa.table([pa.array([v], pa.int64()) for v in row], names=[f"s{i}" for i in range(len(row))])
-
-    grams = source.mapInArrow(counted, "part long, block binary").groupBy("part").applyInArrow(merged, "part long, block binary, stats array<long>")
-    names = [f"s{i}" for i in range(11)]
-    row = grams.groupBy("part").applyInArrow(closed, ", ".join(f"{c} long" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
-    return Model(uri, parts, frequent, [row[c] or 0 for c in names])
+            yield flush()
+
+    def redealt(self, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of larger groups, dealt out to groups of `width` parts; stats pass."""
+        for part, blocks, stats in sorted_groups(batches):
+            if stats:
+                yield rows_of([part] * len(stats), [None] * len(stats), stats)
+            lo = 0
+            while lo < len(blocks):
+                hi, size = lo, 0
+                while hi < len(blocks) and (hi == lo or size < FLUSH):
+                    size += len(blocks[hi]) // 4
+                    hi += 1
+                _, words, numbers = gathered(blocks[lo:hi])
+                yield block_rows(blocks_by(self.part(words) // width, words, numbers))
+                lo = hi
+
+    def merged(self, order: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes the parts of an order, and passes on what they say of the next lower one. Stats go along in
+        rows of negative part: of order k its counts in part -k, and its number of files."""
+        writer, shelf, total = None, None, np.zeros(8, np.int64)
+        for part, blocks, stats in sorted_groups(batches):
+            if part < 0:
+                yield rows_of([part], [None], [np.sum(stats, axis=0).tolist()])
+                continue
+            if part // self.shelf != shelf:
+                if writer:
+                    writer.close()
+                shelf = part // self.shelf
+                writer = Writer(f"{self.uri}/{order}", shelf)
+                total[7] += 1
+            keys, words, numbers = gathered(blocks)
+            raw, count = numbers[0], numbers[order < self.order]
+            writer.add(part, [keys, *map(narrow, stored(order, self.order, numbers))])
+            total[:7] += [*[int((count == k).sum()) for k in (1, 2, 3, 4)], int((count > 0).sum()), int(count.sum()), int(raw.sum())]
+            if order > 1:
+                real = np.flatnonzero(count)
+                words, raw, count = [w[real] for w in words], raw[real], count[real]
+                none, one = np.zeros(count.size, np.uint8), np.ones(count.size, np.uint8)
+                pairs = [(raw, none), (one, none), (none, count), (none, count == 1), (none, count == 2), (none, count > 2)]
+                both = [np.concatenate([a, b]) for a, b in zip(words[1:], words[:-1], strict=True)]
+                _, lower, sums = summed(both, [np.concatenate(p) for p in pairs])
+                yield block_rows(blocks_by(self.part(lower) // width, lower, sums))
+        if writer:
+            writer.close()
+            yield rows_of([-order], [None], [total.tolist()])
+
+
+def fit(docs: DataFrame, text: str = "text", order: int = ORDER, part_bytes: int = PART) -> Model:
+    """Counts all of `docs`; the blocks of a part meet in one task, at the driver only sums and file names."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
+    spark = docs.sparkSession
+    uri = shared_path(spark, "language-model")
+    fs, path = file_system(uri)
+    for k in range(1, order + 1):
+        fs.create_dir(f"{path}/{k}", recursive=True)
+    source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    parts = max(1, round((source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / part_bytes))
+    steps = Counting(uri, order, parts, -(-parts // FILES), frequent_contexts(source, order))
+    widths = [1]
+    while -(-parts // widths[0]) > FAN:
+        widths.insert(0, widths[0] * FAN)
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Rows, dealt out digit by digit until those of a part, and of the parts of a file, are in one task."""
+        for width in widths[1:]:
+            salted = rows.withColumn("salt", F.spark_partition_id() % 64).repartition("part", "salt").sortWithinPartitions("part")
+            rows = salted.drop("salt").mapInArrow(lambda batches, w=width: steps.redealt(w, batches), ROWS)
+        shelf = F.when(F.col("part") >= 0, F.floor(F.col("part") / steps.shelf)).otherwise(F.col("part"))
+        return rows.repartition(shelf).sortWithinPartitions("part")
+
+    rows = source.mapInArrow(lambda batches: steps.counted(widths[0], batches), ROWS)
+    for k in range(order, 0, -1):
+        rows = met(rows).mapInArrow(lambda batches, k=k: steps.merged(k, widths[0], batches), ROWS)
+    sums = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(8)]
+    got = {-r["part"]: [r[f"s{i}"] for i in range(8)] for r in rows.groupBy("part").agg(*sums).collect()}
+    stats = {k: got.get(k, [0] * 8) for k in range(1, order + 1)}
+    files = {k: {int(f.base_name) for f in fs.get_file_info(pa.fs.FileSelector(f"{path}/{k}")) if f.base_name.isdigit()} for k in stats}
+    if any(len(files[k]) != stats[k][7] for k in files):
+        raise FileNotFoundError(f"files of the model in {uri} are missing")
+    return Model(uri, order, parts, steps.shelf, steps.frequent, {k: v[:7] for k, v in stats.items()}, files)
 
 
 SCHEMA = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "perplexity": pa.float64()}
