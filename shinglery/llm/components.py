@@ -27,7 +27,8 @@ def _star(edges: DataFrame, large: bool, made: list[DataFrame]) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """`(node, root)` of every node of an edge, root being the component's least; edges: `(a, b)` of one type
-    that has an order. Nulls and loops are no edges. The tables of a round go when the next one stands."""
+    that has an order. Nulls and loops are no edges. The tables of a round go when the next one stands;
+    the last one goes with `discard`."""
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
@@ -38,4 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == was:
             break
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out.shared_path = now.shared_path
+    return out

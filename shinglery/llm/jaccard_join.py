@@ -2,30 +2,34 @@
 
 Documents are sets of five-word shingles; equal sets are one class, and only classes are compared. MinHash
 values propose pairs (bands that agree), and are then compared a few at a time: a pair is dropped when the
-posterior probability that its similarity reaches the threshold falls below the tolerance. What remains is
-verified exactly on the shingle sets, so no pair is reported wrongly.
+posterior probability that its similarity reaches the threshold falls below the tolerance. The pairs that remain,
+and no others, are verified exactly on the shingle sets, so no pair is reported wrongly.
 
 No stage emits all pairs of a group: large buckets and groups are cut into blocks, each pair of blocks is one
-task's work, and it leaves link counts and a spanning forest of its links. A pair at the threshold itself is
-missed with probability (1 - 0.8^3)^16, about 1e-5, by the bands, and below TOLERANCE a step by the pruning.
-
-Defined cases: null text is empty; a text of one to four words has the one shingle of all its words; empty
-texts are copies of each other; repeated rows are copies; null ids are rows like others and never name a
-class that has another id; other columns are ignored.
+task's work, and it leaves link counts and a spanning forest of its links. A group of more than GROUP classes is
+pruned a second time, now to learn which pairs of its blocks hold a remaining pair at all, and a class goes only
+to the pairs of blocks that need it: a long chain of copies costs in proportion to its remaining pairs, and only
+a group in which all are alike costs a copy of each class for each block. A pair of similarity 0.8, the worst
+case, is missed with 1.4e-5 (see `missed`: no band agrees, or a step drops it).
+
+Defined cases: null text is empty; a text of one to four words has the one shingle of all its words; texts
+without words are copies of each other only if they are equal; repeated rows are copies; null ids are rows like
+others and never name a class that has another id; other columns are ignored. Classes and texts are told apart
+by 128-bit digests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import map_texts, numbered, written
+from shinglery.llm.common import discard, map_texts, numbered, written
 from shinglery.llm.components import components
 from shinglery.llm.licences import LOWER, WORDS
 
@@ -35,9 +39,11 @@ FUNCTIONS = BANDS * ROWS
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 12, 1e-6
 #: Rows of a block of a bucket, and of a group that is verified.
-BUCKET, GROUP = 256, 256
+BUCKET, GROUP = 256, 128
 #: Shingles folded at once, words that a worker remembers, columns of a block's incidence matrix.
 CHUNK, REMEMBERED, COLUMNS = 1 << 14, 300_000, 8192
+#: From so many pairs a class on, the sizes of intersections come from an incidence matrix.
+DENSE = 4
 
 _RNG = np.random.default_rng(20)
 MULTIPLY = _RNG.integers(1, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,8 +116,24 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 LEAST = least_matches()
 
 
-def surviving(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) that no step drops and that agree in no band before `band`."""
+def missed(similarity: float = THRESHOLD) -> float:
+    """The probability that a pair of this similarity is not verified: the steps and bands as a chain over
+    (values compared, matches, does the band so far agree, did a band agree)."""
+    states = {(0, True, False): 1.0}
+    for n in range(1, FUNCTIONS + 1):
+        after: dict[tuple[int, bool, bool], float] = {}
+        for (m, whole, met), p in states.items():
+            for hit, q in ((1, similarity), (0, 1 - similarity)):
+                own = whole and bool(hit)
+                state = (m + hit, True, met or own) if n % ROWS == 0 else (m + hit, own, met)
+                if state[0] >= LEAST.get(n, 0):
+                    after[state] = after.get(state, 0.0) + p * q
+        states = after
+    return 1 - sum(p for (_, _, met), p in states.items() if met)
+
+
+def surviving(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b) that no step drops and that agree in a band, and the first such band."""
     met = np.zeros((len(a), len(b)), np.uint8)
     for j in range(STEP):
         met += a[:, j, None] == b[None, :, j]
@@ -122,8 +144,8 @@ def surviving(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.n
         stays = m >= LEAST[n + STEP]
         i, j, m = i[stays], j[stays], m[stays]
     agree = (a[i] == b[j]).reshape(-1, BANDS, ROWS).all(2)
-    first = agree[:, band] & ~agree[:, :band].any(1)
-    return i[first], j[first]
+    some = agree.any(1)
+    return i[some], j[some], agree[some].argmax(1)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -140,13 +162,19 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def blocked(df: DataFrame, by: list[str], count: str, size: int) -> DataFrame:
-    """Rows of a group of `count` rows, dealt into blocks of about `size` by a hash of the node, once for
-    each pair of blocks that holds theirs: `(lo, hi, own)`."""
+def blocks(count: str, size: int) -> tuple[Column, Column]:
+    """How many blocks of about `size` a group of `count` nodes has, and the block of a node."""
     n = F.ceil(F.col(count) / size).cast("int")
-    own = F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
-    pairs = df.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), n - 1)))
-    return pairs.select("*", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")).drop("with", count)
+    return n, F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
+
+
+def dealt(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Rows by (group, pair of blocks), sorted; the pairs of a group go to partitions in turn, so that a large
+    group does not fill some by chance."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.col("lo").cast("long") + F.expr("hi * (hi + 1L) div 2")
+    at = F.pmod(F.xxhash64(group).bitwiseAND(F.lit((1 << 62) - 1)) + turn, F.lit(parts)).cast("int")
+    return df.repartitionById(parts, at).sortWithinPartitions(*order)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -155,7 +183,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(k).to_numpy() for k in keys]
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
         cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
         if held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
             yield pa.Table.from_batches(held)
@@ -171,50 +199,92 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def text_digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def node_of(text: str, shingles: np.ndarray) -> bytes:
+    """The digest of the set of shingles, or of the text if it has none."""
+    return xxhash.xxh3_128_digest(shingles.tobytes() if shingles.size else b"text:" + text.encode("utf-8", "replace"))
+
+
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, text_hash, node, n_shingles, sig)` by document; equal sets have equal nodes."""
     make = Shingler()
 
     def fold(texts: list[str]) -> dict[str, list]:
         sets = [make(t) for t in texts]
-        nodes = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True) for s in sets]
-        return {"node": nodes, "n_shingles": [s.size for s in sets], "sig": [row.tobytes() for row in minhashes(sets)]}
+        return {"node": [node_of(t, s) for t, s in zip(texts, sets, strict=True)], "n_shingles": [s.size for s in sets], "sig": [row.tobytes() for row in minhashes(sets)]}
 
-    source = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
-    return map_texts(source, fold, {"node": pa.int64(), "n_shingles": pa.int64(), "sig": pa.binary()}, "text")
+    source = docs.select(F.col(key), text_digest(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_texts(source, fold, {"node": pa.binary(), "n_shingles": pa.int64(), "sig": pa.binary()}, "text")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """`(a, b)`: a spanning forest of the pairs that pruning leaves, per pair of blocks of each bucket.
+def signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+
+
+def candidates(classes: DataFrame, found: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str, carry: list[str]) -> DataFrame:
+    """What `found` makes of the pairs that pruning leaves, per pair of blocks of each bucket: it gets the rows
+    `(node, *carry)` and the pairs of which this bucket is the first. classes: `(node, sig, *carry)`.
 
     Buckets are grouped by key alone first; signatures are joined only to rows of buckets of two and more.
     Sizes of groups are written before a join here and below, so that a skewed join can be split.
     """
     words = [F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS) for i in range(BANDS)]
     keys = F.array(*[F.xxhash64(F.lit(i), w) for i, w in enumerate(words)])
-    rows = classes.where("n_shingles > 0").select("node", F.posexplode(keys).alias("band", "bucket"))
+    rows = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
     sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("bucket", "full"), "buckets")
-    met = rows.join(sizes, F.col("bucket") == F.col("full")).select("node", "band", "bucket", "size")
-    sigs = classes.select(F.col("node").alias("sig_node"), "sig")
-    work = blocked(met, ["bucket"], "size", BUCKET).join(sigs, F.col("node") == F.col("sig_node")).drop("sig_node")
+    n, own = blocks("size", BUCKET)
+    met = rows.join(sizes, F.col("bucket") == F.col("full")).select("node", "band", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("with"))
+    met = met.select("node", "band", "bucket", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+    work = met.join(classes.withColumnRenamed("node", "sig_node"), F.col("node") == F.col("sig_node")).drop("sig_node")
     order = ["bucket", "band", "lo", "hi"]
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, order):
             own, lo, hi = t.column("own").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            node = t.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+            sig = signatures(t.column("sig"))
             left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-            i, j = surviving(sig[left], sig[right], t.column("band")[0].as_py())
-            i, j = left[i], right[j]
+            i, j, band = surviving(sig[left], sig[right])
+            mine = band == t.column("band")[0].as_py()
+            i, j = left[i[mine]], right[j[mine]]
             if lo == hi:
                 i, j = i[i < j], j[i < j]
-            root = forest(node.size, i, j)
-            at = np.flatnonzero(root != np.arange(node.size))
-            if at.size:
-                yield pa.RecordBatch.from_arrays([pa.array(node[root[at]]), pa.array(node[at])], ["a", "b"])
+            if i.size and (out := found(t, i, j)) is not None:
+                yield out
+
+    return dealt(work.select("node", "own", "sig", *carry, *order), "bucket", order).mapInArrow(pruned, schema)
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """`(a, b)`: a spanning forest of the pairs that pruning leaves, per pair of blocks of each bucket."""
 
-    return work.repartition(*order).sortWithinPartitions(*order).select("node", "own", "sig", *order).mapInArrow(pruned, "a long, b long")
+    def linked(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        root = forest(t.num_rows, i, j)
+        at = np.flatnonzero(root != np.arange(t.num_rows))
+        node = t.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(root[at])), node.take(pa.array(at))], ["a", "b"])
+
+    return candidates(classes, linked, "a binary, b binary", [])
+
+
+def places(members: DataFrame) -> DataFrame:
+    """`(root, lo, hi, node)`: the pairs of blocks of its group in which a class has a pair to verify.
+
+    members: `(root, size, node, own, sig)`. A group of one block is one place for all.
+    """
+    small = members.where(F.col("size") <= GROUP).select("root", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node")
+    large = members.where(F.col("size") > GROUP).select("node", "sig", "root", F.col("own").alias("part"))
+
+    def placed(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        part = t.column("part").to_numpy().astype(np.int64)
+        lo, hi = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+        found = np.unique(np.stack([np.r_[i, j], np.r_[lo, lo], np.r_[hi, hi]]), axis=1)
+        at = pa.array(found[0])
+        return pa.RecordBatch.from_arrays([t.column("root").combine_chunks().take(at), *[pa.array(x.astype(np.int32)) for x in found[1:]], t.column("node").combine_chunks().take(at)], ["root", "lo", "hi", "node"])
+
+    return small.unionByName(candidates(large, placed, "root binary, lo int, hi int, node binary", ["root", "part"]).distinct())
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -238,62 +308,76 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """From `(root, size, node, copies, text)`: exact links, as `(a, b)` of a spanning forest with `links`
-    null, and as `(a, links)` with b null: how many documents a block links to a node's."""
-    work = blocked(members, ["root"], "size", GROUP)
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs of sorted sets reach the threshold."""
+    if i.size >= DENSE * len(sets):
+        both = overlaps(sets)[i, j]
+    else:
+        both = np.array([np.intersect1d(sets[a], sets[b], assume_unique=True).size for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.float64)
+    sizes = np.array([s.size for s in sets], np.float64)
+    return both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+
+
+def verified(work: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """From `(root, lo, hi, node, own, copies, sig, shingles)`: exact links, as `(a, b)` of a spanning forest with
+    `links` null, and as `(a, links)` with b null: how many documents a pair of blocks links to a node's."""
     order = ["root", "lo", "hi"]
-    make = Shingler()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, order):
-            _, keep = np.unique(t.column("node").to_numpy(), return_index=True)
-            t = t.take(pa.array(keep))
             own, lo, hi = t.column("own").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
-            sets = [make(x) for x in t.column("text").to_pylist()]
-            both, sizes = overlaps(sets), np.array([s.size for s in sets], np.float64)
-            linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-            np.fill_diagonal(linked, False)
-            if lo != hi:
-                linked &= own[:, None] != own[None, :]
-            count = linked @ copies
-            i, j = np.nonzero(np.triu(linked))
-            root = forest(node.size, i, j)
-            at, some = np.flatnonzero(root != np.arange(node.size)), np.flatnonzero(count)
-            none = lambda n: pa.nulls(n, pa.int64())
+            node, copies, sig = t.column("node").combine_chunks(), t.column("copies").to_numpy(), signatures(t.column("sig"))
+            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            i, j, _ = surviving(sig[left], sig[right])
+            i, j = left[i], right[j]
+            if lo == hi:
+                i, j = i[i < j], j[i < j]
+            if not i.size:
+                continue
+            some = np.unique(np.r_[i, j])
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").combine_chunks().take(pa.array(some)).to_pylist()]
+            near = similar(sets, np.searchsorted(some, i), np.searchsorted(some, j), threshold)
+            i, j = i[near], j[near]
+            count = np.bincount(np.r_[i, j], np.r_[copies[j], copies[i]], t.num_rows).astype(np.int64)
+            root = forest(t.num_rows, i, j)
+            at, some = np.flatnonzero(root != np.arange(t.num_rows)), np.flatnonzero(count)
             if some.size:
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]]), none(at.size)], ["a", "b", "links"])
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), none(some.size), pa.array(count[some].astype(np.int64))], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(root[at])), pa.nulls(at.size, pa.int64())], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.nulls(some.size, pa.binary()), pa.array(count[some])], ["a", "b", "links"])
 
-    picked = work.select("root", "lo", "hi", "own", "node", "copies", "text")
-    return picked.repartition(*order).sortWithinPartitions(*order).mapInArrow(exact, "a long, b long, links long")
+    return dealt(work, "root", order).mapInArrow(exact, "a binary, b binary, links long")
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, class_id, rep_id, n_links, n_shingles, text_hash, class_hash)`, a row per document: the least id
     of all documents that links connect, the least id of its copies, how many documents are linked to it
-    (copies included), and hashes of its text and of the text that stands for its class."""
+    (copies included), and digests of its text and of the text that stands for its class."""
     rows = written(described(docs, key, text), "sets")
     first = F.min(F.struct(F.col(key).isNull(), F.col(key), "text_hash"))
     classes = written(rows.groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
-    near = components(candidate_links(classes))
+    near = components(candidate_links(classes.where("n_shingles > 0").select("node", "sig")))
     sizes = written(near.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "sized"), "sizes")
-    sized = near.join(sizes, F.col("root") == F.col("sized")).drop("sized")
-    names = classes.select(F.col("node").alias("own_node"), F.col(f"first.{key}").alias("first_key"), F.col("first.text_hash").alias("first_hash"), "copies")
+    sized = near.join(sizes, F.col("root") == F.col("sized")).select("root", "size", "node", blocks("size", GROUP)[1].alias("own"))
+    names = classes.select(F.col("node").alias("own_node"), F.col(f"first.{key}").alias("first_key"), F.col("first.text_hash").alias("first_hash"), "copies", "sig")
     wanted = sized.join(names, F.col("node") == F.col("own_node")).drop("own_node").hint("shuffle_hash")
     texts = docs.select(F.col(key).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = texts.withColumn("own_hash", F.xxhash64("text"))
-    members = texts.join(wanted, F.col("text_key").eqNullSafe(F.col("first_key")) & (F.col("own_hash") == F.col("first_hash")))
-    links = written(verified(members.select("root", "size", "node", "copies", "text")), "links")
-    roots = components(links.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("linked"), "root")
+    texts = texts.withColumn("own_hash", text_digest("text"))
+    found = texts.join(wanted, F.col("text_key").eqNullSafe(F.col("first_key")) & (F.col("own_hash") == F.col("first_hash")))
+    make = Shingler()
+    found = map_texts(found.select("root", "size", "node", "own", "copies", "sig", "text"), lambda x: {"shingles": [make(t).tobytes() for t in x]}, {"shingles": pa.binary()})
+    members = written(found.groupBy("node").agg(*[F.first(c).alias(c) for c in found.columns if c != "node"]), "members")
+    at = places(members.select("root", "size", "node", "own", "sig"))
+    work = at.join(members.select(F.col("node").alias("own_node"), "own", "copies", "sig", "shingles"), F.col("node") == F.col("own_node")).drop("own_node")
+    links = written(verified(work), "links")
+    roots = components(links.where("b IS NOT NULL").select("a", "b"))
     counts = links.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "counted")
     own = classes.select("node", F.col(f"first.{key}").alias("rep_id"), F.col("first.text_hash").alias("rep_hash"), "copies")
-    own = own.join(roots, F.col("node") == F.col("linked"), "left").join(counts, F.col("node") == F.col("counted"), "left")
+    own = own.join(roots.select(F.col("node").alias("linked"), "root"), F.col("node") == F.col("linked"), "left").join(counts, F.col("node") == F.col("counted"), "left")
     own = written(own.select("node", "rep_id", "rep_hash", "copies", F.coalesce("root", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links")), "nodes")
     least = own.groupBy("group").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "rep_hash")).alias("least"))
     least = written(least.withColumnRenamed("group", "grouped"), "least")
     final = written(own.join(least, F.col("group") == F.col("grouped")).select(F.col("node").alias("final"), F.col("least.rep_id").alias("class_id"), F.col("least.rep_hash").alias("class_hash"), "rep_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "final")
+    discard(classes, near, sizes, members, links, roots, own, least)
     out = rows.select(key, "node", "n_shingles", "text_hash").join(final, F.col("node") == F.col("final"))
     return out.select(key, "class_id", "rep_id", "n_links", "n_shingles", "text_hash", "class_hash")
 
@@ -305,6 +389,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     stay = stay.select(F.col(key).alias("stay_key"), F.col("text_hash").alias("stay_hash")).distinct().hint("shuffle_hash")
     own, own_text = numbered(docs, text)
     own_key = own.columns[docs.columns.index(key)]
-    own = own.withColumn("own_hash", F.xxhash64(F.coalesce(F.col(own_text), F.lit(""))))
+    own = own.withColumn("own_hash", text_digest(own_text))
     kept = own.join(stay, F.col(own_key).eqNullSafe(F.col("stay_key")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
     return kept.dropDuplicates([own_key, "own_hash"]).drop("own_hash").toDF(*docs.columns)
