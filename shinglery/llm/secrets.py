@@ -40,7 +40,7 @@ FURTHER = {
 }
 KINDS = (*BASE, *FURTHER)
 FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-#: Up to so many unseen blobs (48 bytes each) are broadcast to the texts, so that only their texts move.
+#: Up to so many unseen blobs (about 60 bytes each) are broadcast to the texts, so that only their texts move.
 FEW = 100_000
 
 
@@ -86,17 +86,18 @@ def update_ledger(versions: DataFrame, path: str = "doc_id", text: str = "text",
     path and blob are reduced to one before they move and before they are scanned.
     """
     spark = versions.sparkSession
-    addressed = versions.select(F.col(path).alias("path"), F.col(text).alias("text"), blob_id(F.col(text)).alias("blob"))
-    unseen = addressed.groupBy("blob").agg(F.min("path").alias("path"))
+    place = F.coalesce(F.concat(F.lit("="), F.col(path).cast("string")), F.lit(""))  # never null, so that dealing by it serves the group and the join
+    addressed = versions.select(place.alias("place"), F.col(text).alias("text"), blob_id(F.col(text)).alias("blob"))
+    unseen = addressed.groupBy("blob").agg(F.min("place").alias("place"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    unseen = written(unseen.select(F.col("blob").alias("first_blob"), F.col("path").alias("first_path")), "unseen")
+    unseen = written(unseen.select(F.col("blob").alias("first_blob"), F.col("place").alias("first_place")), "unseen")
     n = unseen.count()
     at = f"{to}/{shared_path(spark, 'increment').rpartition('/')[2]}" if to else shared_path(spark, "ledger")
     if n:
-        own = (F.col("blob") == F.col("first_blob")) & F.col("path").eqNullSafe(F.col("first_path"))
+        own = (F.col("blob") == F.col("first_blob")) & (F.col("place") == F.col("first_place"))
         texts = addressed.join(F.broadcast(unseen), own, "left_semi") if n <= FEW else addressed
-        texts = texts.groupBy("blob", "path").agg(F.first("text").alias("text"))
+        texts = texts.groupBy("blob", "place").agg(F.first("text").alias("text"))
         texts = texts if n <= FEW else texts.join(unseen.hint("shuffle_hash"), own, "left_semi")
         found = scan_blobs(texts.select("blob", "text"), "text")
     else:
