@@ -1,13 +1,18 @@
 """Exact top-k search by the threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt into blocks of bounded size; each holds one sorted list per dimension. A query reads
-the lists from its best end in growing depths, scores what it has not met, and stops when no unmet vector
-can beat its kth score: the bound is the query's product with the values where the lists stand.
-
-Defined cases: vectors that are null, empty, of another length than most of the query's, or that hold null
+Candidates lie in blocks of CANDIDATES rows in the order of their norms, the longest first; each block holds one
+sorted list per dimension. A query reads the lists from its best end in growing depths, scores what it has not
+met, and stops when no unmet vector can beat its kth score: the bound is the query's product with the values
+where the lists stand. A first pass over the first block gives each query a lower bound of its kth score, which it
+takes along: blocks whose longest vector cannot reach it are not visited at all, and in the others the search
+stops by that bound at once. A candidate is copied once for each QUERIES queries, a query once for each block that
+it visits.
+
+Defined cases: vectors that are null, empty, of another length than the query's, or that hold null
 or non-finite components take no part; ties go to the smaller id; equal vectors are scored once and all
 count; a query never finds its own id; rows with a null id take no part; repeated rows count once, and an id with
-several vectors, on either side, scores the best of its pairs, so that no query finds an id twice; fewer candidates than k give fewer rows; other columns are ignored.
+several vectors, on either side, scores the best of its pairs, so that no query finds an id twice; fewer
+candidates than k give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,13 +20,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shinglery.llm.common import written
+from shinglery.llm.mixing import ranged, running
+
 #: Rows of a block of candidates and of a block of queries.
-CANDIDATES, QUERIES = 8192, 4096
+CANDIDATES, QUERIES = 16384, 16384
 FIRST_DEPTH, GROWTH = 8, 4
 
 
@@ -43,8 +52,8 @@ class Lists:
         self.ascending = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.vectors, self.ascending.T, axis=0).T
 
-    def top(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the best k, by score and then id."""
+    def top(self, own: int, query: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int]]:
+        """(score, id) of the best k, by score and then id, as far as they reach `floor`."""
         n, down = len(self.vectors), query >= 0
         met = np.zeros(n, bool)
         scores = np.empty(n, np.int64)
@@ -62,6 +71,8 @@ class Lists:
             depth, step = until, step * GROWTH
             kth = self._kth(scores, met, own, k)
             stand = np.where(down, self.sorted[rows, n - depth], self.sorted[rows, depth - 1])
+            if floor is not None and (kth is None or kth < floor):
+                kth = floor
             if kth is not None and kth > int(stand @ query):
                 break
         held = np.flatnonzero(met if kth is None else met & (scores >= kth))
@@ -93,50 +104,80 @@ class Lists:
         return None
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "q") -> DataFrame:
-    """`(query_id, rank, vec_id, score)` for integer vectors `(key, vector)`.
-
-    Both sides are dealt into blocks by a hash of the id, so blocks are even; each pair of blocks is a
-    task's work and leaves k rows a query. The number of blocks follows the counts of rows.
-    """
-    many = lambda df, size: max(1, -(-df.count() // size))
-    blocks, groups = many(vectors, CANDIDATES), many(queries, QUERIES)
-    packed = lambda df, role, name, n, other: df.select(
-        F.lit(role).alias("role"), F.col(key).alias("id"), F.col(vector).alias("v"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias(name), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias("other"),
-    )
-    one = packed(vectors, 0, "block", blocks, groups).withColumnRenamed("other", "grp")
-    two = packed(queries, 1, "grp", groups, blocks).withColumnRenamed("other", "block").select(*one.columns)
-    dealt = one.unionByName(two)
+def _search(candidates: DataFrame, queries: DataFrame, k: int, groups: int) -> DataFrame:
+    """`(query_id, vec_id, score)`: the best k of each block that a query visits. candidates: `(block, id, v)`;
+    queries: `(block, grp, id, v, floor)`."""
+    none = F.lit(None).cast("long").alias("floor")
+    one = candidates.select(F.lit(0).alias("role"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), "id", "v", none)
+    rows = one.unionByName(queries.withColumn("role", F.lit(1)))
 
     def search(_: tuple, table: pa.Table) -> pa.Table:
-        role = table.column("role").to_numpy()
-        ids = table.column("id").to_numpy()
-        lists = table.column("v").combine_chunks()
+        role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
+        lists, floors = table.column("v").combine_chunks(), table.column("floor").to_pylist()
         sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.values.to_numpy()[lists.offsets[0].as_py() :]
         starts = np.cumsum(sizes) - sizes
         best: dict[tuple[int, int], int] = {}
         for dim in np.unique(sizes):
             mine = np.flatnonzero(sizes == dim)
-            m = flat[starts[mine][:, None] + np.arange(dim)]
             cand = role[mine] == 0
             if cand.any() and not cand.all():
+                m = flat[starts[mine][:, None] + np.arange(dim)]
                 block = Lists(ids[mine][cand], m[cand])
-                for q, v in zip(ids[mine][~cand], m[~cand], strict=True):
-                    for s, i in block.top(int(q), v, k):
-                        best[int(q), i] = max(s, best.get((int(q), i), s))
+                for row, v in zip(mine[~cand].tolist(), m[~cand], strict=True):
+                    q = int(ids[row])
+                    for s, i in block.top(q, v, k, floors[row]):
+                        best[q, i] = max(s, best.get((q, i), s))
         cols = list(zip(*[(q, i, s) for (q, i), s in best.items()], strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    found = dealt.groupBy("block", "grp").applyInArrow(search, "query_id long, vec_id long, score long")
+    return rows.groupBy("block", "grp").applyInArrow(search, "query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "q") -> DataFrame:
+    """`(query_id, rank, vec_id, score)` for integer vectors `(key, vector)`.
+
+    At the driver meet the counts of rows and the largest norm of each block, a number for CANDIDATES rows.
+    """
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    slim = lambda df: df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct().withColumn("norm", norm)
+    order = [F.col("norm").desc(), F.col("id")]
+    parts = ranged(slim(vectors), *order)
+    placed = running(parts, order, {"rank": F.lit(1)}, []).select("id", "v", "norm", F.floor(F.col("mix_rank") / CANDIDATES).cast("long").alias("block"))
+    placed = written(placed, "candidates")
+    asked = written(slim(queries), "queries")
+    groups = max(1, -(-asked.count() // QUERIES))
+    asked = asked.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups).cast("long")))
+    longest = np.array([r["top"] for r in placed.groupBy("block").agg(F.max("norm").alias("top")).orderBy("block").collect()])
+    first = asked.select(F.lit(0).cast("long").alias("block"), "grp", "id", "v", F.lit(None).cast("long").alias("floor"))
+    found = written(_search(placed.where("block = 0").select("block", "id", "v"), first, k, groups), "first-block")
+    if longest.size < 2:
+        return _ranked(found, k)
+
+    @F.pandas_udf("int")
+    def reach(norms: pd.Series, floors: pd.Series) -> pd.Series:
+        """The last block whose longest vector can reach the floor: |q| |x| >= floor, with room for rounding."""
+        least = np.where(floors > 0, np.square(floors.fillna(0.0)) / np.maximum(norms, 1e-300) * (1 - 1e-9), 0.0)
+        return pd.Series(np.searchsorted(-longest, -least, side="right") - 1)
+
+    bounds = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("bound_id"), F.col("score").alias("floor"))
+    more = asked.join(bounds, F.col("id") == F.col("bound_id"), "left").withColumn("last", reach("norm", F.col("floor").cast("double"))).where("last >= 1")
+    more = more.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("block"), "grp", "id", "v", "floor")
+    rest = _search(placed.where("block > 0").select("block", "id", "v"), more, k, groups)
+    return _ranked(found.unionByName(rest), k)
 
 
 def sql(k: int = 5, every: int = 50) -> str:
-    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-flat AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS d, len(q) AS n FROM v),
-scored AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::BIGINT AS score FROM flat a JOIN flat b ON a.d = b.d AND a.n = b.n AND a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0 GROUP BY a.vec_id, b.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+    return f"""WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM v),
+flat AS MATERIALIZED (SELECT r, vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS d, len(q) AS n FROM numbered),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, a.r AS ra, b.r AS rb, sum(a.x * b.x)::BIGINT AS score FROM flat a JOIN flat b ON a.d = b.d AND a.n = b.n AND a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0 GROUP BY ALL),
+best AS (SELECT query_id, vec_id, max(score) AS score FROM scored GROUP BY query_id, vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM best)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}"""
