@@ -2,9 +2,12 @@
 each source, distributed prefix sums of token counts, and a cut at each source's exact budget; epochs repeat
 where a budget exceeds its source.
 
+A row's size, random key and number are written once, so that the range sort, which reads its input twice, counts
+no words twice; the sums then move numbers only, and texts move once, to what the mix takes of them.
+
 Defined cases: null text has size 0 and is never taken; a null source is a source, last in order; repeated
-rows are rows of their own; an empty table gives no rows; other columns are kept, and names that begin with
-`mix_` are reserved.
+rows are rows of their own, which their numbers keep apart; an empty table gives no rows; other columns are kept,
+and names that begin with `mix_` are reserved.
 """
 
 from __future__ import annotations
@@ -71,15 +74,23 @@ def targets(sized: DataFrame, source: str = "source", size: str = "mix_size") ->
     return parts.select("mix_source", "mix_source_size", target.alias("mix_target"))
 
 
-def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """Adds `mix_size`, `mix_source_size`, `mix_target` and `mix_taken` (words taken, repeats counted).
+def keyed(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id", seed: str = "mix") -> DataFrame:
+    """The columns `keep` with `mix_size`, a random key `mix_rand` from id and text, and the row's number
+    `mix_row`, which is no order but keeps equal rows apart; written."""
+    rand = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    return written(docs.select(*keep, word_count(F.col(text)).alias("mix_size"), rand.alias("mix_rand"), F.monotonically_increasing_id().alias("mix_row")), "keyed")
+
+
+def mix(rows: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
+    """`(key, source, mix_row, mix_size, mix_source_size, mix_target, mix_taken)` of `keyed` rows; mix_taken: words
+    taken, repeats counted.
 
     A source's rows lie in the order of a random key over as many parts as the range sort makes, so that
     a source with most of the rows is spread; its offset per part carries its budget along.
     """
-    keyed = df.withColumn("mix_size", size).withColumn("mix_rand", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    order = [F.col("mix_rand"), F.col(key), F.col("mix_size")]
-    parts = ranged(keyed, F.col(source), *order)
+    slim = rows.select(key, source, "mix_size", "mix_rand", "mix_row")
+    order = [F.col("mix_rand"), F.col(key), F.col("mix_size"), F.col("mix_row")]
+    parts = ranged(slim, F.col(source), *order)
     goal = targets(parts, source)
     base = offsets(parts, {"before": F.sum("mix_size")}, [source])
     base = base.join(goal, F.col(source).eqNullSafe(F.col("mix_source"))).select("mix_source", F.col("mix_part").alias("mix_part_2"), "mix_source_size", "mix_target", "mix_before")
@@ -90,24 +101,26 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
     whole = F.when(F.col("mix_source_size") > 0, F.floor(budget / F.col("mix_source_size"))).otherwise(F.lit(0))
     rest = budget - whole * F.col("mix_source_size")
     taken = whole * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), rest - F.col("mix_before") - F.col("mix_in")))
-    return out.select(*df.columns, "mix_size", "mix_source_size", "mix_target", taken.cast("long").alias("mix_taken"))
+    return out.select(key, source, "mix_row", "mix_size", "mix_source_size", "mix_target", taken.cast("long").alias("mix_taken"))
 
 
-def take(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The mix itself: a row per epoch of each document, the last cut to the words that remain."""
+def take(rows: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The mix itself, of `keyed` rows with their texts: a row per epoch of each document, the last cut to the
+    words that remain, and `mix_words`."""
+    wanted = mixed.where("mix_taken > 0").select(F.col("mix_row").alias("mix_at"), "mix_taken")
     left = F.col("mix_taken") - F.col("mix_size") * F.col("mix_epoch")
     copies = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    rows = mixed.where("mix_taken > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
+    epochs = rows.join(wanted.hint("shuffle_hash"), F.col("mix_row") == F.col("mix_at")).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
     words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
     cut = F.when(left < F.col("mix_size"), words).otherwise(F.col(text))
-    keep = [c for c in mixed.columns if not c.startswith("mix_")]
-    return rows.select(*[cut.alias(c) if c == text else F.col(c) for c in keep], F.least(left, F.col("mix_size")).alias("mix_words"))
+    keep = [c for c in rows.columns if not c.startswith("mix_")]
+    return epochs.select(*[cut.alias(c) if c == text else F.col(c) for c in keep], F.least(left, F.col("mix_size")).alias("mix_words"))
 
 
 def sql(seed: str = "mix") -> str:
     """The same as one statement."""
     w = ", ".join(map(str, WEIGHTS))
-    return f"""WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS r FROM documents),
+    return f"""WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS r FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS s FROM docs GROUP BY source),
 ranked AS (SELECT source, s, [{w}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::BIGINT AS w FROM totals),
 ratio AS (SELECT *, {EPOCHS} * s::DOUBLE / w AS q, sum(s) OVER () AS s_all, sum(w) OVER () AS w_all FROM ranked),
@@ -116,8 +129,3 @@ goal AS (SELECT source, s, least({EPOCHS} * s::DOUBLE, (SELECT lv FROM filled WH
 placed AS (SELECT d.*, g.s, g.target, floor(g.target + 0.5)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY r, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
 epochs AS (SELECT *, CASE WHEN s > 0 THEN budget // s ELSE 0 END AS e FROM placed)
 SELECT doc_id, size, s AS source_size, target, (e * size + greatest(0, least(size, budget - e * s - before)))::BIGINT AS taken FROM epochs"""
-
-
-def slim(docs: DataFrame) -> DataFrame:
-    """What a mix needs of the documents; the text is read once, for its size."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))

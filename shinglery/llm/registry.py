@@ -35,8 +35,8 @@ def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; null texts have size 0, a null source is the last one."""
-    mixed = mixing.mix(mixing.slim(documents(spark, sf_dir)), F.col("size"))
-    return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    mixed = mixing.mix(mixing.keyed(documents(spark, sf_dir), ["doc_id", "source"]))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
