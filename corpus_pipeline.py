@@ -34,7 +34,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each epoch of a document that the mix takes, the last cut at the source's budget."""
     own, text = numbered(docs)
     named = dict(zip(docs.columns, own.columns, strict=True))
-    rows = mixing.take(mixing.mix(own, mixing.word_count(F.col(text)), named["source"], named["doc_id"]), text)
+    keyed = mixing.keyed(own, own.columns, text, named["doc_id"])
+    rows = mixing.take(keyed, mixing.mix(keyed, named["source"], named["doc_id"]), text)
     return rows.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(n).alias(c) for c, n in named.items()])
 
 
