@@ -26,6 +26,8 @@ from shinglery.llm.mixing import ranged, running
 LENGTH, END = 2048, 1
 #: Words that a worker remembers in each of two generations.
 REMEMBERED = 150_000
+#: Up to so many places (40 bytes each) are broadcast.
+SLOTS = 200_000
 PUNCTUATION = string.punctuation
 BEYOND_LATIN = re.compile("[^\x00-\u024f]").search
 
@@ -163,10 +165,11 @@ def places(found: list[tuple[int, list[int]]]) -> tuple[list[tuple[int, int, int
 
 
 def pack(cut: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """Adds `sequence_id` and `offset` to pieces. Only the histogram, of `length` rows at most, meets at the
-    driver; ranks within a length are distributed prefix counts over a range sort."""
+    """Adds `sequence_id` and `offset` to pieces, whose `mix_row` keeps equal ones apart and goes. Only the
+    histogram, of `length` rows at most, meets at the driver; ranks within a length are distributed prefix counts
+    over a range sort. The places are broadcast up to SLOTS, else dealt out by length."""
     spark = cut.sparkSession
-    order = [F.col(key), F.col("start"), F.col("ids_crc32")]
+    order = [F.col(key), F.col("start"), F.col("ids_crc32"), F.col("mix_row")]
     parts = ranged(cut, F.col("length"), *order)
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     slots, sequences = places(patterns({k: v for k, v in counts.items() if k < length}, length))
@@ -174,10 +177,11 @@ def pack(cut: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFrame
     table = spark.createDataFrame(slots, "slot_length long, slot_from long, slot_to long, slot_sequence long, slot_offset long")
     ranked = running(parts, order, {"rank": F.lit(1)}, ["length"])
     here = (F.col("length") == F.col("slot_length")) & (F.col("mix_rank") >= F.col("slot_from")) & (F.col("mix_rank") < F.col("slot_to"))
-    placed = ranked.join(F.broadcast(table), here)
-    return placed.select(*cut.columns, (F.col("slot_sequence") + F.col("mix_rank") - F.col("slot_from")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
+    placed = ranked.join(F.broadcast(table) if len(slots) <= SLOTS else table, here)
+    return placed.select(*[c for c in cut.columns if c != "mix_row"], (F.col("slot_sequence") + F.col("mix_rank") - F.col("slot_from")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Cuts, writes the pieces once (they are small) and packs them."""
-    return pack(written(pieces(docs, path or vocabulary(), key, text, length), "pieces"), key, length)
+    cut = pieces(docs, path or vocabulary(), key, text, length)
+    return pack(written(cut.withColumn("mix_row", F.monotonically_increasing_id()), "pieces"), key, length)
