@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The constants of MurmurHash3_x86_32.
@@ -60,26 +62,42 @@ def murmur3_windows(data: np.ndarray, k: int, seed: int) -> np.ndarray:
         h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(STEP_MUL) + np.uint32(STEP_ADD)
     if k & 3:
         h ^= _mix_words(word(k & ~3, k & 3))
-    h ^= np.uint32(k)
+    return _finish_all(h ^ np.uint32(k))
+
+
+def murmur3_words(words: np.ndarray, seed: int) -> np.ndarray:
+    """The hash of each row of a (rows, n) uint32 array, as its little-endian bytes."""
+    h = np.full(len(words), seed, np.uint32)
+    for j in range(words.shape[1]):
+        h ^= _mix_words(words[:, j])
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(STEP_MUL) + np.uint32(STEP_ADD)
+    return _finish_all(h ^ np.uint32(4 * words.shape[1]))
+
+
+def _finish_all(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint32(16))) * np.uint32(FINAL_1)
     h = (h ^ (h >> np.uint32(13))) * np.uint32(FINAL_2)
     return h ^ (h >> np.uint32(16))
 
 
+def _undo(c: int) -> int:
+    """What undoes a multiplication by an odd constant."""
+    return pow(c, -1, 1 << 32)
+
+
 def seed_literal(seed: int) -> int:
     """The INT whose built-in Spark hash is `seed`.
 
     `hash(x, y)` hashes y under the seed `hash(x)`, and each step of a one-block hash can be undone,
     so exactly one such integer exists for every seed.
     """
-    undo = lambda c: pow(c, -1, 1 << 32)
     h = seed ^ (seed >> 16)
-    h = h * undo(FINAL_2) & M32
+    h = h * _undo(FINAL_2) & M32
     h = h ^ (h >> 13) ^ (h >> 26)
-    h = h * undo(FINAL_1) & M32
+    h = h * _undo(FINAL_1) & M32
     h = (h ^ (h >> 16)) ^ 4
-    h = _rot((h - STEP_ADD) * undo(STEP_MUL) & M32, 19) ^ SPARK_SEED
-    word = _rot(h * undo(C2) & M32, 17) * undo(C1) & M32
+    h = _rot((h - STEP_ADD) * _undo(STEP_MUL) & M32, 19) ^ SPARK_SEED
+    word = _rot(h * _undo(C2) & M32, 17) * _undo(C1) & M32
     return word - (1 << 32) if word >> 31 else word
 
 
@@ -101,3 +119,36 @@ def affine(a: int, b: int, h: Column) -> Column:
     low, high = h.bitwiseAND(F.lit(0xFFFF)), F.shiftright(h, 16)
     top = F.shiftleft((high * F.lit(a)).bitwiseAND(F.lit(0xFFFF)), 16)
     return (low * F.lit(a) + top + F.lit(b)).bitwiseAND(F.lit(M32))
+
+
+def native_whole_hash(df: DataFrame, value: str, seed: int, out: str) -> DataFrame:
+    """Adds `out`, the hash of a BINARY column of any length, as LONG in [0, 2^32); no Python worker runs.
+
+    The built-in hash equals MurmurHash3 on the bytes up to the last multiple of four. Its final mixing can be
+    undone, which gives the state to which the tail and the length are then added. Each step is a column of its
+    own, so that no expression repeats another one; names that begin with `murmur_` are reserved.
+    """
+    n, tail = F.octet_length(value), F.pmod(F.octet_length(value), F.lit(4))
+    byte = lambda i: F.when(tail > i, F.conv(F.hex(F.substring(F.col(value), n - tail + (i + 1), F.lit(1))), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    word = byte(0).bitwiseOR(F.shiftleft(byte(1), 8)).bitwiseOR(F.shiftleft(byte(2), 16))
+    h, k, size = F.col("murmur_h"), F.col("murmur_k"), F.col("murmur_n")
+    times = lambda x, c: affine(c, 0, x)
+    folded = lambda x, *by: functools.reduce(lambda a, b: a.bitwiseXOR(F.shiftright(x, b)), by, x)
+    turned = F.shiftleft(k, 15).bitwiseOR(F.shiftright(k, 17)).bitwiseAND(F.lit(M32))
+    steps = (
+        {"murmur_h": u32(native_hash(F.substring(F.col(value), F.lit(1), n - tail), seed)), "murmur_k": word, "murmur_n": n.cast("long")},
+        {"murmur_h": folded(h, 16), "murmur_k": times(k, C1)},
+        {"murmur_h": times(h, _undo(FINAL_2)), "murmur_k": turned},
+        {"murmur_h": folded(h, 13, 26), "murmur_k": times(k, C2)},
+        {"murmur_h": times(h, _undo(FINAL_1))},
+        {"murmur_h": folded(h, 16)},
+        {"murmur_h": h.bitwiseXOR(size.bitwiseAND(F.lit(~3))).bitwiseXOR(k).bitwiseXOR(size)},
+        {"murmur_h": folded(h, 16)},
+        {"murmur_h": times(h, FINAL_1)},
+        {"murmur_h": folded(h, 13)},
+        {"murmur_h": times(h, FINAL_2)},
+        {out: folded(h, 16)},
+    )
+    for made in steps:
+        df = df.withColumns(made)
+    return df.drop("murmur_h", "murmur_k", "murmur_n")

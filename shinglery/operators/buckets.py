@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.functions.murmur import murmur3_32, native_hash, u32
+from shinglery.functions.murmur import murmur3_words, native_hash, u32
 from shinglery.plans.params import MinHashParams
 
 
@@ -33,10 +33,9 @@ def lane_buckets(signatures: DataFrame, params: MinHashParams, key: str = "doc_i
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for sig in b.column(1).to_pylist():
-                    out.append([murmur3_32(struct.pack(f"<{rows}I", *sig[i * rows : (i + 1) * rows]), seed) for i in range(count)])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], [key, "buckets"])
+                words = b.column(1).flatten().to_numpy().astype(np.uint32).reshape(-1, rows)
+                ends = pa.array(np.arange(0, b.num_rows * count + 1, count, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(murmur3_words(words, seed).astype(np.int64)))], [key, "buckets"])
 
         wide = signatures.select(key, "sig").mapInArrow(hashed, f"{key} {kind}, buckets array<long>")
     return wide.select(key, F.posexplode("buckets").alias("lane", "bucket")).select(key, F.col("lane").cast("long").alias("lane"), "bucket")
@@ -52,3 +51,10 @@ def lane_matrix(buckets: DataFrame, width: int, key: str = "doc_id") -> DataFram
     firsts = [F.min(F.when(place == j, F.col("bucket"))).alias(f"d{j}") for j in range(width)]
     tile = F.floor((F.col(key) - place) / width).cast("long")
     return buckets.groupBy(tile.alias("tile"), "lane").agg(*firsts)
+
+
+def lane_rows(buckets: DataFrame, keys: list[int], key: str = "doc_id", most: int = 1000) -> DataFrame:
+    """`(lane, <key>, <key>, ...)`: the whole matrix of a few documents, lanes as rows, a column for each key."""
+    if len(keys) > most:
+        raise ValueError(f"more than {most} documents: use lane_matrix")
+    return buckets.where(F.col(key).isin(keys)).groupBy("lane").pivot(key, keys).agg(F.min("bucket"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.functions.murmur import murmur3_32, murmur3_windows, native_hash, u32
+from shinglery.functions.murmur import murmur3_windows, native_hash, native_whole_hash, u32
 from shinglery.plans.params import MinHashParams
 
 
@@ -52,12 +52,6 @@ def shingle_long(df: DataFrame, params: MinHashParams, key: str = "doc_id", text
 
 
 def whole_hash(df: DataFrame, seed: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`(key, h)`: the hash of each whole value, of any length, in Arrow batches."""
-    docs = df.where(F.col(text).isNotNull()).select(key, as_bytes(df, text).alias("bin"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hs = pa.array([murmur3_32(x.as_py(), seed) for x in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), hs], [key, "h"])
-
-    return docs.mapInArrow(hashed, f"{key} {dict(df.dtypes)[key]}, h long")
+    """`(key, h)`: the hash of each whole value, of any length, inside the JVM. Rows with null text go."""
+    docs = df.where(F.col(text).isNotNull()).select(key, as_bytes(df, text).alias("murmur_bin"))
+    return native_whole_hash(docs, "murmur_bin", seed, "h").select(key, "h")

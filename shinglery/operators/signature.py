@@ -64,18 +64,18 @@ def _mapped(docs: DataFrame, key: str, params: MinHashParams, hashes_of) -> Data
 def signature(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, sig ARRAY<LONG>)` straight from text; narrow, no shuffle, one pass over Arrow batches.
 
-    Repeated hashes are folded once, as a minimum ignores repeats. Null text is dropped; a document
-    with fewer than k bytes keeps the fold's identity 2^32 - 1 in every place.
+    A minimum ignores repeated hashes; to fold them costs less than to sort them out. Null text is dropped; a
+    document with fewer than k bytes keeps the fold's identity 2^32 - 1 in every place.
     """
     k, seed = params.k, params.seed
     docs = df.where(F.col(text).isNotNull()).select(key, as_bytes(df, text).alias("bin"))
-    return _mapped(docs, key, params, lambda x: np.unique(murmur3_windows(np.frombuffer(x.as_buffer(), np.uint8), k, seed)))
+    return _mapped(docs, key, params, lambda x: murmur3_windows(np.frombuffer(x.as_buffer(), np.uint8), k, seed))
 
 
 def signature_from_hashes(df: DataFrame, params: MinHashParams, key: str = "doc_id", hashes: str = "hs") -> DataFrame:
     """The same from an `ARRAY<INT>` column of shingle hashes (signed view); null arrays are dropped."""
     docs = df.where(F.col(hashes).isNotNull()).select(key, hashes)
-    return _mapped(docs, key, params, lambda x: np.unique(x.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)))
+    return _mapped(docs, key, params, lambda x: x.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32))
 
 
 def signature_native(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:

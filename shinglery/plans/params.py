@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from shinglery.plans.families import CANONICAL_A, CANONICAL_B
@@ -11,19 +11,26 @@ from shinglery.plans.families import CANONICAL_A, CANONICAL_B
 M32 = 0xFFFFFFFF
 
 
+def seeded_family(functions: int, family_seed: int = 0) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Coefficients a and b; multipliers are odd, so that each function is a bijection."""
+    rng = random.Random(family_seed)
+    a = tuple(rng.randrange(1, M32 + 1) | 1 for _ in range(functions))
+    return a, tuple(rng.randrange(1, M32 + 1) for _ in range(functions))
+
+
 @dataclass(frozen=True)
 class MinHashParams:
     """Shingle width `k` in bytes, hash seed, function family and number of bucket lanes.
 
     Rows per lane follow from the family size and the lane count. The seed serves the shingle hash
-    and the bucket hash alike.
+    and the bucket hash alike. The family is a seeded one of 128 functions, unless another is given.
     """
 
     k: int = 4
     seed: int = 1
     lanes: int = 64
-    a: tuple[int, ...] = CANONICAL_A
-    b: tuple[int, ...] = CANONICAL_B
+    a: tuple[int, ...] = field(default_factory=lambda: seeded_family(128)[0])
+    b: tuple[int, ...] = field(default_factory=lambda: seeded_family(128)[1])
 
     def __post_init__(self):
         if self.k < 1:
@@ -47,12 +54,15 @@ class MinHashParams:
 
     @classmethod
     def seeded(cls, functions: int = 128, family_seed: int = 0, **rest) -> MinHashParams:
-        """A reproducible family with odd multipliers, so that each function is a bijection."""
-        rng = random.Random(family_seed)
-        a = tuple(rng.randrange(1, M32 + 1) | 1 for _ in range(functions))
-        b = tuple(rng.randrange(1, M32 + 1) for _ in range(functions))
+        """A reproducible family of any size."""
+        a, b = seeded_family(functions, family_seed)
         return cls(a=a, b=b, **rest)
 
+    @classmethod
+    def canonical(cls, **rest) -> MinHashParams:
+        """The fixed family, with which known signatures and buckets agree."""
+        return cls(a=CANONICAL_A, b=CANONICAL_B, **rest)
+
     @classmethod
     def from_file(cls, path: str, **rest) -> MinHashParams:
         """Reads one `a b` pair per line (blank or comma separated)."""

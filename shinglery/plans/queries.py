@@ -11,10 +11,13 @@ from shinglery.plans.pipeline import minhash_pipeline
 from shinglery.sources import synthetic
 from shinglery.sources.corpus import read_documents
 
-P = MinHashParams()
+P = MinHashParams.canonical()
 #: Documents side by side in a tile of the lane matrix.
 TILE = 8
-WHOLE_SEED, SYNTHETIC = 0x9747B28C, 100_000
+WHOLE_SEED = 0x9747B28C
+#: Bytes of a synthetic document, and after how many documents its bytes and its hashes repeat.
+WIDTH, TEXTS, HASHES = 200, 32, 1024
+ONE_ROW, WIDE = MinHashParams.canonical(lanes=128), MinHashParams.canonical(lanes=32)
 TWO32 = 1 << 32
 
 
@@ -23,6 +26,16 @@ def _signature_hashes(spark, d):
     return signature.signature_long(signature.signature_from_hashes(hs, P))
 
 
+def _bytes(spark, d) -> int:
+    """Bytes of all texts: the size of the synthetic corpora, so that they grow with the tables."""
+    return read_documents(spark, d).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _synthetic_signatures(spark, d):
+    hs = synthetic.synthetic_hash_arrays(spark, _bytes(spark, d) // WIDTH, WIDTH, P.k)
+    return signature.signature_long(signature.signature_from_hashes(hs, P))
+
+
 QUERIES = {
     "shingle_count": lambda s, d: shingles.shingle_count(read_documents(s, d), P.k),
     "shingle_hash": lambda s, d: shingles.shingle_long(read_documents(s, d), P),
@@ -31,12 +44,16 @@ QUERIES = {
     "minhash_from_hashes": _signature_hashes,
     "minhash_native": lambda s, d: signature.signature_long(signature.signature_native(read_documents(s, d), P)),
     "lane_buckets": lambda s, d: buckets.lane_buckets(signature.signature(read_documents(s, d), P), P),
+    "lane_buckets_one_row": lambda s, d: minhash_pipeline(read_documents(s, d), ONE_ROW),
+    "lane_buckets_wide": lambda s, d: minhash_pipeline(read_documents(s, d), WIDE),
     "pipeline_buckets": lambda s, d: minhash_pipeline(read_documents(s, d), P),
     "lane_matrix": lambda s, d: buckets.lane_matrix(minhash_pipeline(read_documents(s, d), P), TILE),
     "murmur3_any_length": lambda s, d: shingles.whole_hash(read_documents(s, d), WHOLE_SEED),
-    "synthetic_text": lambda s, d: synthetic.synthetic_text(s, SYNTHETIC),
-    "synthetic_offsets": lambda s, d: synthetic.synthetic_ends(s, SYNTHETIC // 200, SYNTHETIC - 1),
-    "synthetic_hashes": lambda s, d: synthetic.synthetic_hashes(s, SYNTHETIC),
+    "synthetic_text": lambda s, d: synthetic.synthetic_text(s, _bytes(s, d)),
+    "synthetic_offsets": lambda s, d: synthetic.synthetic_ends(s, -(-_bytes(s, d) // WIDTH), _bytes(s, d) - 1, WIDTH),
+    "synthetic_hashes": lambda s, d: synthetic.synthetic_hashes(s, _bytes(s, d)),
+    "synthetic_minhash": _synthetic_signatures,
+    "synthetic_pipeline": lambda s, d: minhash_pipeline(synthetic.synthetic_documents(s, _bytes(s, d) // WIDTH, WIDTH), P),
 }
 
 
@@ -85,18 +102,34 @@ def _shingles(k: int) -> str:
     return f"WITH {_windows(k)},\n" + _murmur("wins", whole, tail, str(k), P.seed, "doc_id, pos", "shs")
 
 
-def _signatures() -> str:
+def _signatures(shingled: str | None = None) -> str:
+    """CTEs up to `sigs`, from CTEs that give `docs (doc_id)` and `shs (doc_id, h)`."""
     a, b = list(P.a), list(P.b)
-    return f"""{_shingles(P.k)},
+    return f"""{shingled or _shingles(P.k)},
 fam AS (SELECT unnest(range({len(a)})) AS fn, unnest({a}::UBIGINT[]) AS a, unnest({b}::UBIGINT[]) AS b),
 hs AS (SELECT DISTINCT doc_id, h::UBIGINT AS h FROM shs),
 mins AS (SELECT doc_id, fn, min((a * h + b) % {TWO32})::BIGINT AS m FROM hs, fam GROUP BY doc_id, fn),
 sigs AS (SELECT d.doc_id, f.fn::BIGINT AS fn, coalesce(m, {TWO32 - 1}) AS minhash FROM docs d CROSS JOIN fam f LEFT JOIN mins ON mins.doc_id = d.doc_id AND mins.fn = f.fn)"""
 
 
-def _buckets() -> str:
-    pairs = "pairs AS (SELECT doc_id, fn // 2 AS lane, max(CASE WHEN fn % 2 = 0 THEN minhash END) AS lo, max(CASE WHEN fn % 2 = 1 THEN minhash END) AS hi FROM sigs GROUP BY doc_id, fn // 2)"
-    return f"{_signatures()},\n{pairs},\n" + _murmur("pairs", ["lo", "hi"], None, "8", P.seed, "doc_id, lane", "bks")
+def _buckets(params: MinHashParams = P, shingled: str | None = None) -> str:
+    rows = range(params.rows)
+    words = ", ".join(f"max(CASE WHEN fn % {params.rows} = {i} THEN minhash END) AS r{i}" for i in rows)
+    lanes = f"lanes AS (SELECT doc_id, fn // {params.rows} AS lane, {words} FROM sigs GROUP BY doc_id, fn // {params.rows})"
+    return f"{_signatures(shingled)},\n{lanes},\n" + _murmur("lanes", [f"r{i}" for i in rows], None, str(4 * params.rows), params.seed, "doc_id, lane", "bks")
+
+
+def _synthetic_texts() -> str:
+    """The windows of the synthetic documents that differ."""
+    byte = lambda i: f"(((d * {WIDTH} + pos + {i}) * (d * {WIDTH} + pos + {i}) + d * {WIDTH} + pos + {i}) % 256)"
+    word = " + ".join(f"{byte(i)} * {1 << 8 * i}" for i in range(P.k))
+    spots = f"spots AS (SELECT d, pos FROM range({TEXTS}) a(d), range({WIDTH - P.k + 1}) b(pos))"
+    return f"WITH docs AS (SELECT d AS doc_id FROM range({TEXTS}) t(d)),\n{spots},\nwins AS (SELECT d AS doc_id, pos, {word} AS w FROM spots),\n" + _murmur("wins", ["w"], None, str(P.k), P.seed, "doc_id, pos", "shs")
+
+
+def _synthetic_hashed() -> str:
+    per = WIDTH - P.k + 1
+    return f"WITH docs AS (SELECT d AS doc_id FROM range({HASHES}) t(d)),\nshs AS (SELECT d AS doc_id, (d * {per} + pos) % 1024 AS h FROM range({HASHES}) a(d), range({per}) b(pos))"
 
 
 def _any_length_sql() -> str:
@@ -116,8 +149,10 @@ SELECT doc_id, xor(s, s >> 16)::BIGINT AS h FROM two"""
 
 def oracle() -> dict[str, str]:
     sig = _signatures() + "\nSELECT doc_id, fn, minhash FROM sigs"
-    bks = _buckets() + "\nSELECT doc_id, lane, h AS bucket FROM bks"
+    found = lambda params: _buckets(params) + "\nSELECT doc_id, lane, h AS bucket FROM bks"
     shown = ", ".join(f"min(CASE WHEN doc_id % {TILE} = {k} THEN h END) AS d{k}" for k in range(TILE))
+    size = "(SELECT coalesce(sum(octet_length(encode(text))), 0)::BIGINT FROM documents)"
+    made = lambda columns, source, every: f"\nSELECT i AS doc_id, {columns} FROM range({size} // {WIDTH}) t(i) JOIN {source} ON i % {every} = doc_id"
     return {
         "shingle_count": f"SELECT doc_id, greatest(octet_length(encode(text)) - {P.k - 1}, 0)::BIGINT AS shingles FROM documents WHERE text IS NOT NULL",
         "shingle_hash": _shingles(P.k) + "\nSELECT doc_id, pos, h FROM shs",
@@ -125,11 +160,15 @@ def oracle() -> dict[str, str]:
         "minhash_signature": sig,
         "minhash_from_hashes": sig,
         "minhash_native": sig,
-        "lane_buckets": bks,
-        "pipeline_buckets": bks,
+        "lane_buckets": found(P),
+        "lane_buckets_one_row": found(ONE_ROW),
+        "lane_buckets_wide": found(WIDE),
+        "pipeline_buckets": found(P),
         "lane_matrix": _buckets() + f"\nSELECT doc_id // {TILE} AS tile, lane, {shown} FROM bks GROUP BY doc_id // {TILE}, lane",
         "murmur3_any_length": _any_length_sql(),
-        "synthetic_text": f"SELECT i, (i * i + i) % 256 AS byte FROM range({SYNTHETIC}) t(i)",
-        "synthetic_offsets": f"SELECT i AS doc, least((i + 1) * 200, {SYNTHETIC - 1}) AS \"end\" FROM range({SYNTHETIC // 200}) t(i)",
-        "synthetic_hashes": f"SELECT i, i % 1024 AS h FROM range({SYNTHETIC}) t(i)",
+        "synthetic_text": f"SELECT i, (i * i + i) % 256 AS byte FROM range({size}) t(i)",
+        "synthetic_offsets": f"SELECT i AS doc, least((i + 1) * {WIDTH}, {size} - 1) AS \"end\" FROM range(({size} + {WIDTH - 1}) // {WIDTH}) t(i)",
+        "synthetic_hashes": f"SELECT i, i % 1024 AS h FROM range({size}) t(i)",
+        "synthetic_minhash": _signatures(_synthetic_hashed()) + made("fn, minhash", "sigs", HASHES),
+        "synthetic_pipeline": _buckets(P, _synthetic_texts()) + made("lane, h AS bucket", "bks", TEXTS),
     }

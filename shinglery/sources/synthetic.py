@@ -27,3 +27,10 @@ def synthetic_documents(spark: SparkSession, n: int, width: int = 200) -> DataFr
     at = lambda j: (F.col("id") * width + j) % 256
     digits = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.lpad(F.hex((at(j) * at(j) + at(j)) % 256), 2, "0"))
     return spark.range(n).select(F.col("id").alias("doc_id"), F.unhex(F.array_join(digits, "")).alias("text"))
+
+
+def synthetic_hash_arrays(spark: SparkSession, n: int, width: int = 200, k: int = 4) -> DataFrame:
+    """`(doc_id, hs ARRAY<INT>)`: the synthetic hashes cut into documents as windows of `width` bytes lie."""
+    per = width - k + 1
+    hs = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda j: ((F.col("id") * per + j) % 1024).cast("int"))
+    return spark.range(n).select(F.col("id").alias("doc_id"), hs.alias("hs"))

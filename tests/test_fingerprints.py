@@ -15,7 +15,7 @@ from shinglery.sources import corpus, synthetic
 from shinglery.streaming.pipeline import stream_buckets
 
 SF = "/root/testdata/sf0.001"
-P = MinHashParams()
+P = MinHashParams.canonical()
 
 
 def test_vectors():
@@ -84,7 +84,7 @@ def test_lane_widths(spark):
     df = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     sig = signature.signature(df, P).first().sig
     for lanes in (128, 64, 32):
-        p = MinHashParams(lanes=lanes)
+        p = MinHashParams.canonical(lanes=lanes)
         got = {r.lane: r.bucket for r in minhash_pipeline(df, p).collect()}
         raw = np.array(sig, np.uint32).tobytes()
         width = 4 * p.rows
