@@ -8,7 +8,7 @@ import duckdb
 def rows_of_sql(sql: str, sf_dir: str):
     con = duckdb.connect()
     for p in Path(sf_dir).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p / '*.parquet' if p.is_dir() else p}'")
     out = con.execute(sql)
     names = [x[0] for x in out.description]
     order = sorted(range(len(names)), key=names.__getitem__)

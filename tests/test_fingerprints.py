@@ -1,4 +1,6 @@
+import importlib.util
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -91,6 +93,29 @@ def test_lane_widths(spark):
         assert got == {i: murmur3_32(raw[i * width : (i + 1) * width], 1) for i in range(lanes)}
 
 
+def test_whole_hash(spark):
+    rng = random.Random(1)
+    rows = [(i, bytearray(rng.randbytes(i % 37))) for i in range(200)] + [(200, bytearray(b"Hello, world!")), (201, None), (202, bytearray(70_001))]
+    for seed in (0, 1, 0x9747B28C, 2**32 - 1):
+        got = {r.doc_id: r.h for r in shingles.whole_hash(spark.createDataFrame(rows, "doc_id long, text binary"), seed).collect()}
+        assert got == {i: murmur3_32(bytes(b), seed) for i, b in rows if b is not None}
+    assert "MapInArrow" not in shingles.whole_hash(spark.createDataFrame(rows, "doc_id long, text binary"), 1)._jdf.queryExecution().toString()
+
+
+def test_lane_rows(spark):
+    docs = corpus.in_memory(spark, b"hello" * 4, [5, 10, 15, 20])
+    found = minhash_pipeline(docs, P)
+    rows = buckets.lane_rows(found, [0, 3, 9]).collect()
+    assert len(rows) == 64 and rows[0].__fields__ == ["lane", "0", "3", "9"] and all(r["0"] == r["3"] and r["9"] is None for r in rows)
+    with pytest.raises(ValueError):
+        buckets.lane_rows(found, list(range(5)), most=4)
+
+
+def test_default_family_is_seeded():
+    assert MinHashParams() == MinHashParams.seeded() != P and all(x % 2 for x in MinHashParams().a)
+    assert len(P.a) == 128 and sum(P.a) == 292279965056 and sum(P.b) == 270235163141
+
+
 def test_params(tmp_path):
     f = tmp_path / "family"
     f.write_text("3 4\n5, 6\n")
@@ -107,6 +132,7 @@ def test_params(tmp_path):
 
 def test_synthetic(spark):
     assert [r.byte for r in synthetic.synthetic_text(spark, 8).orderBy("i").collect()] == [0, 2, 6, 12, 20, 30, 42, 56]
+    assert synthetic.synthetic_hash_arrays(spark, 6).where("doc_id = 5").first().hs == [(5 * 197 + i) % 1024 for i in range(197)]
     doc = bytes(synthetic.synthetic_documents(spark, 3).where("doc_id = 2").first().text)
     assert doc == bytes((i * i + i) % 256 for i in range(400, 600))
 
@@ -115,10 +141,27 @@ def test_stream(spark, tmp_path):
     src = spark.read.parquet(f"{SF}/documents.parquet")
     src.write.parquet(str(tmp_path / "in"))
     schema = "doc_id long, text string"
-    stream_buckets(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 64 * src.count()
+    stream_buckets(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), P).awaitTermination()
+    want = rows_of_frame(minhash_pipeline(src, P))
+    assert rows_of_frame(spark.read.parquet(str(tmp_path / "out"))) == want
+    stream_buckets(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), P).awaitTermination()
+    assert rows_of_frame(spark.read.parquet(str(tmp_path / "out"))) == want  # nothing twice
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_sql(spark, name):
     assert rows_of_frame(QUERIES[name](spark, SF)) == rows_of_sql(oracle()[name], SF)
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    import __spark_entry__ as entry
+
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *rest: None if name == "shinglery.llm" else find(name, *rest))
+    assert entry.queries() == QUERIES and entry.oracle_sql() == oracle()
+    if find("shinglery.llm"):
+        monkeypatch.setattr(importlib.util, "find_spec", find)
+        assert {"pipeline", "op1_license_scan"} < set(entry.queries()) and "op5_mix_sources" in entry.oracle_sql()
+        monkeypatch.setitem(sys.modules, "shinglery.llm.registry", None)
+        with pytest.raises(ImportError):
+            entry.queries()
