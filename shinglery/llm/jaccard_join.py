@@ -6,10 +6,10 @@ posterior probability that its similarity reaches the threshold falls below the
 and no others, are verified exactly on the shingle sets, so no pair is reported wrongly.
 
 No stage emits all pairs of a group: large buckets and groups are cut into blocks, each pair of blocks is one
-task's work, and it leaves link counts and a spanning forest of its links. A group of more than GROUP classes is
-pruned a second time, now to learn which pairs of its blocks hold a remaining pair at all, and a class goes only
-to the pairs of blocks that need it: a long chain of copies costs in proportion to its remaining pairs, and only
-a group in which all are alike costs a copy of each class for each block. A pair of similarity 0.8, the worst
+task's work, and it leaves link counts and a spanning forest of its links. In a group of many remaining pairs
+each class goes to all pairs of blocks with its own, which is at most as many copies as there are pair ends. A
+large group of fewer pairs, such as a long chain of copies, is pruned a second time, now to learn which pairs of
+its blocks hold a remaining pair at all, and a class goes only to these. A pair of similarity 0.8, the worst
 case, is missed with 1.4e-5 (see `missed`: no band agrees, or a step drops it).
 
 Defined cases: null text is empty; a text of one to four words has the one shingle of all its words; texts
@@ -258,24 +258,31 @@ def candidates(classes: DataFrame, found: Callable[[pa.Table, np.ndarray, np.nda
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """`(a, b)`: a spanning forest of the pairs that pruning leaves, per pair of blocks of each bucket."""
+    """`(a, b, pairs)`, per pair of blocks of each bucket: a spanning forest of the pairs that pruning leaves, with
+    pairs null, and how many of them each of its trees stands for, with b null."""
 
     def linked(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         root = forest(t.num_rows, i, j)
         at = np.flatnonzero(root != np.arange(t.num_rows))
+        tops, pairs = np.unique(root[i], return_counts=True)
         node = t.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays([node.take(pa.array(root[at])), node.take(pa.array(at))], ["a", "b"])
+        b = pa.concat_arrays([node.take(pa.array(at)), pa.nulls(tops.size, pa.binary())])
+        return pa.RecordBatch.from_arrays([node.take(pa.array(np.r_[root[at], tops])), b, pa.array([*[None] * at.size, *pairs.tolist()], pa.int64())], ["a", "b", "pairs"])
 
-    return candidates(classes, linked, "a binary, b binary", [])
+    return candidates(classes, linked, "a binary, b binary, pairs long", [])
 
 
 def places(members: DataFrame) -> DataFrame:
-    """`(root, lo, hi, node)`: the pairs of blocks of its group in which a class has a pair to verify.
+    """`(root, lo, hi, node)`: the pairs of blocks of its group in which a class may have a pair to verify.
 
-    members: `(root, size, node, own, sig)`. A group of one block is one place for all.
+    members: `(root, size, pairs, node, own, sig)`. All pairs of blocks with its own, or those that hold one of
+    the group's pairs, where these are fewer.
     """
-    small = members.where(F.col("size") <= GROUP).select("root", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node")
-    large = members.where(F.col("size") > GROUP).select("node", "sig", "root", F.col("own").alias("part"))
+    n = blocks("size", GROUP)[0]
+    many = (F.col("size") <= GROUP) | (2 * F.col("pairs") >= F.col("size") * n)
+    dense = members.where(many).select("root", "own", "node", F.explode(F.sequence(F.lit(0), n - 1)).alias("with"))
+    dense = dense.select("root", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "node")
+    sparse = members.where(~many).select("node", "sig", "root", F.col("own").alias("part"))
 
     def placed(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         part = t.column("part").to_numpy().astype(np.int64)
@@ -284,7 +291,7 @@ def places(members: DataFrame) -> DataFrame:
         at = pa.array(found[0])
         return pa.RecordBatch.from_arrays([t.column("root").combine_chunks().take(at), *[pa.array(x.astype(np.int32)) for x in found[1:]], t.column("node").combine_chunks().take(at)], ["root", "lo", "hi", "node"])
 
-    return small.unionByName(candidates(large, placed, "root binary, lo int, hi int, node binary", ["root", "part"]).distinct())
+    return dense.unionByName(candidates(sparse, placed, "root binary, lo int, hi int, node binary", ["root", "part"]).distinct())
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -355,24 +362,29 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = written(described(docs, key, text), "sets")
     first = F.min(F.struct(F.col(key).isNull(), F.col(key), "text_hash"))
     classes = written(rows.groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
-    near = components(candidate_links(classes.where("n_shingles > 0").select("node", "sig")))
-    sizes = written(near.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "sized"), "sizes")
-    sized = near.join(sizes, F.col("root") == F.col("sized")).select("root", "size", "node", blocks("size", GROUP)[1].alias("own"))
+    found = written(candidate_links(classes.where("n_shingles > 0").select("node", "sig")), "candidates")
+    near = components(found.where("b IS NOT NULL").select("a", "b"))
+    pairs = found.where("b IS NULL").groupBy("a").agg(F.sum("pairs").alias("pairs"))
+    sizes = near.join(pairs, F.col("node") == F.col("a"), "left").groupBy("root").agg(F.count("*").alias("size"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    sizes = written(sizes.withColumnRenamed("root", "sized"), "sizes")
+    discard(found)
+    sized = near.join(sizes, F.col("root") == F.col("sized")).select("root", "size", "pairs", "node", blocks("size", GROUP)[1].alias("own"))
     names = classes.select(F.col("node").alias("own_node"), F.col(f"first.{key}").alias("first_key"), F.col("first.text_hash").alias("first_hash"), "copies", "sig")
     wanted = sized.join(names, F.col("node") == F.col("own_node")).drop("own_node").hint("shuffle_hash")
     texts = docs.select(F.col(key).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.withColumn("own_hash", text_digest("text"))
     found = texts.join(wanted, F.col("text_key").eqNullSafe(F.col("first_key")) & (F.col("own_hash") == F.col("first_hash")))
     make = Shingler()
-    found = map_texts(found.select("root", "size", "node", "own", "copies", "sig", "text"), lambda x: {"shingles": [make(t).tobytes() for t in x]}, {"shingles": pa.binary()})
+    found = map_texts(found.select("root", "size", "pairs", "node", "own", "copies", "sig", "text"), lambda x: {"shingles": [make(t).tobytes() for t in x]}, {"shingles": pa.binary()})
     members = written(found.groupBy("node").agg(*[F.first(c).alias(c) for c in found.columns if c != "node"]), "members")
-    at = places(members.select("root", "size", "node", "own", "sig"))
+    at = places(members.select("root", "size", "pairs", "node", "own", "sig"))
     work = at.join(members.select(F.col("node").alias("own_node"), "own", "copies", "sig", "shingles"), F.col("node") == F.col("own_node")).drop("own_node")
     links = written(verified(work), "links")
     roots = components(links.where("b IS NOT NULL").select("a", "b"))
     counts = links.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "counted")
     own = classes.select("node", F.col(f"first.{key}").alias("rep_id"), F.col("first.text_hash").alias("rep_hash"), "copies")
-    own = own.join(roots.select(F.col("node").alias("linked"), "root"), F.col("node") == F.col("linked"), "left").join(counts, F.col("node") == F.col("counted"), "left")
+    own = own.join(roots.select(F.col("node").alias("linked"), "root").hint("shuffle_hash"), F.col("node") == F.col("linked"), "left")
+    own = own.join(counts.hint("shuffle_hash"), F.col("node") == F.col("counted"), "left")
     own = written(own.select("node", "rep_id", "rep_hash", "copies", F.coalesce("root", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links")), "nodes")
     least = own.groupBy("group").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "rep_hash")).alias("least"))
     least = written(least.withColumnRenamed("group", "grouped"), "least")
