@@ -1,57 +1,21 @@
-import hashlib
+"""Parts of the operators, and paths that small tables do not reach."""
+
+import glob
 import math
+import os
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from sqlcheck import rows_of_frame, rows_of_sql
 
 import corpus_pipeline
-from shinglery.llm import boosting, components, flac, jaccard_join, language_model, licences, mixing, packing, pii, registry, secrets, topk, toxicity
+from shinglery.llm import boosting, common, components, flac, jaccard_join, language_model, licences, mixing, packing, pii, secrets, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
-ODD = [None, "", " ", "a", "É ß\t漢字 \x1c 😀", "x" * 70_000, "one two three four five six seven", "one two three four five six seven", "the idiot " * 3000]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
-
-
-@pytest.fixture(scope="module")
-def odd(spark, tmp_path_factory):
-    """Documents with nulls, empty, very long and repeated rows, null ids and an extra column."""
-    rows = [(i, t, None, "b" if i % 2 else None, None, "e") for i, t in enumerate(ODD)] + [(3, "a", "en", "a", 1, None), (None, "one two", None, None, None, None)]
-    path = str(tmp_path_factory.mktemp("odd"))
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(0, 1, 0), (8, 0, 1), (99, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    vectors = [(i, [float(i % 3), -0.5], 0) for i in range(60)] + [(60, None, 0), (61, [None, 1.0], 0), (62, [float("nan"), 1.0], 0), (63, [], 0)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
-    return path
-
-
-@pytest.fixture(scope="module")
-def empty(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("empty"))
-    spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
-    return path
-
-
-NAMES = sorted(registry.queries())
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_odd_and_empty_tables(spark, odd, empty, name):
-    got = registry.queries()[name](spark, odd).count()
-    assert got == {"op8_exact_topk": 10}.get(name, got) and (got >= len(ODD) + 2 or name in ("op8_exact_topk", "pipeline"))
-    assert registry.queries()[name](spark, empty).count() == 0
-
-
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_sql(spark, name):
-    assert rows_of_frame(registry.queries()[name](spark, SF)) == rows_of_sql(registry.oracle_sql()[name], SF)
 
 
 def test_licence_expressions():
@@ -105,6 +69,31 @@ def test_boosting_learns():
     assert ((boosting.Boosted().fit(x, y).probability(x) > 0.5) == y).mean() > 0.95
 
 
+def test_top_k_ties_and_copies():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-9, 9, (300, 4))
+    v[50:150] = v[7]
+    lists = topk.Lists(np.arange(300), v)
+    for own in (0, 7, 60, 299):
+        want = sorted(((int(v[i] @ v[own]), i) for i in range(300) if i != own), key=lambda x: (-x[0], x[1]))[:5]
+        assert lists.top(own, v[own], 5) == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["score", "predicted", "toxic_spans", "pii_text", "own_hash", "stay_key", "node", "sig", "text_hash", "class_id", "root", "size", "toxic_key", "col_0", "mix_size", "a.b"]
+    rows = [(i, t, 7 if t is None else len(t), "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(["x a@b.cc y", "x a@b.cc y", None, ""])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars long", "source string", *[f"`{n}` string" for n in names]]))
+    got = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, got, SF)
+        assert got.columns == docs.columns
+    mixed = corpus_pipeline.mixed(spark, got, SF)
+    assert mixed.columns == docs.columns and {r.mix_size for r in mixed.collect()} == {"mix_size0"}
+    clean = {0: ("x [EMAIL] y", 11), 2: (None, None)}
+    assert sorted(tuple(r) for r in got.collect()) == [(r[0], *clean[r[0]], *r[3:]) for r in rows if r[0] in clean]
+    assert corpus_pipeline.packed(spark, docs, SF).count() == 4
+
+
 def test_flac_round_trips():
     rng = random.Random(4)
     data = [flac.payload(x) for x in (b"", b"a" * 64, b"hello world " * 500, rng.randbytes(3000), bytes(i * i % 251 for i in range(5000)))]
@@ -119,94 +108,158 @@ def test_flac_round_trips():
             flac.decode([bytes(bad)])
 
 
-def test_language_model_against_dictionaries(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120).cache()
-    model = language_model.fit(docs.where(~language_model.held_out(F.col("doc_id"))))
+def test_flac_seek_points_are_thinned(monkeypatch):
+    data = flac.payload(b"some words " * 2000)
+    monkeypatch.setattr(flac, "POINTS", 5)
+    (stream,) = flac.encode([data])
+    points = flac.Stream(stream).points
+    assert len(points) == 5 and points[1][0] % flac.BLOCK == 0 and points[1][0] > flac.BLOCK
+    assert flac.decode([stream]) == [data] and flac.seek(stream, 9_000, 3_000) == data[9_000:12_000]
+    (blocks,) = flac.blocks_of([stream])
+    assert len(blocks) == 5 and b"".join(x for _, _, x in blocks) == data
+
+
+@pytest.mark.parametrize("order", range(5))
+def test_flac_of_another_writer_fixed(order):
+    rng = random.Random(order)
+    coef = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order]
+    s = [int(60 * math.sin(i / 9)) + rng.randrange(-3, 4) for i in range(512)]
+    ways = [dict(parts=0, ks=[3], method=0), dict(parts=3, ks=[0, 2, None, 5], method=0), dict(parts=2, ks=[17, 1], method=1), dict(parts=1, ks=[None, 0], method=1)]
+    stream, pcm = brute.flac_stream([(s, dict(kind="fixed", order=order, coef=coef, shift=0, **w)) for w in ways])
+    assert flac.decode([stream]) == [bytes(x ^ 128 for x in pcm)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 8, 31, 32])
+def test_flac_of_another_writer_lpc(order):
+    rng = random.Random(order)
+    s = [int(90 * math.sin(i / 5)) + rng.randrange(-9, 10) for i in range(320)]
+    coef = [rng.randrange(-900, 900) // order for _ in range(order)]
+    ways = [dict(parts=0, ks=[4], method=0), dict(parts=1, ks=[6, 2], method=1)]
+    stream, pcm = brute.flac_stream([(s, dict(kind="lpc", order=order, coef=coef, shift=9, **w)) for w in ways])
+    assert flac.decode([stream]) == [bytes(x ^ 128 for x in pcm)]
+
+
+@pytest.mark.parametrize(("order", "part_bytes", "fan", "files"), [(2, 20_000, 3, 4), (3, 9_000, 1024, 1 << 16), (4, 30_000, 2, 100)])
+def test_language_model_over_many_parts(spark, monkeypatch, order, part_bytes, fan, files):
+    for name, value in (("FAN", fan), ("FILES", files), ("FLUSH", 5000), ("MAPS", 3), ("SHARE", 1.0)):
+        monkeypatch.setattr(language_model, name, value)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r.doc_id % 2]
+    rows += [(1000, None), (1001, ""), (1002, "a a a a")] + [(2000 + i, "the same text again") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = language_model.fit(docs.where(~language_model.held_out(F.col("doc_id"))), order=order, part_bytes=part_bytes)
+    assert model.parts > 1
     got = {r.doc_id: r for r in language_model.score(docs, model).collect()}
-    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
-    split = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", low(r.text)), "\n"] for r in docs.collect()}
-    learned = [w for d, w in split.items() if zlib.crc32(str(d).encode()) % 10]
-    c, pairs = Counter(x for w in learned for x in w), Counter(p for w in learned for p in zip(["<"] + w, w, strict=False))
-    before, total, kinds = Counter(w for _, w in pairs), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (u, _), n in pairs.items():
-        total[u] += n
-        kinds[u][min(n, 3) - 1] += 1
-    of = lambda x: language_model.discounts([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)])
-    high, lows = of(pairs), of(before)
-    m = Counter(min(v, 3) for v in before.values())
-    left = sum(lows[k] * m[k] for k in (1, 2, 3))
-
-    def p(u, w):
-        lower = (max(before[w] - lows[min(before[w], 3)], 0) + left / (len(c) + 1)) / len(pairs)
-        if not total[u]:
-            return lower
-        n = pairs[u, w]
-        return max(n - high[min(n, 3)], 0) / total[u] + sum(high[k + 1] * kinds[u][k] for k in range(3)) / total[u] * lower
-
-    for d, w in split.items():
-        want = sum(math.log10(p(u, x)) for u, x in zip(["<"] + w, w, strict=False))
-        base = sum(math.log10((c[x] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1))) for x in w)
-        assert got[d].score == pytest.approx(want) and got[d].base_score == pytest.approx(base) and got[d].train_tokens == sum(c.values())
-
-
-def test_ledger_scans_only_unseen_blobs(spark):
-    old = spark.createDataFrame([(1, 'token = "abcdef1"'), (2, "x")], "doc_id long, text string")
-    first = secrets.update_ledger(old)
-    both = old.unionByName(spark.createDataFrame([(3, "x"), (4, "AKIA" + "A" * 16), (5, None)], old.schema))
-    more = secrets.update_ledger(both, ledger=first)
-    assert (first.count(), more.count(), secrets.update_ledger(both, ledger=first.unionByName(more)).count()) == (2, 2, 0)
-    assert secrets.update_ledger(both, ledger=first, rules="2").count() == 4
-    found = {r.doc_id: [tuple(x) for x in r.findings] for r in secrets.findings_of_paths(both, first.unionByName(more)).collect()}
-    assert found == {1: [("assign", 0, 17 - 1)], 2: [], 3: [], 4: [("access", 0, 20)], 5: []}
-
-
-def test_toxicity_held_out(spark):
-    rng = random.Random(2)
+    want = brute.kneser_ney([t or "" for d, t in rows if zlib.crc32(str(d).encode()) % 10], [t or "" for _, t in rows], order)
+    for (d, _), (known, base, score) in zip(rows, want, strict=True):
+        assert (got[d].n_known, got[d].base_score, got[d].score) == (known, pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-9))
+    lost = sorted(glob.glob(f"{model.uri.removeprefix('file:').replace('//', '/')}/1/*"))[0]
+    os.unlink(lost)
+    with pytest.raises(FileNotFoundError):
+        hashes = language_model.Hashes()
+        model.score([hashes.of(t or "") for _, t in rows])
+
+
+def test_language_model_counts_and_discounts():
+    big = np.array([5_000_000_000, 3], np.uint64)
+    words = [np.array([7, 9], np.uint64)]
+    back, numbers = language_model.unpacked(language_model.packed(words, [big, np.array([1, 0], np.uint8)]))
+    assert back[0].tolist() == [7, 9] and numbers[0].tolist() == big.tolist() and numbers[1].dtype == np.uint8
+    for n in ([10, 5, 1, 100], [1, 100, 1, 1], [100, 1, 1, 1], [0, 0, 0, 0]):
+        d = language_model.discounts(n)
+        assert all(0 < d[k] < k for k in (1, 2, 3))
+
+
+def test_ledger_scans_only_unseen_blobs(spark, monkeypatch, tmp_path):
+    old = spark.createDataFrame([(1, 'token = "abcdef1"'), (2, "x"), (2, "x")], "doc_id long, text string")
+    for few in (secrets.FEW, 0):
+        monkeypatch.setattr(secrets, "FEW", few)
+        first = secrets.update_ledger(old)
+        both = old.unionByName(spark.createDataFrame([(3, "x"), (4, "AKIA" + "A" * 16), (5, None), (None, None), (None, "")], old.schema))
+        more = secrets.update_ledger(both, ledger=first)
+        assert (first.count(), more.count(), secrets.update_ledger(both, ledger=first.unionByName(more)).count()) == (2, 2, 0)
+        assert secrets.update_ledger(both, ledger=first, rules="2").count() == 4
+        found = [(r.doc_id, [tuple(x) for x in r.findings]) for r in secrets.findings_of_paths(both, first.unionByName(more)).collect()]
+        assert sorted(found, key=repr) == sorted([(1, [("assign", 0, 16)]), (2, []), (2, []), (3, []), (4, [("access", 0, 20)]), (5, []), (None, []), (None, [])], key=repr)
+        root = f"file://{tmp_path}/ledger-{few}"
+        increments = lambda: sorted(spark.read.parquet(x).count() for x in glob.glob(f"{tmp_path}/ledger-{few}/*"))  # noqa: E731, B023
+        results = [sorted(map(repr, secrets.scan_versions(x, root).collect())) for x in (old, both, both)]
+        assert increments() == [0, 2, 2] and results[1] == results[2]
+
+
+def test_rules_are_the_version(monkeypatch):
+    assert secrets.rules_digest() == secrets.RULES_VERSION
+    monkeypatch.setattr(secrets, "HEX", re.compile("[0-9a-f]{25,}"))
+    assert secrets.rules_digest() != secrets.RULES_VERSION
+
+
+def toxic_texts(seed):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abdeilmnorst") for _ in range(5))
-    make = lambda bad: " ".join(rng.choice(["vilely", "grump"]) if bad and i % 9 == 4 else word() for i in range(40))
-    model = toxicity.Model([make(i % 4 == 0) for i in range(400)], [int(i % 4 == 0) for i in range(400)])
-    assert all((model.score(make(i % 2 == 0))[0] >= 0.7) == (i % 2 == 0) for i in range(100))
-    text = "abc vilely abc"
-    assert model.score(text)[1] == [(4, 10)] and toxicity.Model([], []).score("x") == (0.0, [])
+    return rng, lambda n, hits: " ".join("vilely" if i in range(4, 4 + 9 * hits, 9) else word() for i in range(n))
 
 
-def test_toxicity_of_long_texts(spark):
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abdeilmnorst") for _ in range(5))
-    make = lambda n, hits: " ".join("vilely" if i in range(4, 4 + 9 * hits, 9) else word() for i in range(n))
+def test_toxicity_of_short_and_long_texts(spark):
+    rng, make = toxic_texts(4)
     texts = [make(40, rng.choice([2, 3, 4]) if i % 4 == 0 else rng.random() < 0.1) for i in range(400)]
     model = toxicity.Model(texts, [int(i % 4 == 0) for i in range(400)])
-    scattered = " ".join("vilely" if i % 1000 == 500 else word() for i in range(4000))
-    assert model.score(texts[0])[0] >= 0.7 > model.score(scattered)[0]
-    assert model.score(f"{make(4000, 0)} {make(40, 4)} {make(4000, 0)}")[0] >= 0.7
+    assert all((model.score(make(40, 3 * (i % 2)))[0] >= 0.7) == bool(i % 2) for i in range(60))
+    scattered = " ".join(make(1000, 0) + " vilely" for _ in range(4))
+    assert model.score(scattered)[0] < 0.7 <= model.score(f"{make(4000, 0)} {make(40, 4)} {make(4000, 0)}")[0]
+    assert model.score("abc vilely abc")[1] == [(4, 10)]
     long = [(i, make(4000, 4 * (i % 2)), i % 2) for i in range(40)]
     docs, labels = spark.createDataFrame([x[:2] for x in long], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in long], "doc_id long, toxic int")
-    assert toxicity.train(docs, labels).field.words  # no short document to learn from
+    assert toxicity.train(docs, labels).field.traits  # no short document to learn from
 
 
-def test_field_marginals_agree_with_enumeration():
-    f = toxicity.Field({"a": 1.0})
-    f.emit, f.step = np.array([-1.0, 2.0]), np.array([-0.5, 0.3, 1.1])
-    ids, steps = [0, 1, 0, 0], {(0, 0): 0.0, (0, 1): -0.5, (1, 0): 0.3, (1, 1): 1.1}
-    total, toxic = 0.0, np.zeros(4)
-    for y in np.ndindex(2, 2, 2, 2):
-        w = math.exp(sum(f.emit[i] for i, k in zip(ids, y, strict=True) if k) + sum(steps[p] for p in zip(y, y[1:], strict=False)))
-        total += w
-        toxic += w * np.array(y)
-    assert f.marginals(ids) == pytest.approx(toxic / total)
+def test_toxicity_without_labels_or_with_one_kind():
+    assert toxicity.Model([], []).scores(["x", ""]) == [(0.0, [])] * 2
+    assert toxicity.Model(["a", "b"], [1, 1]).score("x") == (1.0, []) and toxicity.Model(["a"], [0]).score("") == (0.0, [])
 
 
-def test_top_k_ties_and_copies():
-    rng = np.random.default_rng(5)
-    v = rng.integers(-9, 9, (300, 4))
-    v[50:150] = v[7]
-    lists = topk.Lists(np.arange(300), v)
-    for own in (0, 7, 60, 299):
-        want = sorted(((int(v[i] @ v[own]), i) for i in range(300) if i != own), key=lambda x: (-x[0], x[1]))[:5]
-        assert lists.top(own, v[own], 5) == want
+def test_scores_come_from_all_tokens(spark):
+    """The score of whole documents, in batches of any kind, from the plain recursions over every token."""
+    _, make = toxic_texts(5)
+    model = toxicity.Model([make(60, 3 * (i % 4 == 0)) for i in range(200)], [int(i % 4 == 0) for i in range(200)])
+    texts = ["", "vilely", make(5000, 2), make(64, 0), make(65, 1), "?!", make(700, 40)]
+    for t, (score, spans), alone in zip(texts, model.scores(texts), [model.score(t) for t in texts], strict=True):
+        assert (score, spans) == alone
+        words = toxicity.TOKEN.findall(t)
+        p = brute.chain(model.field, words) if words else np.empty(0)
+        best = max([sum(p[i:j] - model.cost) for i in range(len(p)) for j in range(i + 1, min(len(p), i + 120) + 1)], default=0.0) if len(p) < 100 else None
+        assert best is None or model.summary(p)[0] == pytest.approx(math.log1p(max(best, 0.0)))
+        z = float(np.dot(model.weights, [*model.summary(p), 1.0]))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-6)
+        assert spans == [m.span() for m, x in zip(toxicity.TOKEN.finditer(t), p, strict=True) if x >= 0.5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.score for r in toxicity.score(docs, model).collect()} == {i: model.score(t)[0] for i, t in enumerate(texts)}
+
+
+def test_field_marginals_agree_with_enumeration():
+    f = toxicity.Field(["a", "<lower>"])
+    f.weights, f.place, f.step = np.array([[-1.0, 2.0, 0.1], [0.3, -0.2, 0.0], [0.5, 0.7, -0.4]]), np.array([0.1, -0.2, 0.3, 0.4]), np.array([-0.5, 0.3, 1.1])
+    steps = {(0, 0): 0.0, (0, 1): -0.5, (1, 0): 0.3, (1, 1): 1.1}
+    docs = ["aBca", "b", "caaB1cc", ""]
+    for words, got in zip(docs, f.tag([list(d) for d in docs]), strict=True):
+        n, total, toxic = len(words), 0.0, np.zeros(len(words))
+        if n:
+            own, before, after = f.weights[:, :].dot(np.array([[i in f.seen(x) for x in words] for i in range(3)], float))
+            z = own + f.place[np.arange(n) * 4 // n] + np.r_[0, before[:-1]] + np.r_[after[1:], 0]
+            for y in np.ndindex(*[2] * n):
+                w = math.exp(sum(z[i] for i in range(n) if y[i]) + sum(steps[p] for p in zip(y, y[1:], strict=False)))
+                total += w
+                toxic += w * np.array(y)
+        assert got == pytest.approx(toxic / (total or 1))
+    rng = random.Random(1)
+    long = [[rng.choice("aBc1") for _ in range(n)] for n in (1000, 1, 333, 64, 65)]
+    for words, got in zip(long, f.tag(long), strict=True):
+        assert got == pytest.approx(brute.chain(f, words), abs=1e-12)
 
 
-def test_top_k_of_repeated_ids(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_of_repeated_ids(spark, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(topk, "CANDIDATES", 20)
+        monkeypatch.setattr(topk, "QUERIES", 7)
     rng = np.random.default_rng(6)
     rows = [(int(i), rng.integers(-9, 9, 3).tolist()) for i in rng.integers(0, 60, 150)]
     rows += rows[:50] + [(7, [9, 9, 9])] * 40
@@ -221,88 +274,136 @@ def test_top_k_of_repeated_ids(spark):
     assert sorted(map(tuple, topk.top_k(table, table).collect())) == sorted(want)
 
 
-def test_jaccard_join_against_all_pairs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+def test_top_k_visits_few_blocks(spark, monkeypatch):
+    """Short vectors cannot beat long ones: their blocks are not visited."""
+    monkeypatch.setattr(topk, "CANDIDATES", 10)
+    rows = [(i, [100 if i < 20 else 1, i % 7]) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    seen = []
+    whole = topk._search
+    monkeypatch.setattr(topk, "_search", lambda c, q, *rest: seen.append(q.select("block", "id").distinct().count()) or whole(c, q, *rest))
+    assert topk.top_k(table, table.where("vec_id < 5")).count() == 25
+    assert seen[0] == 5 and seen[1] <= 10
+
+
+@pytest.mark.parametrize(("bucket", "group"), [(256, 128), (16, 8)])
+def test_jaccard_join_of_chains_and_groups(spark, monkeypatch, bucket, group):
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    rng, rows, words = random.Random(3), [], [f"w{i}" for i in range(60)]
+    for i in range(60):  # a chain: every text changes a word of the one before
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(60)] = f"new{i}"
+    alike = [f"v{i}" for i in range(120)]
+    for i in range(80):  # all alike
+        rows.append((100 + i, " ".join(f"n{i}" if j == i else w for j, w in enumerate(alike))))
+    rows += [(300, "!!!"), (301, "{} ;"), (302, "!!!"), (303, None), (304, ""), (None, "one two"), (305, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     shingles = jaccard_join.Shingler()
-    sets = {r.doc_id: set(shingles(r.text).tolist()) for r in docs.collect()}
-    links, root = Counter(), {d: d for d in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                links[a] += 1
-                links[b] += 1
-                low, high = sorted((root[a], root[b]))
-                root = {d: low if r == high else r for d, r in root.items()}
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()}
-    assert got == {d: (root[d], links[d]) for d in sets} and sum(links.values())
-
-
-def test_components(spark):
+    want = brute.classes({d: set(shingles(t or "").tolist()) or {t or ""} for d, t in rows})
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()} == want
+    assert want[101][1] == 79 and want[59][0] == 0
+
+
+def test_chance_to_miss_a_pair():
+    assert jaccard_join.missed() < 2e-5 and jaccard_join.missed(0.9) < 1e-8
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 32, (400, jaccard_join.FUNCTIONS), np.uint32)
+    b = np.where(rng.random(a.shape) < 0.35, a, a + np.uint32(1))
+    i, j, band = jaccard_join.surviving(a, b)
+    same = (a == b).reshape(-1, jaccard_join.BANDS, jaccard_join.ROWS)
+    for x, y, first in zip(i, j, band, strict=True):
+        assert x == y and same[x, first].all() and not same[x, :first].all(1).any() and same[x].sum() >= jaccard_join.LEAST[48]
+    hits = np.cumsum((a == b).reshape(400, 4, -1).sum(2), axis=1)
+    assert set(i) == {x for x in range(400) if same[x].all(1).any() and all(hits[x, s] >= jaccard_join.LEAST[12 * s + 12] for s in range(4))}
+
+
+def test_similar_pairs_by_matrix_and_by_pair():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n, np.uint64)) for n in rng.integers(1, 80, 30)]
+    i, j = np.triu_indices(30, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert jaccard_join.similar(sets, i, j, 0.5).tolist() == want
+    assert [bool(jaccard_join.similar(sets, i[k : k + 1], j[k : k + 1], 0.5)[0]) for k in range(60)] == want[:60]
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components(spark, kind):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 330)]
     root = {x: x for e in edges for x in e}
     for a, b in edges:
         low, high = sorted((root[a], root[b]))
         root = {d: low if r == high else r for d, r in root.items()}
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    made = (lambda x: x) if kind == "long" else (lambda x: bytearray(x.to_bytes(3, "big")))
+    back = (lambda x: x) if kind == "long" else (lambda x: int.from_bytes(x, "big"))
+    got = {back(r.node): back(r.root) for r in components.components(spark.createDataFrame([tuple(map(made, e)) for e in edges], f"a {kind}, b {kind}")).collect()}
     assert {d: got.get(d, d) for d in root} == root
 
 
-def test_packing_is_whole_and_tight(spark):
+def test_words_of_special_tokens_and_other_scripts():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.vocabulary())
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rows = packing.pack_documents(docs).collect()
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    ids = {d: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
-    done, used = Counter(), defaultdict(list)
-    for r in rows:
-        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == ids[r.doc_id].size
-        done[r.doc_id] += r.length
-        used[r.sequence_id].append((r.offset, r.length))
-    assert done == {d: x.size for d, x in ids.items()}
-    for own in used.values():
-        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False)) and min(own)[0] == 0 and sum(n for _, n in own) <= 2048
-    assert sum(done.values()) > 0.97 * 2048 * len(used)
-    odd = ["", "a\"b x1 é1 ß.. --- don't. it's!!'s", "Σ ΑΣ İx ² ª µ Ǆ é \x00 \x1c   漢字"]
-    assert [np.frombuffer(x, "<u4").tolist()[:-1] for x in packing.Words(packing.vocabulary()).encode(odd)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    tokenizer, words = Tokenizer.from_file(packing.vocabulary()), packing.Words(packing.vocabulary())
+    rng, parts = random.Random(1), ["<|startoftext|>", "<|endoftext|>", "a", "Foo", " ", "\n", "<|", "|>", "é", "!", "x1", "<|ENDOFTEXT|>", "</w>", "\x1c", "\xa0", "\u3000", "İ", "ß", "Σ", "don't", "漢字"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 49407 in np.frombuffer(words.encode(["<|endoftext|>"])[0], "<u4")
+
+
+def test_patterns_hold_every_length():
+    rng = random.Random(2)
+    histogram = {rng.randrange(1, 2048): rng.randrange(1, 500) for _ in range(300)}
+    found = packing.patterns(histogram)
+    held = {}
+    for count, lengths in found:
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            held[x] = held.get(x, 0) + count
+    assert held == histogram
+
+
+def test_equal_pieces_are_told_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "same words")] * 300 + [(1, None)] * 20, "doc_id long, text string").repartition(3)
+    for slots in (packing.SLOTS, 0):
+        monkeypatch.setattr(packing, "SLOTS", slots)
+        got = packing.pack_documents(docs).collect()
+        assert len(got) == 320 and len({(r.sequence_id, r.offset) for r in got}) == 320
 
 
 def test_mix_rows_follow_the_budget(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    mixed = mixing.mix(docs, mixing.word_count(F.col("text"))).cache()
+    keyed = mixing.keyed(docs, docs.columns)
+    mixed = mixing.mix(keyed).cache()
     taken = {r.source: r for r in mixed.groupBy("source").agg(F.sum("mix_taken").alias("t"), F.first("mix_target").alias("g")).collect()}
     assert all(abs(r.t - r.g) <= 0.5 for r in taken.values())
-    rows = mixing.take(mixed)
+    rows = mixing.take(keyed, mixed)
     assert rows.agg(F.sum("mix_words")).first()[0] == sum(r.t for r in taken.values())
     assert rows.where(mixing.word_count(F.col("text")) != F.col("mix_words")).count() == 0
 
 
-def test_pipeline_stages(spark):
-    larger = "/root/testdata/sf0.01"  # the smallest table has too few labels to learn from
-    docs = spark.read.parquet(f"{larger}/documents.parquet")
-    once = corpus_pipeline.toxic(spark, docs, larger).cache()
-    assert once.columns == docs.columns and 0 < once.count() < docs.count()
-    twice = corpus_pipeline.near_duplicates(spark, once, SF).cache()
-    classes = jaccard_join.jaccard_join(once).select("class_id").distinct().count()
-    assert twice.count() == classes and twice.columns == docs.columns
-    clean = corpus_pipeline.personal_data(spark, twice, larger)
-    assert clean.count() == twice.count() and clean.where(F.col("text").rlike(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+@")).count() == 0
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "packing"]
-    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+def test_mix_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 200 + [(1, "d", None)] * 7, "doc_id long, text string, source string").repartition(3)
+    keyed = mixing.keyed(docs, docs.columns)
+    rows = mixing.mix(keyed).collect()
+    assert sorted(r.mix_taken for r in rows if r.source == "s") == sorted(r.mix_taken for r in mixing.mix(keyed).collect() if r.source == "s")
+    assert len(rows) == 207 and all(0 <= r.mix_taken <= 2 * r.mix_size for r in rows)
+    assert mixing.take(keyed, mixing.mix(keyed)).agg(F.sum("mix_words")).first()[0] == sum(r.mix_taken for r in rows)
 
 
-def test_stages_keep_columns_of_any_name(spark):
-    names = ["score", "predicted", "toxic_spans", "pii_text", "own_hash", "stay_key", "node", "sig", "text_hash", "class_id", "root", "size", "toxic_key", "col_0", "mix_size", "a.b"]
-    rows = [(i, t, 7 if t is None else len(t), "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(["x a@b.cc y", "x a@b.cc y", None, ""])]
-    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars long", "source string", *[f"`{n}` string" for n in names]]))
-    got = docs
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        got = stage(spark, got, SF)
-        assert got.columns == docs.columns
-    mixed = corpus_pipeline.mixed(spark, got, SF)
-    assert mixed.columns == docs.columns and {r.mix_size for r in mixed.collect()} == {"mix_size0"}
-    clean = {0: ("x [EMAIL] y", 11), 2: (None, None)}
-    assert sorted(tuple(r) for r in got.collect()) == [(r[0], *clean[r[0]], *r[3:]) for r in rows if r[0] in clean]
-    assert corpus_pipeline.packed(spark, docs, SF).count() == 4
+def test_shared_folder_and_discard(spark, monkeypatch):
+    t = common.written(spark.range(3), "some")
+    assert t.count() == 3 and common.exists(spark, t.shared_path)
+    common.discard(t)
+    assert not common.exists(spark, t.shared_path)
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
