@@ -65,6 +65,41 @@ def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+class Memory(dict):
+    """Values of keys by `make`, in two generations of at most `most` keys: look up `memory[key]`, and go on with
+    `memory.aged()` now and then."""
+
+    def __init__(self, make: Callable, most: int, old: dict | None = None):
+        super().__init__()
+        self.make, self.most, self.old = make, most, old or {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def aged(self) -> Memory:
+        if len(self) <= self.most:
+            return self
+        self.old = {}
+        return Memory(self.make, self.most, self)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, model):
+    """The first object of this name that the worker process has met, so that what it remembers outlives a task;
+    the last few names are kept."""
+    if name not in _KEPT:
+        while len(_KEPT) > 3:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[name] = model
+    return _KEPT[name]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

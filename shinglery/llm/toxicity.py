@@ -8,7 +8,8 @@ after it, and the quarter of the text in which it stands. Forward-backward runs
 score is a logistic function of its best stretch of text (the sum of the marginals less a rate for each token,
 between the rates of clean and of toxic documents) and of the highest marginal, so that length alone adds
 nothing and a toxic passage counts in a text of any length. Training takes a sample of documents of all lengths,
-bounded in number and in all characters, see TRAIN_DOCS and TRAIN_CHARS.
+bounded in number and in all characters, see TRAIN_DOCS and TRAIN_CHARS; texts that copy one another count once,
+and scores are given for the share of toxic documents among all labels, not that of the sample.
 
 Defined cases: null and empty texts score as a document without toxic tokens; without labels every score is
 0, and with labels of one kind only it is that label; a label of a missing document is ignored; repeated rows
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import map_texts
+from shinglery.llm.common import kept, map_texts
+from shinglery.llm.jaccard_join import ROWS, forest, minhashes, shingler
 
 #: At most so many labelled documents of each label, of at most so many characters on average, are learned from.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 8_000
@@ -242,14 +245,30 @@ class Field:
         return out
 
 
+def without_copies(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int]]:
+    """One text of each label and each group whose MinHash values agree in a band, so that the words of a text
+    that was copied often do not pass for a habit of many texts."""
+    bands = minhashes([shingler()(t) for t in texts]).reshape(len(texts), -1, ROWS)
+    near = [0] * 0, [0] * 0
+    for b in range(bands.shape[1]):
+        _, first, of = np.unique(np.c_[bands[:, b], toxic], axis=0, return_index=True, return_inverse=True)
+        near[0].extend(range(len(texts)))
+        near[1].extend(first[of.ravel()].tolist())
+    root = forest(len(texts), np.array(near[0]), np.array(near[1]))
+    stay = [i for i, r in enumerate(root.tolist()) if i == r or not texts[i].strip()]
+    return [texts[i] for i in stay], [toxic[i] for i in stay]
+
+
 class Model:
-    """A field, and the logistic function of (log(1 + best stretch), highest marginal)."""
+    """A field, and the logistic function of (log(1 + best stretch), highest marginal). `odds` are those of toxic
+    against clean documents where the model is used, if they differ from the sample's."""
 
-    def __init__(self, texts: list[str], toxic: list[int]):
+    def __init__(self, texts: list[str], toxic: list[int], odds: float | None = None):
         self.field, self.weights, self.cost = None, None, 0.0
         self.share = float(np.mean(toxic)) if toxic else 0.0
         if len(set(toxic)) < 2:
             return
+        texts, toxic = without_copies(texts, toxic)
         docs = [TOKEN.findall(t) for t in texts]
         signs, telling = told([set(d) for d in docs], toxic)
         self.field = Field(telling)
@@ -262,6 +281,8 @@ class Model:
         self.cost = self._rate(tagged, toxic)
         x = np.array([self.summary(t) for t in tagged])
         self.weights = _logistic(np.c_[x, np.ones(len(x))], np.array(toxic, float))
+        if odds:
+            self.weights[-1] += math.log(odds * (len(toxic) - sum(toxic)) / sum(toxic))
 
     @staticmethod
     def _rate(tagged: list[np.ndarray], toxic: list[int]) -> float:
@@ -334,7 +355,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             kept.append((k, value))
     rows = of(kept)
     got = sorted(((r[text], r["toxic_label"]) for r in rows.select(text, "toxic_label").collect()), key=lambda x: (x[1], x[0]))
-    return Model([t for t, _ in got], [y for _, y in got])
+    odds = counts[1] / counts[0] if len(counts) == 2 else None
+    return Model([t for t, _ in got], [y for _, y in got], odds)
 
 
 SCHEMA = {"score": pa.float64(), "predicted": pa.int32(), "toxic_spans": pa.string()}
@@ -342,9 +364,10 @@ SCHEMA = {"score": pa.float64(), "predicted": pa.int32(), "toxic_spans": pa.stri
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score, predicted and the offending offsets as `start:end`, comma-joined; narrow."""
+    name = f"toxicity-{uuid.uuid4().hex}"
 
     def scored(texts: list[str]) -> dict[str, list]:
-        rows = model.scores(texts)
+        rows = kept(name, model).scores(texts)
         return {"score": [s for s, _ in rows], "predicted": [int(s >= REJECT) for s, _ in rows], "toxic_spans": [",".join(f"{a}:{b}" for a, b in x) for _, x in rows]}
 
     return map_texts(df, scored, SCHEMA, text, keep)
