@@ -14,18 +14,19 @@ import string
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import written
+from shinglery.llm.common import Memory, written
 from shinglery.llm.mixing import ranged, running
 
 # Ids a sequence holds, and the id that ends a document.
 LENGTH, END = 2048, 1
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Up to so many places (40 bytes each) are broadcast.
 SLOTS = 200_000
 PUNCTUATION = string.punctuation
@@ -60,8 +61,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words = Memory(self._new, REMEMBERED)
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
@@ -85,23 +85,27 @@ class Words:
     def encode(self, texts: list[str]) -> list[bytes]:
         end, out = END.to_bytes(4, "little"), []
         for t in texts:
-            young, words = self.young, t.encode("utf-8", "replace").split()
-            for w in words:
-                if w not in young:
-                    young[w] = self.old.get(w) or self._new(w)
-            out.append(b"".join([young[w] for w in words]) + end)
-            if len(young) > REMEMBERED:
-                self.young, self.old, self.parts = {}, young, {}
+            words = self.words
+            out.append(b"".join([words[w] for w in t.encode("utf-8", "replace").split()]) + end)
+            self.words = words.aged()
+            if self.words is not words:
+                self.parts = {}
         return out
 
 
+@cache
+def words_of(path: str) -> Words:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return Words(path)
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """`(key, start, length, ids_crc32, doc_tokens)`: documents cut at every full sequence."""
     kind = dict(docs.dtypes)[key]
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = words_of(path)
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part, rows = b.slice(lo, 128), []
