@@ -25,6 +25,7 @@ import tempfile
 import uuid
 from collections import Counter, OrderedDict
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import file_system, map_texts, shared_path
+from shinglery.llm.common import Memory, file_system, kept, map_texts, shared_path
 
 # The base model's added count.
 ADDED = 0.1
@@ -57,24 +58,25 @@ ROWS = "part long, block binary, stats array<long>"
 
 
 class Hashes:
-    """Hashes of the words of texts, remembered in two generations."""
+    """Hashes of the words of texts."""
 
     def __init__(self):
-        self.young: dict[bytes, int] = {}
-        self.old: dict[bytes, int] = {}
+        self.words = Memory(lambda w: xxhash.xxh3_64_intdigest(w) & M48, REMEMBERED)
 
     def of(self, text: str) -> list[int]:
-        words, young = text.encode("utf-8", "replace").translate(LOWER).split(), self.young
-        for w in words:
-            if w not in young:
-                young[w] = self.old.get(w) or xxhash.xxh3_64_intdigest(w) & M48
-        out = [young[w] for w in words]
+        words = self.words
+        out = [words[w] for w in text.encode("utf-8", "replace").translate(LOWER).split()]
         out.append(END)
-        if len(young) > REMEMBERED:
-            self.young, self.old = {}, young
+        self.words = words.aged()
         return out
 
 
+@cache
+def worker_hashes() -> Hashes:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return Hashes()
+
+
 def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
     """A 64-bit hash of pairs."""
     x = (a ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -322,7 +324,7 @@ def frequent_contexts(source: DataFrame, order: int) -> np.ndarray:
     """Keys of the contexts that are most frequent in a random share of the texts, and of the start's."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n = Hashes(), Counter()
+        hashes, n = worker_hashes(), Counter()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 words, own = padded([hashes.of(t) for t in b.column(0).slice(lo, 256).to_pylist()], order)
@@ -367,7 +369,7 @@ class Counting:
 
     def counted(self, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct n-grams of about FLUSH tokens at a time, dealt out to groups of `width` parts."""
-        hashes, held, size = Hashes(), [], 0
+        hashes, held, size = worker_hashes(), [], 0
 
         def flush() -> pa.RecordBatch:
             grams = [np.concatenate([h[i] for h in held]) for i in range(self.order)]
@@ -453,7 +455,8 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, part_bytes: int
             salted = rows.withColumn("salt", F.spark_partition_id() % 64).repartition("part", "salt").sortWithinPartitions("part")
             rows = salted.drop("salt").mapInArrow(lambda batches, w=width: steps.redealt(w, batches), ROWS)
         shelf = F.when(F.col("part") >= 0, F.floor(F.col("part") / steps.shelf)).otherwise(F.col("part"))
-        return rows.repartition(shelf).sortWithinPartitions("part")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartitionById(tasks, F.pmod(shelf, F.lit(tasks)).cast("int")).sortWithinPartitions("part")
 
     rows = source.mapInArrow(lambda batches: steps.counted(widths[0], batches), ROWS)
     for k in range(order, 0, -1):
@@ -472,11 +475,11 @@ SCHEMA = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int6
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds the columns of SCHEMA; narrow. Perplexity is that of the model, per token."""
-    memory = Hashes()
 
     def scored(texts: list[str]) -> dict[str, list]:
+        memory = worker_hashes()
         hashes = [memory.of(t) for t in texts]
-        known, base, log = model.score(hashes)
+        known, base, log = kept(model.uri, model).score(hashes)
         sizes = np.array([len(h) for h in hashes])
         return {"n_tokens": sizes, "n_known": known, "train_tokens": np.full(sizes.size, model.tokens), "base_score": base, "score": log, "perplexity": 10 ** (-log / sizes)}
 
