@@ -40,6 +40,7 @@ FURTHER = {
 }
 KINDS = (*BASE, *FURTHER)
 FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+LEDGER = "blob binary, rules string, findings array<struct<kind: string, start: bigint, end: bigint>>"
 #: Up to so many unseen blobs (about 60 bytes each) are broadcast to the texts, so that only their texts move.
 FEW = 100_000
 
@@ -123,7 +124,7 @@ def scan_versions(versions: DataFrame, root: str, path: str = "doc_id", text: st
     The ledger is read as it stood before, plus this run's increment; a blob in several increments counts once.
     """
     spark = versions.sparkSession
-    before = spark.read.option("recursiveFileLookup", "true").parquet(root) if exists(spark, root) else None
+    before = spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(root) if exists(spark, root) else None
     more = update_ledger(versions, path, text, before, to=root)
     if before is None:
         return findings_of_paths(versions, more, path, text)
