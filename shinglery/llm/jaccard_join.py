@@ -21,6 +21,7 @@ by 128-bit digests.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import discard, map_texts, numbered, written
+from shinglery.llm.common import Memory, discard, map_texts, numbered, written
 from shinglery.llm.components import components
 from shinglery.llm.licences import LOWER, WORDS
 
@@ -55,17 +56,12 @@ class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts."""
 
     def __init__(self):
-        self.young: dict[bytes, int] = {}
-        self.old: dict[bytes, int] = {}
+        self.words = Memory(xxhash.xxh3_64_intdigest, REMEMBERED)
 
     def __call__(self, text: str) -> np.ndarray:
-        words, young = text.encode("utf-8", "replace").translate(LOWER).translate(WORDS).split(), self.young
-        for w in words:
-            if w not in young:
-                young[w] = self.old.get(w) or xxhash.xxh3_64_intdigest(w)
-        h = np.array([young[w] for w in words], np.uint64)
-        if len(young) > REMEMBERED:
-            self.young, self.old = {}, young
+        words = self.words
+        h = np.array([words[w] for w in text.encode("utf-8", "replace").translate(LOWER).translate(WORDS).split()], np.uint64)
+        self.words = words.aged()
         n = max(h.size - SHINGLE + 1, min(h.size, 1))
         if not n:
             return h
@@ -77,6 +73,12 @@ class Shingler:
         return np.unique(x ^ (x >> np.uint64(32)))
 
 
+@cache
+def shingler() -> Shingler:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return Shingler()
+
+
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, FUNCTIONS) 32-bit values, the high halves of minima; all ones for an empty set."""
     out = np.full((len(sets), FUNCTIONS), 0xFFFFFFFF, np.uint32)
@@ -210,9 +212,9 @@ def node_of(text: str, shingles: np.ndarray) -> bytes:
 
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, text_hash, node, n_shingles, sig)` by document; equal sets have equal nodes."""
-    make = Shingler()
 
     def fold(texts: list[str]) -> dict[str, list]:
+        make = shingler()
         sets = [make(t) for t in texts]
         return {"node": [node_of(t, s) for t, s in zip(texts, sets, strict=True)], "n_shingles": [s.size for s in sets], "sig": [row.tobytes() for row in minhashes(sets)]}
 
@@ -365,7 +367,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     found = written(candidate_links(classes.where("n_shingles > 0").select("node", "sig")), "candidates")
     near = components(found.where("b IS NOT NULL").select("a", "b"))
     pairs = found.where("b IS NULL").groupBy("a").agg(F.sum("pairs").alias("pairs"))
-    sizes = near.join(pairs, F.col("node") == F.col("a"), "left").groupBy("root").agg(F.count("*").alias("size"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    sizes = near.join(pairs.hint("shuffle_hash"), F.col("node") == F.col("a"), "left").groupBy("root").agg(F.count("*").alias("size"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
     sizes = written(sizes.withColumnRenamed("root", "sized"), "sizes")
     discard(found)
     sized = near.join(sizes, F.col("root") == F.col("sized")).select("root", "size", "pairs", "node", blocks("size", GROUP)[1].alias("own"))
@@ -374,8 +376,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = docs.select(F.col(key).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.withColumn("own_hash", text_digest("text"))
     found = texts.join(wanted, F.col("text_key").eqNullSafe(F.col("first_key")) & (F.col("own_hash") == F.col("first_hash")))
-    make = Shingler()
-    found = map_texts(found.select("root", "size", "pairs", "node", "own", "copies", "sig", "text"), lambda x: {"shingles": [make(t).tobytes() for t in x]}, {"shingles": pa.binary()})
+    found = map_texts(found.select("root", "size", "pairs", "node", "own", "copies", "sig", "text"), lambda x: {"shingles": [shingler()(t).tobytes() for t in x]}, {"shingles": pa.binary()})
     members = written(found.groupBy("node").agg(*[F.first(c).alias(c) for c in found.columns if c != "node"]), "members")
     at = places(members.select("root", "size", "pairs", "node", "own", "sig"))
     work = at.join(members.select(F.col("node").alias("own_node"), "own", "copies", "sig", "shingles"), F.col("node") == F.col("own_node")).drop("own_node")
