@@ -405,3 +405,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     own = own.withColumn("own_hash", text_digest(own_text))
     kept = own.join(stay, F.col(own_key).eqNullSafe(F.col("stay_key")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
     return kept.dropDuplicates([own_key, "own_hash"]).drop("own_hash").toDF(*docs.columns)
+
+
+def sql() -> str:
+    """The query as one statement over all pairs of classes that share a shingle."""
+    letters = "".join(map(chr, range(65, 91)))
+    windows = f"list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' '))"
+    return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+sets AS MATERIALIZED (SELECT r, doc_id, t, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')] ELSE list_distinct({windows}) END) AS s FROM docs),
+noded AS MATERIALIZED (SELECT r, doc_id, s, CASE WHEN len(s) = 0 THEN 'text:' || t ELSE 'set:' || array_to_string(s, chr(10)) END AS node FROM sets),
+classes AS MATERIALIZED (SELECT row_number() OVER () AS c, node, min(doc_id) AS rep_id, count(*) AS copies, any_value(s) AS s, len(any_value(s)) AS n FROM noded GROUP BY node),
+flat AS MATERIALIZED (SELECT c, n, unnest(s) AS x FROM classes),
+links AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM flat a JOIN flat b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING count(*) >= {THRESHOLD} * (a.n + b.n - count(*)) - 1e-9),
+counted AS (SELECT l.a AS c, sum(copies)::BIGINT AS linked FROM links l JOIN classes k ON l.b = k.c GROUP BY l.a),
+reached AS (WITH RECURSIVE walk AS (SELECT c, c AS top FROM classes UNION SELECT l.b, w.top FROM walk w JOIN links l ON l.a = w.c) SELECT * FROM walk),
+tops AS (SELECT w.c, min(k.rep_id) AS class_id FROM reached w JOIN classes k ON w.top = k.c GROUP BY w.c)
+SELECT d.doc_id, t.class_id, k.rep_id, coalesce(x.linked, 0) + k.copies - 1 AS n_links, k.n AS n_shingles FROM noded d JOIN classes k ON d.node = k.node JOIN tops t ON t.c = k.c LEFT JOIN counted x ON x.c = k.c"""

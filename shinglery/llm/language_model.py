@@ -54,6 +54,7 @@ SHARE, FREQUENT = 0.02, 256
 NUMBERS = ("raw", "before", "total", "once", "twice", "more")
 #: Discounts stay so far inside (0, k).
 MARGIN = 0.05
+DECIMALS = 6
 ROWS = "part long, block binary, stats array<long>"
 
 
@@ -474,13 +475,40 @@ SCHEMA = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int6
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds the columns of SCHEMA; narrow. Perplexity is that of the model, per token."""
+    """Adds the columns of SCHEMA; narrow. Perplexity is that of the model, per token. Scores are rounded to
+    DECIMALS and perplexities to half as many, so that they do not depend on the order of sums."""
 
     def scored(texts: list[str]) -> dict[str, list]:
         memory = worker_hashes()
         hashes = [memory.of(t) for t in texts]
         known, base, log = kept(model.uri, model).score(hashes)
+        base, log = np.round(base, DECIMALS), np.round(log, DECIMALS)
         sizes = np.array([len(h) for h in hashes])
-        return {"n_tokens": sizes, "n_known": known, "train_tokens": np.full(sizes.size, model.tokens), "base_score": base, "score": log, "perplexity": 10 ** (-log / sizes)}
+        return {"n_tokens": sizes, "n_known": known, "train_tokens": np.full(sizes.size, model.tokens), "base_score": base, "score": log, "perplexity": np.round(10 ** (-log / sizes), DECIMALS // 2)}
 
     return map_texts(df, scored, SCHEMA, text, keep, rows=2048)
+
+
+def sql() -> str:
+    """The query of order 2 as one statement; chr(10) is the end and chr(10) || 's' the start."""
+    letters = "".join(map(chr, range(65, 91)))
+    bits = "flatten(list_transform(range(length(k)), lambda i: list_transform(range(8), lambda j: (ascii(k[i + 1]) >> j) & 1)))"
+    step = "xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: {step}), 4294967295)"
+    count = lambda c, of: ", ".join(f"count(*) FILTER ({c} = {k}) AS n{k}" for k in (1, 2, 3, 4)) + f" FROM {of}"
+    least = "least(n1, n2, n3, n4) <= 0"
+    less = ", ".join(f"CASE WHEN {least} THEN {k / 2} ELSE least(greatest({k} - {k + 1} * (n1 / (n1 + 2.0 * n2)) * n{k + 1} / n{k}, {MARGIN}), {k - MARGIN}) END AS d{k}" for k in (1, 2, 3))
+    taken = lambda n, d: f"CASE {n} WHEN 0 THEN 0 WHEN 1 THEN {d}.d1 WHEN 2 THEN {d}.d2 ELSE {d}.d3 END"
+    return f"""WITH k AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, translate(coalesce(text, ''), '{letters}', '{letters.lower()}') AS t FROM documents),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {crc} % 10 = 0 AS held_out, list_append(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), chr(10)) AS ws FROM k),
+tokens AS MATERIALIZED (SELECT r, held_out, unnest(list_prepend(chr(10) || 's', ws[:-2])) AS u, unnest(ws) AS w FROM docs),
+c2 AS MATERIALIZED (SELECT u, w, count(*) AS n FROM tokens WHERE NOT held_out GROUP BY u, w),
+c1 AS MATERIALIZED (SELECT w, count(*) AS n, sum(n)::BIGINT AS raw FROM c2 GROUP BY w),
+x AS MATERIALIZED (SELECT u, sum(n) AS total, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS twice, count(*) FILTER (n > 2) AS more FROM c2 GROUP BY u),
+e2 AS (SELECT {less} FROM (SELECT {count("n", "c2")})),
+e1 AS (SELECT {less}, n1, n2, kinds - n1 - n2 AS rest, kinds, pairs, total FROM (SELECT count(*) AS kinds, coalesce(sum(n), 0) AS pairs, coalesce(sum(raw), 0)::BIGINT AS total, {count("n", "c1")})),
+found AS (SELECT r, coalesce(c1.raw, 0) AS raw, coalesce(c1.n, 0) AS n1, coalesce(c2.n, 0) AS n2, x.total, x.once, x.twice, x.more FROM tokens t LEFT JOIN c2 ON t.u = c2.u AND t.w = c2.w LEFT JOIN c1 ON t.w = c1.w LEFT JOIN x ON t.u = x.u),
+low AS (SELECT f.*, (greatest(f.n1 - {taken("f.n1", "e1")}, 0) + CASE WHEN e1.pairs > 0 THEN e1.d1 * e1.n1 + e1.d2 * e1.n2 + e1.d3 * e1.rest ELSE 1 END / (e1.kinds + 1)) / greatest(e1.pairs, 1) AS p1, log10((raw + {ADDED}) / (e1.total + {ADDED} * (e1.kinds + 1))) AS base FROM found f, e1),
+scored AS (SELECT l.*, CASE WHEN l.total > 0 THEN greatest(l.n2 - {taken("l.n2", "e2")}, 0) / l.total + (e2.d1 * l.once + e2.d2 * l.twice + e2.d3 * l.more) / l.total * l.p1 ELSE l.p1 END AS p FROM low l, e2),
+summed AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (raw > 0) AS n_known, round(sum(base), {DECIMALS}) AS base_score, round(sum(log10(p)), {DECIMALS}) AS score FROM scored GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT total FROM e1) AS train_tokens, base_score, score, round(10 ** (-score / n_tokens), {DECIMALS // 2}) AS perplexity FROM docs JOIN summed USING (r)"""

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.sql(), "op8_exact_topk": topk.sql()}
+    return {"op3_kneser_ney": language_model.sql(), "op5_mix_sources": mixing.sql(), "op8_exact_topk": topk.sql(), "op9_jaccard_join": jaccard_join.sql()}
