@@ -87,17 +87,16 @@ class Memory(dict):
         return Memory(self.make, self.most, self)
 
 
-_KEPT: dict[str, object] = {}
+_KEPT: list = ["", None]
 
 
-def kept(name: str, model):
-    """The first object of this name that the worker process has met, so that what it remembers outlives a task;
-    the last few names are kept."""
-    if name not in _KEPT:
-        while len(_KEPT) > 3:
-            del _KEPT[next(iter(_KEPT))]
-        _KEPT[name] = model
-    return _KEPT[name]
+def kept(name: str, make: Callable):
+    """What `make` made when the worker process last met another name, so that what it remembers outlives a task;
+    a new name lets go of it."""
+    if _KEPT[0] != name:
+        _KEPT[:] = [name, None]
+        _KEPT[1] = make()
+    return _KEPT[1]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ by 128-bit digests.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 from math import comb
 
 import numpy as np
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import Memory, discard, map_texts, numbered, written
+from shinglery.llm.common import Memory, discard, kept, map_texts, numbered, written
 from shinglery.llm.components import components
 from shinglery.llm.licences import LOWER, WORDS
 
@@ -42,7 +41,7 @@ STEP, TOLERANCE = 12, 1e-6
 #: Rows of a block of a bucket, and of a group that is verified.
 BUCKET, GROUP = 256, 128
 #: Shingles folded at once, words that a worker remembers, columns of a block's incidence matrix.
-CHUNK, REMEMBERED, COLUMNS = 1 << 14, 300_000, 8192
+CHUNK, REMEMBERED, COLUMNS = 1 << 14, 150_000, 8192
 #: From so many pairs a class on, the sizes of intersections come from an incidence matrix.
 DENSE = 4
 
@@ -73,10 +72,8 @@ class Shingler:
         return np.unique(x ^ (x >> np.uint64(32)))
 
 
-@cache
 def shingler() -> Shingler:
-    """One for each worker process, so that what it remembers outlives a task."""
-    return Shingler()
+    return kept("shingles", Shingler)
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:

@@ -25,7 +25,6 @@ import tempfile
 import uuid
 from collections import Counter, OrderedDict
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +71,8 @@ class Hashes:
         return out
 
 
-@cache
 def worker_hashes() -> Hashes:
-    """One for each worker process, so that what it remembers outlives a task."""
-    return Hashes()
+    return kept("hashes", Hashes)
 
 
 def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
@@ -279,10 +276,10 @@ class Model:
         self.discounts = {k: discounts(stats[k][:4]) for k in range(1, order + 1)}
         once, twice, _, _, self.distinct, self.pairs, self.tokens = stats[1]
         self.rest = [once, twice, self.distinct - once - twice]
-        self.arrays = None
+        self.arrays, self.hashes = None, Hashes()
 
     def __getstate__(self):
-        return self.__dict__ | {"arrays": None}
+        return self.__dict__ | {"arrays": None, "hashes": Hashes()}
 
     def score(self, hashes: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per document: known tokens, the base score, the model's log10 probability."""
@@ -479,9 +476,9 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     DECIMALS and perplexities to half as many, so that they do not depend on the order of sums."""
 
     def scored(texts: list[str]) -> dict[str, list]:
-        memory = worker_hashes()
-        hashes = [memory.of(t) for t in texts]
-        known, base, log = kept(model.uri, model).score(hashes)
+        own = kept(model.uri, lambda: model)
+        hashes = [own.hashes.of(t) for t in texts]
+        known, base, log = own.score(hashes)
         base, log = np.round(base, DECIMALS), np.round(log, DECIMALS)
         sizes = np.array([len(h) for h in hashes])
         return {"n_tokens": sizes, "n_known": known, "train_tokens": np.full(sizes.size, model.tokens), "base_score": base, "score": log, "perplexity": np.round(10 ** (-log / sizes), DECIMALS // 2)}

@@ -14,13 +14,12 @@ import string
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import Memory, written
+from shinglery.llm.common import Memory, kept, written
 from shinglery.llm.mixing import ranged, running
 
 # Ids a sequence holds, and the id that ends a document.
@@ -93,10 +92,8 @@ class Words:
         return out
 
 
-@cache
 def words_of(path: str) -> Words:
-    """One for each worker process, so that what it remembers outlives a task."""
-    return Words(path)
+    return kept(f"words of {path}", lambda: Words(path))
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shinglery.llm.boosting import Boosted
-from shinglery.llm.common import map_texts, sha256_hex, spans_text
+from shinglery.llm.common import kept, map_texts, sha256_hex, spans_text
 
 # The base kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -275,8 +275,9 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
 
     def scanned(texts: list[str]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in SCHEMA}
+        own = kept("personal data", lambda: model)
         for t in texts:
-            base, spans = find(t, model)
+            base, spans = find(t, own)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s[0] == k for s in base))
             out["base_sha256"].append(sha256_hex(spans_text(base)))
@@ -300,4 +301,5 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `pii_text`, the text without its personal data (null stays null: see the caller)."""
     model = judge()
-    return map_texts(df, lambda texts: {"pii_text": [redacted(t, find(t, model)[1]) for t in texts]}, {"pii_text": pa.string()}, text, df.columns)
+    own = lambda: kept("personal data", lambda: model)
+    return map_texts(df, lambda texts: {"pii_text": [redacted(t, find(t, own())[1]) for t in texts]}, {"pii_text": pa.string()}, text, df.columns)

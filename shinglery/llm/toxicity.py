@@ -44,7 +44,7 @@ TELLING, PREFIXES, SUFFIXES = 4.0, (4, 5, 6, 7, 8), (3, 4)
 STEPS, RATE, RIDGE = 60, 0.3, 1e-3
 REJECT, SPAN, DECIMALS = 0.7, 0.5, 6
 #: Tokens of a segment of the chain, tokens that are learned from at once, words that a worker remembers.
-SEGMENT, CHUNK, REMEMBERED = 64, 200_000, 300_000
+SEGMENT, CHUNK, REMEMBERED = 64, 200_000, 150_000
 QUARTERS = 4
 TOKEN = re.compile(r"\w+")
 
@@ -367,7 +367,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     name = f"toxicity-{uuid.uuid4().hex}"
 
     def scored(texts: list[str]) -> dict[str, list]:
-        rows = kept(name, model).scores(texts)
+        rows = kept(name, lambda: model).scores(texts)
         return {"score": [s for s, _ in rows], "predicted": [int(s >= REJECT) for s, _ in rows], "toxic_spans": [",".join(f"{a}:{b}" for a, b in x) for _, x in rows]}
 
     return map_texts(df, scored, SCHEMA, text, keep)
