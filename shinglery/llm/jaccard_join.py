@@ -393,15 +393,19 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, without those that stand behind another one of their class."""
+    """The documents, all columns, without those that stand behind another one of their class. Of rows with equal
+    id and text one stays, whichever has the least hash. Texts move once: the join and the choice deal them out alike,
+    as their key is never null."""
+    place = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     found = jaccard_join(docs, key, text)
     stay = found.where(F.col(key).eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))
-    stay = stay.select(F.col(key).alias("stay_key"), F.col("text_hash").alias("stay_hash")).distinct().hint("shuffle_hash")
+    stay = stay.select(place(key).alias("stay_place"), F.col("text_hash").alias("stay_hash")).distinct().hint("shuffle_hash")
     own, own_text = numbered(docs, text)
-    own_key = own.columns[docs.columns.index(key)]
-    own = own.withColumn("own_hash", text_digest(own_text))
-    kept = own.join(stay, F.col(own_key).eqNullSafe(F.col("stay_key")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
-    return kept.dropDuplicates([own_key, "own_hash"]).drop("own_hash").toDF(*docs.columns)
+    placed = own.withColumns({"own_place": place(own.columns[docs.columns.index(key)]), "own_hash": text_digest(own_text)})
+    kept = placed.join(stay, (F.col("own_place") == F.col("stay_place")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
+    hashed = F.xxhash64(*[c for c, t in own.dtypes if "map<" not in t])
+    one = kept.groupBy("own_place", "own_hash").agg(F.min_by(F.struct(*own.columns), hashed).alias("row"))
+    return one.select("row.*").toDF(*docs.columns)
 
 
 def sql() -> str:
