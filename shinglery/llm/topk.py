@@ -31,6 +31,8 @@ from shinglery.llm.mixing import ranged, running
 
 #: Rows of a block of candidates and of a block of queries.
 CANDIDATES, QUERIES = 16384, 16384
+#: Where these leave fewer tasks than the cluster has cores, groups of queries are smaller, down to so many rows.
+LEAST = 64
 FIRST_DEPTH, GROWTH = 8, 4
 
 
@@ -152,10 +154,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     placed = running(parts, order, {"rank": F.lit(1)}, []).select("id", "v", "norm", F.floor(F.col("mix_rank") / CANDIDATES).cast("long").alias("block"))
     placed = written(placed, "candidates")
     asked = written(slim(queries), "queries")
-    groups = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups).cast("long")))
+    n, wanted = asked.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism
     longest = np.array([r["top"] for r in placed.groupBy("block").agg(F.max("norm").alias("top")).orderBy("block").collect()])
-    first = asked.select(F.lit(0).cast("long").alias("block"), "grp", "id", "v", F.lit(None).cast("long").alias("floor"))
+    many = lambda blocks: max(1, -(-n // QUERIES), min(-(-wanted // blocks), -(-n // LEAST)))
+    dealt = lambda groups: F.pmod(F.xxhash64("id"), F.lit(groups).cast("long")).alias("grp")
+    groups = many(1)
+    first = asked.select(F.lit(0).cast("long").alias("block"), dealt(groups), "id", "v", F.lit(None).cast("long").alias("floor"))
     found = written(_search(placed.where("block = 0").select("block", "id", "v"), first, k, groups), "first-block")
     if longest.size < 2:
         return _ranked(found, k)
@@ -168,7 +172,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
 
     bounds = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("bound_id"), F.col("score").alias("floor"))
     more = asked.join(bounds, F.col("id") == F.col("bound_id"), "left").withColumn("last", reach("norm", F.col("floor").cast("double"))).where("last >= 1")
-    more = more.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("block"), "grp", "id", "v", "floor")
+    groups = many(longest.size - 1)
+    more = more.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("block"), dealt(groups), "id", "v", "floor")
     rest = _search(placed.where("block > 0").select("block", "id", "v"), more, k, groups)
     return _ranked(found.unionByName(rest), k)
 
