@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,52 +15,76 @@ from shinglery.plans.params import M32, MinHashParams
 
 #: Hashes that are folded at once; with two work arrays this stays inside a core's cache.
 CHUNK = 1 << 15
-
-
-def fold(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A (documents, functions) matrix of unsigned minima; rows without hashes hold 2^32 - 1."""
-    out = np.full((len(hashes), a.size), M32, np.uint32)
-    at = 0
-    while at < len(hashes):
-        end, size = at, 0
-        while end < len(hashes) and (end == at or size + hashes[end].size <= CHUNK):
-            size += hashes[end].size
-            end += 1
-        rows = [i for i in range(at, end) if hashes[i].size]
-        if rows:
-            _fold_rows(np.concatenate([hashes[i] for i in rows]), [hashes[i].size for i in rows], rows, a, b, out)
-        at = end
+#: Documents, and bytes or hashes of them, that are worked on at once; a longer document is alone.
+ROWS, STEP = 2048, 1 << 20
+
+
+def fold(flat: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A (documents, functions) matrix of unsigned minima over hashes that lie one document after another; rows
+    without hashes hold 2^32 - 1."""
+    out = np.full((sizes.size, a.size), M32, np.uint32)
+    rows = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[rows])
+    at = done = 0
+    while at < rows.size:
+        upto = max(at + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
+        starts = ends[at:upto] - sizes[rows[at:upto]] - done
+        own = flat[done : ends[upto - 1]]
+        if own.size <= CHUNK:
+            out[rows[at:upto]] = _minima(own, starts, a, b)
+        else:  # one document that is longer than a chunk
+            parts = [_minima(own[lo : lo + CHUNK], starts, a, b) for lo in range(0, own.size, CHUNK)]
+            out[rows[at]] = np.min(parts, axis=0)[0]
+        at, done = upto, int(ends[upto - 1])
     return out
 
 
-def _fold_rows(flat: np.ndarray, sizes: list[int], rows: list[int], a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
-    if len(rows) == 1:  # one document may be longer than a chunk
-        for lo in range(0, flat.size, CHUNK):
-            part = flat[lo : lo + CHUNK]
-            for j in range(a.size):
-                out[rows[0], j] = min(out[rows[0], j], (part * a[j] + b[j]).min())
-        return
-    starts, work = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.empty_like(flat)
+def _minima(flat: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    work, out = np.empty_like(flat), np.empty((a.size, starts.size), np.uint32)
     for j in range(a.size):
         np.multiply(flat, a[j], out=work)
         work += b[j]
-        out[rows, j] = np.minimum.reduceat(work, starts)
+        np.minimum.reduceat(work, starts, out=out[j])
+    return out.T
+
 
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a BINARY or list column one row after another, and where each row ends, from 0 on."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    buffers = column.buffers()
+    ends = np.frombuffer(buffers[1], kind, column.offset + len(column) + 1)[column.offset :]
+    if pa.types.is_list(column.type):
+        values = column.values.to_numpy(zero_copy_only=False)
+    else:
+        values = np.frombuffer(buffers[2], np.uint8) if buffers[2] else np.empty(0, np.uint8)
+    return values[ends[0] : ends[-1]], ends - ends[0]
 
-def _mapped(docs: DataFrame, key: str, params: MinHashParams, hashes_of) -> DataFrame:
+
+def _mapped(docs: DataFrame, key: str, params: MinHashParams, hashes_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     a, b, kind = np.array(params.a, np.uint32), np.array(params.b, np.uint32), dict(docs.dtypes)[key]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                m = fold([hashes_of(x) for x in part.column(1)], a, b).astype(np.int64)
-                ends = pa.array(np.arange(0, m.size + 1, a.size, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(m.ravel()))], [key, "sig"])
+            values, ends = _ragged(batch.column(1))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = min(lo + ROWS, batch.num_rows, max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, side="right")) - 1))
+                m = fold(*hashes_of(values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]), a, b).astype(np.int64)
+                cuts = pa.array(np.arange(0, m.size + 1, a.size, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cuts, pa.array(m.ravel()))], [key, "sig"])
+                lo = hi
 
     return docs.mapInArrow(signed, f"{key} {kind}, sig array<long>")
 
 
+def window_hashes(data: np.ndarray, ends: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows inside each row of ragged bytes, and how many each row has."""
+    every = murmur3_windows(data, k, seed)
+    sizes = np.maximum(np.diff(ends) - (k - 1), 0).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    return every[np.arange(int(sizes.sum())) + np.repeat(ends[:-1] - first, sizes)], sizes
+
+
 def signature(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, sig ARRAY<LONG>)` straight from text; narrow, no shuffle, one pass over Arrow batches.
 
@@ -69,13 +93,13 @@ def signature(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: s
     """
     k, seed = params.k, params.seed
     docs = df.where(F.col(text).isNotNull()).select(key, as_bytes(df, text).alias("bin"))
-    return _mapped(docs, key, params, lambda x: murmur3_windows(np.frombuffer(x.as_buffer(), np.uint8), k, seed))
+    return _mapped(docs, key, params, lambda data, ends: window_hashes(data, ends, k, seed))
 
 
 def signature_from_hashes(df: DataFrame, params: MinHashParams, key: str = "doc_id", hashes: str = "hs") -> DataFrame:
     """The same from an `ARRAY<INT>` column of shingle hashes (signed view); null arrays are dropped."""
     docs = df.where(F.col(hashes).isNotNull()).select(key, hashes)
-    return _mapped(docs, key, params, lambda x: x.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32))
+    return _mapped(docs, key, params, lambda values, ends: (values.astype(np.int32).view(np.uint32), np.diff(ends).astype(np.int64)))
 
 
 def signature_native(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
