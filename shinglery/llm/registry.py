@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglery.llm import filter_audit, flac, jaccard_join, language_model, licences, mixing, packing, pii, secrets, topk, toxicity
+from shinglery.llm import filter_audit, flac, jaccard_join, language_model, licences, merkle, mixing, packing, pii, secrets, topk, toxicity
 from shinglery.llm.common import documents, shared_dir
 
 
@@ -73,14 +73,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and fold of every document."""
+    return merkle.manifest(documents(spark, sf_dir).select(*merkle.FIELDS))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every order of the five filters keeps, removes and hides in each source."""
     return filter_audit.filter_audit(documents(spark, sf_dir).select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_kneser_ney, op4_flac_media, op5_mix_sources, op6_secret_scan, op7_toxicity, op8_exact_topk, op9_jaccard_join, op10_packing, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_kneser_ney, op4_flac_media, op5_mix_sources, op6_secret_scan, op7_toxicity, op8_exact_topk, op9_jaccard_join, op10_packing, op12_merkle_manifest, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": filter_audit.sql(), "op3_kneser_ney": language_model.sql(), "op5_mix_sources": mixing.sql(), "op8_exact_topk": topk.sql(), "op9_jaccard_join": jaccard_join.sql()}
+    return {"op12_merkle_manifest": merkle.sql(), "op13_filter_audit": filter_audit.sql(), "op3_kneser_ney": language_model.sql(), "op5_mix_sources": mixing.sql(), "op8_exact_topk": topk.sql(), "op9_jaccard_join": jaccard_join.sql()}
