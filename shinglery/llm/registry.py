@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shinglery.llm import filter_audit, flac, jaccard_join, language_model, licences, merkle, mixing, packing, pii, secrets, topk, toxicity
+from shinglery.llm import filter_audit, flac, jaccard_join, language_model, licences, merkle, mixing, packing, pii, secrets, style_tree, topk, toxicity
 from shinglery.llm.common import documents, shared_dir
 
 
@@ -73,6 +73,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the style tree of its host."""
+    return style_tree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof and fold of every document."""
     return merkle.manifest(documents(spark, sf_dir).select(*merkle.FIELDS))
@@ -84,7 +89,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_kneser_ney, op4_flac_media, op5_mix_sources, op6_secret_scan, op7_toxicity, op8_exact_topk, op9_jaccard_join, op10_packing, op12_merkle_manifest, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_kneser_ney, op4_flac_media, op5_mix_sources, op6_secret_scan, op7_toxicity, op8_exact_topk, op9_jaccard_join, op10_packing, op11_style_tree, op12_merkle_manifest, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
