@@ -16,6 +16,7 @@ ODD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, labels string, media string, mix string, node string"
 LABELS = "doc_id long, quality int, toxic int"
+PAGES = "page_id long, url string, html string"
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
@@ -40,6 +41,6 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", SCHEMA), ("labels", LABELS), ("embeddings", VECTORS)):
+    for name, schema in (("documents", SCHEMA), ("pages", PAGES), ("labels", LABELS), ("embeddings", VECTORS)):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return path
