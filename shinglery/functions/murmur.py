@@ -43,26 +43,50 @@ def _mix_words(w: np.ndarray) -> np.ndarray:
     return ((w << np.uint32(15)) | (w >> np.uint32(17))) * np.uint32(C2)
 
 
+#: Windows that are hashed together: their work arrays stay inside a core's cache.
+WINDOWS = 1 << 14
+
+
 def murmur3_windows(data: np.ndarray, k: int, seed: int) -> np.ndarray:
     """The hash of each k-byte window of a uint8 array; empty if it has fewer than k bytes."""
     n = data.size - k + 1
-    if n < 1:
-        return np.empty(0, np.uint32)
-    wide = data.astype(np.uint32)
-
-    def word(at: int, width: int) -> np.ndarray:
-        w = wide[at : at + n].copy()
-        for j in range(1, width):
-            w |= wide[at + j : at + j + n] << np.uint32(8 * j)
-        return w
-
+    out = np.empty(max(n, 0), np.uint32)
+    for lo in range(0, n, WINDOWS):
+        m = min(WINDOWS, n - lo)
+        out[lo : lo + m] = _windows(data[lo : lo + m + k - 1], m, k, seed)
+    return out
+
+
+def _words(data: np.ndarray, at: int, n: int) -> np.ndarray:
+    """The little-endian words that begin at each of n places; the last may end beyond the data, as zeros."""
+    whole = np.zeros(n + 6, np.uint8)
+    own = data[at : at + n + 3]
+    whole[: own.size] = own
+    w = np.empty(n, np.uint32)
+    for j in range(min(4, n)):
+        m = (n - j + 3) // 4
+        w[j::4] = whole[j : j + 4 * m].view("<u4")
+    return w
+
+
+def _turn_step(h: np.ndarray) -> np.ndarray:
+    turned = h << np.uint32(13)
+    h >>= np.uint32(19)
+    h |= turned
+    h *= np.uint32(STEP_MUL)
+    h += np.uint32(STEP_ADD)
+    return h
+
+
+def _windows(data: np.ndarray, n: int, k: int, seed: int) -> np.ndarray:
     h = np.full(n, seed, np.uint32)
     for at in range(0, k & ~3, 4):
-        h ^= _mix_words(word(at, 4))
-        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(STEP_MUL) + np.uint32(STEP_ADD)
+        h ^= _mix_words(_words(data, at, n))
+        h = _turn_step(h)
     if k & 3:
-        h ^= _mix_words(word(k & ~3, k & 3))
-    return _finish_all(h ^ np.uint32(k))
+        h ^= _mix_words(_words(data, k & ~3, n) & np.uint32((1 << 8 * (k & 3)) - 1))
+    h ^= np.uint32(k)
+    return _finish_all(h)
 
 
 def murmur3_words(words: np.ndarray, seed: int) -> np.ndarray:
@@ -70,14 +94,16 @@ def murmur3_words(words: np.ndarray, seed: int) -> np.ndarray:
     h = np.full(len(words), seed, np.uint32)
     for j in range(words.shape[1]):
         h ^= _mix_words(words[:, j])
-        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(STEP_MUL) + np.uint32(STEP_ADD)
+        h = _turn_step(h)
     return _finish_all(h ^ np.uint32(4 * words.shape[1]))
 
 
 def _finish_all(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(FINAL_1)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(FINAL_2)
-    return h ^ (h >> np.uint32(16))
+    for shift, factor in ((16, FINAL_1), (13, FINAL_2), (16, None)):
+        h ^= h >> np.uint32(shift)
+        if factor:
+            h *= np.uint32(factor)
+    return h
 
 
 def _undo(c: int) -> int:

@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.functions.murmur import murmur3_words, native_hash, u32
-from shinglery.plans.params import MinHashParams
+from shinglery.functions.murmur import murmur3_words
+from shinglery.functions.ragged import map_ragged, repeated
+from shinglery.operators.shingles import bytes_of
+from shinglery.operators.signature import folder
+from shinglery.plans.params import M32, MinHashParams
+
+ROWS = "lane long, bucket long"
+
+
+def hasher(params: MinHashParams) -> Callable[[pa.Array, np.ndarray], list[pa.Array]]:
+    """Columns key, lane and bucket of keys and their signatures, lane after lane."""
+    rows, lanes, seed = params.rows, params.lanes, params.seed
+
+    def hashed(keys: pa.Array, sig: np.ndarray) -> list[pa.Array]:
+        buckets = murmur3_words(sig.reshape(-1, rows), seed).astype(np.int64)
+        return [repeated(keys, np.full(len(keys), lanes)), pa.array(np.tile(np.arange(lanes), len(keys))), pa.array(buckets)]
+
+    return hashed
 
 
 def lane_buckets(signatures: DataFrame, params: MinHashParams, key: str = "doc_id") -> DataFrame:
     """`(key, lane, bucket)`: per lane the hash of its minima as little-endian 32-bit words.
 
-    Bucket ids of different lanes are not comparable: match on (lane, bucket). One or two rows a lane
-    are hashed in the JVM (an INT or a LONG is hashed as its little-endian bytes), others in batches.
+    Bucket ids of different lanes are not comparable: match on (lane, bucket).
     """
-    rows = params.rows
-    if rows <= 2:
-        low = lambda i: F.element_at("sig", i * rows + 1)
-        if rows == 1:
-            word = lambda i: F.when(low(i) >= 1 << 31, low(i) - (1 << 32)).otherwise(low(i)).cast("int")
-        else:
-            word = lambda i: F.shiftleft(F.element_at("sig", i * 2 + 2), 32).bitwiseOR(low(i))
-        lanes = F.array(*[u32(native_hash(word(i), params.seed)) for i in range(params.lanes)])
-        wide = signatures.select(key, lanes.alias("buckets"))
-    else:
-        seed, count, kind = params.seed, params.lanes, dict(signatures.dtypes)[key]
-
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                words = b.column(1).flatten().to_numpy().astype(np.uint32).reshape(-1, rows)
-                ends = pa.array(np.arange(0, b.num_rows * count + 1, count, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(murmur3_words(words, seed).astype(np.int64)))], [key, "buckets"])
-
-        wide = signatures.select(key, "sig").mapInArrow(hashed, f"{key} {kind}, buckets array<long>")
-    return wide.select(key, F.posexplode("buckets").alias("lane", "bucket")).select(key, F.col("lane").cast("long").alias("lane"), "bucket")
+    hashed = hasher(params)
+    return map_ragged(signatures.select(key, "sig"), key, lambda keys, values, _: hashed(keys, values.astype(np.uint32)), ROWS)
+
+
+def text_buckets(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same straight from text: windows, minima and lanes in one pass over Arrow batches."""
+    folded, hashed = folder(params), hasher(params)
+    return map_ragged(bytes_of(df, key, text), key, lambda keys, data, ends: hashed(keys, folded(data, ends)), ROWS)
+
+
+def empty_bucket(params: MinHashParams) -> int:
+    """The bucket of a lane of a document without shingles, in every lane."""
+    return int(murmur3_words(np.full((1, params.rows), M32, np.uint32), params.seed)[0])
 
 
 def lane_matrix(buckets: DataFrame, width: int, key: str = "doc_id") -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.functions.murmur import murmur3_windows, native_hash, native_whole_hash, u32
+from shinglery.functions.murmur import murmur3_windows, native_whole_hash
+from shinglery.functions.ragged import lists, map_ragged, repeated
 from shinglery.plans.params import MinHashParams
 
 
@@ -18,37 +17,46 @@ def as_bytes(df: DataFrame, text: str = "text") -> Column:
     return F.encode(F.col(text), "UTF-8") if dict(df.dtypes)[text] == "string" else F.col(text)
 
 
+def bytes_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """`(key, bin)` of the rows with a text."""
+    return df.where(F.col(text).isNotNull()).select(key, as_bytes(df, text).alias("bin"))
+
+
 def shingle_count(df: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, shingles)`: the number of k-byte windows. Rows with null text go; short ones have 0."""
     n = F.greatest(F.octet_length(as_bytes(df, text)) - F.lit(k - 1), F.lit(0)).cast("long")
     return df.where(F.col(text).isNotNull()).select(key, n.alias("shingles"))
 
 
-def shingle_hashes(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`(key, hs ARRAY<INT>)`: the hash of every window in order, repeats kept (signed view).
+def window_hashes(data: np.ndarray, ends: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows inside each row of ragged bytes, and how many each row has."""
+    every = murmur3_windows(data, k, seed)
+    sizes = np.maximum(np.diff(ends) - (k - 1), 0).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    return every[np.arange(int(sizes.sum())) + np.repeat(ends[:-1] - first, sizes)], sizes
 
-    Windows of a width divisible by four are hashed inside the JVM, others in Arrow batches.
-    """
-    docs = df.where(F.col(text).isNotNull()).select(key, as_bytes(df, text).alias("bin"))
-    k = params.k
-    if k % 4 == 0:
-        at = F.sequence(F.lit(1), F.octet_length("bin") - (k - 1))
-        hs = F.transform(at, lambda i: native_hash(F.substring(F.col("bin"), i, F.lit(k)), params.seed))
-        none = F.array().cast("array<int>")
-        return docs.select(key, F.when(F.octet_length("bin") >= k, hs).otherwise(none).alias("hs"))
-    seed = params.seed
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hs = [murmur3_windows(np.frombuffer(x.as_buffer(), np.uint8), k, seed).view(np.int32) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.list_(pa.int32()))], [key, "hs"])
+def shingle_hashes(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`(key, hs ARRAY<INT>)`: the hash of every window in order, repeats kept (signed view); one pass over batches."""
+    k, seed = params.k, params.seed
+
+    def made(keys: pa.Array, data: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        hashes, sizes = window_hashes(data, ends, k, seed)
+        return [keys, lists(hashes.view(np.int32), np.r_[0, np.cumsum(sizes)])]
 
-    return docs.mapInArrow(hashed, f"{key} {dict(df.dtypes)[key]}, hs array<int>")
+    return map_ragged(bytes_of(df, key, text), key, made, "hs array<int>")
 
 
 def shingle_long(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, pos, h)`: one row per window, h in [0, 2^32)."""
-    return shingle_hashes(df, params, key, text).select(key, F.posexplode("hs").alias("pos", "s")).select(key, F.col("pos").cast("long").alias("pos"), u32(F.col("s")).alias("h"))
+    k, seed = params.k, params.seed
+
+    def made(keys: pa.Array, data: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        hashes, sizes = window_hashes(data, ends, k, seed)
+        pos = np.arange(hashes.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return [repeated(keys, sizes), pa.array(pos), pa.array(hashes.astype(np.int64))]
+
+    return map_ragged(bytes_of(df, key, text), key, made, "pos long, h long")
 
 
 def whole_hash(df: DataFrame, seed: int, key: str = "doc_id", text: str = "text") -> DataFrame:

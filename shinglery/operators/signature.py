@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.functions.murmur import affine, murmur3_windows, u32
-from shinglery.operators.shingles import as_bytes, shingle_hashes
+from shinglery.functions.ragged import map_ragged, repeated, wide
+from shinglery.operators.shingles import bytes_of, window_hashes
 from shinglery.plans.params import M32, MinHashParams
 
 #: Hashes that are folded at once; with two work arrays this stays inside a core's cache.
 CHUNK = 1 << 15
-#: Documents, and bytes or hashes of them, that are worked on at once; a longer document is alone.
-ROWS, STEP = 2048, 1 << 20
 
 
 def fold(flat: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,41 +46,10 @@ def _minima(flat: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out.T
 
 
-def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a BINARY or list column one row after another, and where each row ends, from 0 on."""
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    buffers = column.buffers()
-    ends = np.frombuffer(buffers[1], kind, column.offset + len(column) + 1)[column.offset :]
-    if pa.types.is_list(column.type):
-        values = column.values.to_numpy(zero_copy_only=False)
-    else:
-        values = np.frombuffer(buffers[2], np.uint8) if buffers[2] else np.empty(0, np.uint8)
-    return values[ends[0] : ends[-1]], ends - ends[0]
-
-
-def _mapped(docs: DataFrame, key: str, params: MinHashParams, hashes_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    a, b, kind = np.array(params.a, np.uint32), np.array(params.b, np.uint32), dict(docs.dtypes)[key]
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, ends = _ragged(batch.column(1))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = min(lo + ROWS, batch.num_rows, max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, side="right")) - 1))
-                m = fold(*hashes_of(values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]), a, b).astype(np.int64)
-                cuts = pa.array(np.arange(0, m.size + 1, a.size, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cuts, pa.array(m.ravel()))], [key, "sig"])
-                lo = hi
-
-    return docs.mapInArrow(signed, f"{key} {kind}, sig array<long>")
-
-
-def window_hashes(data: np.ndarray, ends: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows inside each row of ragged bytes, and how many each row has."""
-    every = murmur3_windows(data, k, seed)
-    sizes = np.maximum(np.diff(ends) - (k - 1), 0).astype(np.int64)
-    first = np.cumsum(sizes) - sizes
-    return every[np.arange(int(sizes.sum())) + np.repeat(ends[:-1] - first, sizes)], sizes
+def folder(params: MinHashParams) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Signatures of ragged bytes, a row each."""
+    a, b, k, seed = np.array(params.a, np.uint32), np.array(params.b, np.uint32), params.k, params.seed
+    return lambda data, ends: fold(*window_hashes(data, ends, k, seed), a, b)
 
 
 def signature(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,27 +58,32 @@ def signature(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: s
     A minimum ignores repeated hashes; to fold them costs less than to sort them out. Null text is dropped; a
     document with fewer than k bytes keeps the fold's identity 2^32 - 1 in every place.
     """
-    k, seed = params.k, params.seed
-    docs = df.where(F.col(text).isNotNull()).select(key, as_bytes(df, text).alias("bin"))
-    return _mapped(docs, key, params, lambda data, ends: window_hashes(data, ends, k, seed))
+    folded = folder(params)
+    return map_ragged(bytes_of(df, key, text), key, lambda keys, data, ends: [keys, wide(folded(data, ends).astype(np.int64))], "sig array<long>")
 
 
 def signature_from_hashes(df: DataFrame, params: MinHashParams, key: str = "doc_id", hashes: str = "hs") -> DataFrame:
     """The same from an `ARRAY<INT>` column of shingle hashes (signed view); null arrays are dropped."""
-    docs = df.where(F.col(hashes).isNotNull()).select(key, hashes)
-    return _mapped(docs, key, params, lambda values, ends: (values.astype(np.int32).view(np.uint32), np.diff(ends).astype(np.int64)))
+    a, b = np.array(params.a, np.uint32), np.array(params.b, np.uint32)
 
+    def made(keys: pa.Array, values: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        flat = values.astype(np.int32).view(np.uint32)
+        return [keys, wide(fold(flat, np.diff(ends).astype(np.int64), a, b).astype(np.int64))]
 
-def signature_native(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same with JVM operators only: `min` aggregates with partial and final steps.
-
-    Slower than the Arrow route by an order of magnitude; kept as its cross-check.
-    """
-    hs = shingle_hashes(df, params, key, text).select(key, F.explode_outer(F.array_distinct("hs")).alias("s")).select(key, u32(F.col("s")).alias("h"))
-    mins = [F.coalesce(F.min(affine(a, b, F.col("h"))), F.lit(M32)) for a, b in zip(params.a, params.b, strict=True)]
-    return hs.groupBy(key).agg(F.array(*mins).alias("sig"))
+    return map_ragged(df.where(F.col(hashes).isNotNull()).select(key, hashes), key, made, "sig array<long>")
 
 
 def signature_long(signatures: DataFrame, key: str = "doc_id") -> DataFrame:
     """`(key, fn, minhash)`: one row per function."""
     return signatures.select(key, F.posexplode("sig").alias("fn", "minhash")).select(key, F.col("fn").cast("long").alias("fn"), "minhash")
+
+
+def signature_rows(df: DataFrame, params: MinHashParams, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same straight from text, in the pass that folds."""
+    folded, n = folder(params), params.functions
+
+    def made(keys: pa.Array, data: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        m = folded(data, ends)
+        return [repeated(keys, np.full(len(keys), n)), pa.array(np.tile(np.arange(n), len(keys))), pa.array(m.ravel().astype(np.int64))]
+
+    return map_ragged(bytes_of(df, key, text), key, made, "fn long, minhash long")

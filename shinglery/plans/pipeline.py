@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from shinglery.operators.buckets import lane_buckets
-from shinglery.operators.signature import signature
+from shinglery.operators.buckets import text_buckets
 from shinglery.plans.params import MinHashParams
 
 
 def minhash_pipeline(df: DataFrame, params: MinHashParams | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, lane, bucket)` of each document; no shuffle, so it also runs on a stream."""
-    params = params or MinHashParams()
-    return lane_buckets(signature(df, params, key, text), params, key)
+    return text_buckets(df, params or MinHashParams(), key, text)

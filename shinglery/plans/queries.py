@@ -5,55 +5,75 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shinglery.functions.murmur import C1, C2, FINAL_1, FINAL_2, STEP_ADD, STEP_MUL
-from shinglery.operators import buckets, shingles, signature
+from shinglery.operators import buckets, candidates, partial, shingles, signature
 from shinglery.plans.params import MinHashParams
 from shinglery.plans.pipeline import minhash_pipeline
-from shinglery.sources import synthetic
 from shinglery.sources.corpus import read_documents
+from shinglery.sources.packed import read_packed, write_packed
+from shinglery.sources.tables import shared_path, written
 
 P = MinHashParams.canonical()
 #: Documents side by side in a tile of the lane matrix.
 TILE = 8
 WHOLE_SEED = 0x9747B28C
-#: Bytes of a synthetic document, and after how many documents its bytes and its hashes repeat.
-WIDTH, TEXTS, HASHES = 200, 32, 1024
 ONE_ROW, WIDE = MinHashParams.canonical(lanes=128), MinHashParams.canonical(lanes=32)
 TWO32 = 1 << 32
 
 
+#: Windows of a segment, small enough that many documents of any table have several.
+SEGMENT = 1 << 11
+
+
 def _signature_hashes(spark, d):
     hs = shingles.shingle_hashes(read_documents(spark, d), P)
     return signature.signature_long(signature.signature_from_hashes(hs, P))
 
 
-def _bytes(spark, d) -> int:
-    """Bytes of all texts: the size of the synthetic corpora, so that they grow with the tables."""
-    return read_documents(spark, d).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _merged(spark, d):
+    cut = partial.segments(read_documents(spark, d), P, SEGMENT)
+    return signature.signature_long(partial.merged(partial.partial_signatures(cut, P)))
 
 
-def _synthetic_signatures(spark, d):
-    hs = synthetic.synthetic_hash_arrays(spark, _bytes(spark, d) // WIDTH, WIDTH, P.k)
-    return signature.signature_long(signature.signature_from_hashes(hs, P))
+def _classes(spark, d):
+    return candidates.bucket_classes(minhash_pipeline(read_documents(spark, d), P), P)
+
+
+def _joined(spark, d):
+    return candidates.banded_join(written(minhash_pipeline(read_documents(spark, d), P), "buckets"), P)
+
+
+def _similarity(spark, d):
+    signatures = written(signature.signature(read_documents(spark, d), P), "signatures")
+    buckets_ = written(buckets.lane_buckets(signatures, P), "buckets")
+    pairs = written(candidates.candidate_pairs(candidates.banded_join(buckets_, P)), "pairs")
+    return candidates.similarity(pairs, signatures, "first_id", "doc_id")
+
+
+def _packed(spark, d):
+    path = shared_path(spark, "packed")
+    write_packed(read_documents(spark, d), path)
+    return shingles.whole_hash(read_packed(spark, path, range_bytes=1 << 20), WHOLE_SEED)
 
 
 QUERIES = {
     "shingle_count": lambda s, d: shingles.shingle_count(read_documents(s, d), P.k),
     "shingle_hash": lambda s, d: shingles.shingle_long(read_documents(s, d), P),
     "shingle_hash_k5": lambda s, d: shingles.shingle_long(read_documents(s, d), MinHashParams(k=5)).groupBy("doc_id").agg(F.sum("h").alias("sum_h"), F.countDistinct("h").alias("distinct_h")),
-    "minhash_signature": lambda s, d: signature.signature_long(signature.signature(read_documents(s, d), P)),
+    "minhash_signature": lambda s, d: signature.signature_rows(read_documents(s, d), P),
     "minhash_from_hashes": _signature_hashes,
-    "minhash_native": lambda s, d: signature.signature_long(signature.signature_native(read_documents(s, d), P)),
+    "minhash_native": _merged,
+    "minhash_split": lambda s, d: signature.signature_long(partial.split_signature(read_documents(s, d), P, SEGMENT)),
     "lane_buckets": lambda s, d: buckets.lane_buckets(signature.signature(read_documents(s, d), P), P),
     "lane_buckets_one_row": lambda s, d: minhash_pipeline(read_documents(s, d), ONE_ROW),
     "lane_buckets_wide": lambda s, d: minhash_pipeline(read_documents(s, d), WIDE),
     "pipeline_buckets": lambda s, d: minhash_pipeline(read_documents(s, d), P),
     "lane_matrix": lambda s, d: buckets.lane_matrix(minhash_pipeline(read_documents(s, d), P), TILE),
     "murmur3_any_length": lambda s, d: shingles.whole_hash(read_documents(s, d), WHOLE_SEED),
-    "synthetic_text": lambda s, d: synthetic.synthetic_text(s, _bytes(s, d)),
-    "synthetic_offsets": lambda s, d: synthetic.synthetic_ends(s, -(-_bytes(s, d) // WIDTH), _bytes(s, d) - 1, WIDTH),
-    "synthetic_hashes": lambda s, d: synthetic.synthetic_hashes(s, _bytes(s, d)),
-    "synthetic_minhash": _synthetic_signatures,
-    "synthetic_pipeline": lambda s, d: minhash_pipeline(synthetic.synthetic_documents(s, _bytes(s, d) // WIDTH, WIDTH), P),
+    "bucket_classes": _classes,
+    "banded_join": _joined,
+    "candidate_pairs": lambda s, d: candidates.candidate_pairs(_joined(s, d)),
+    "signature_similarity": _similarity,
+    "packed_corpus": _packed,
 }
 
 
@@ -102,34 +122,21 @@ def _shingles(k: int) -> str:
     return f"WITH {_windows(k)},\n" + _murmur("wins", whole, tail, str(k), P.seed, "doc_id, pos", "shs")
 
 
-def _signatures(shingled: str | None = None) -> str:
-    """CTEs up to `sigs`, from CTEs that give `docs (doc_id)` and `shs (doc_id, h)`."""
+def _signatures() -> str:
+    """CTEs up to `sigs`."""
     a, b = list(P.a), list(P.b)
-    return f"""{shingled or _shingles(P.k)},
+    return f"""{_shingles(P.k)},
 fam AS (SELECT unnest(range({len(a)})) AS fn, unnest({a}::UBIGINT[]) AS a, unnest({b}::UBIGINT[]) AS b),
 hs AS (SELECT DISTINCT doc_id, h::UBIGINT AS h FROM shs),
 mins AS (SELECT doc_id, fn, min((a * h + b) % {TWO32})::BIGINT AS m FROM hs, fam GROUP BY doc_id, fn),
-sigs AS (SELECT d.doc_id, f.fn::BIGINT AS fn, coalesce(m, {TWO32 - 1}) AS minhash FROM docs d CROSS JOIN fam f LEFT JOIN mins ON mins.doc_id = d.doc_id AND mins.fn = f.fn)"""
+sigs AS MATERIALIZED (SELECT d.doc_id, f.fn::BIGINT AS fn, coalesce(m, {TWO32 - 1}) AS minhash FROM docs d CROSS JOIN fam f LEFT JOIN mins ON mins.doc_id = d.doc_id AND mins.fn = f.fn)"""
 
 
-def _buckets(params: MinHashParams = P, shingled: str | None = None) -> str:
+def _buckets(params: MinHashParams = P) -> str:
     rows = range(params.rows)
     words = ", ".join(f"max(CASE WHEN fn % {params.rows} = {i} THEN minhash END) AS r{i}" for i in rows)
     lanes = f"lanes AS (SELECT doc_id, fn // {params.rows} AS lane, {words} FROM sigs GROUP BY doc_id, fn // {params.rows})"
-    return f"{_signatures(shingled)},\n{lanes},\n" + _murmur("lanes", [f"r{i}" for i in rows], None, str(4 * params.rows), params.seed, "doc_id, lane", "bks")
-
-
-def _synthetic_texts() -> str:
-    """The windows of the synthetic documents that differ."""
-    byte = lambda i: f"(((d * {WIDTH} + pos + {i}) * (d * {WIDTH} + pos + {i}) + d * {WIDTH} + pos + {i}) % 256)"
-    word = " + ".join(f"{byte(i)} * {1 << 8 * i}" for i in range(P.k))
-    spots = f"spots AS (SELECT d, pos FROM range({TEXTS}) a(d), range({WIDTH - P.k + 1}) b(pos))"
-    return f"WITH docs AS (SELECT d AS doc_id FROM range({TEXTS}) t(d)),\n{spots},\nwins AS (SELECT d AS doc_id, pos, {word} AS w FROM spots),\n" + _murmur("wins", ["w"], None, str(P.k), P.seed, "doc_id, pos", "shs")
-
-
-def _synthetic_hashed() -> str:
-    per = WIDTH - P.k + 1
-    return f"WITH docs AS (SELECT d AS doc_id FROM range({HASHES}) t(d)),\nshs AS (SELECT d AS doc_id, (d * {per} + pos) % 1024 AS h FROM range({HASHES}) a(d), range({per}) b(pos))"
+    return f"{_signatures()},\n{lanes},\n" + _murmur("lanes", [f"r{i}" for i in rows], None, str(4 * params.rows), params.seed, "doc_id, lane", "bks")
 
 
 def _any_length_sql() -> str:
@@ -151,8 +158,11 @@ def oracle() -> dict[str, str]:
     sig = _signatures() + "\nSELECT doc_id, fn, minhash FROM sigs"
     found = lambda params: _buckets(params) + "\nSELECT doc_id, lane, h AS bucket FROM bks"
     shown = ", ".join(f"min(CASE WHEN doc_id % {TILE} = {k} THEN h END) AS d{k}" for k in range(TILE))
-    size = "(SELECT coalesce(sum(octet_length(encode(text))), 0)::BIGINT FROM documents)"
-    made = lambda columns, source, every: f"\nSELECT i AS doc_id, {columns} FROM range({size} // {WIDTH}) t(i) JOIN {source} ON i % {every} = doc_id"
+    classed = f"{_buckets()},\nbuckets AS MATERIALIZED (SELECT doc_id, lane, h AS bucket FROM bks WHERE h <> {buckets.empty_bucket(P)}),\nclasses AS (SELECT lane, bucket, min(doc_id) AS first_id, count(*) AS members FROM buckets GROUP BY lane, bucket HAVING count(*) > 1)"
+    joined = classed + "\nSELECT b.doc_id, b.lane, b.bucket, first_id, members FROM buckets b JOIN classes c ON b.lane = c.lane AND b.bucket = c.bucket"
+    pairs = "pairs AS (SELECT first_id, b.doc_id, count(DISTINCT b.lane) AS lanes FROM buckets b JOIN classes c ON b.lane = c.lane AND b.bucket = c.bucket WHERE b.doc_id <> first_id GROUP BY first_id, b.doc_id)"
+    agreed = "agreed AS (SELECT first_id, p.doc_id, lanes, sum((x.minhash = y.minhash)::INT)::BIGINT AS agree FROM pairs p JOIN sigs x ON x.doc_id = p.first_id JOIN sigs y ON y.doc_id = p.doc_id AND x.fn = y.fn GROUP BY ALL)"
+    similar = f"{classed},\n{pairs},\n{agreed}\nSELECT *, {candidates.interval_sql('agree', P.functions)} FROM agreed"
     return {
         "shingle_count": f"SELECT doc_id, greatest(octet_length(encode(text)) - {P.k - 1}, 0)::BIGINT AS shingles FROM documents WHERE text IS NOT NULL",
         "shingle_hash": _shingles(P.k) + "\nSELECT doc_id, pos, h FROM shs",
@@ -166,9 +176,10 @@ def oracle() -> dict[str, str]:
         "pipeline_buckets": found(P),
         "lane_matrix": _buckets() + f"\nSELECT doc_id // {TILE} AS tile, lane, {shown} FROM bks GROUP BY doc_id // {TILE}, lane",
         "murmur3_any_length": _any_length_sql(),
-        "synthetic_text": f"SELECT i, (i * i + i) % 256 AS byte FROM range({size}) t(i)",
-        "synthetic_offsets": f"SELECT i AS doc, least((i + 1) * {WIDTH}, {size} - 1) AS \"end\" FROM range(({size} + {WIDTH - 1}) // {WIDTH}) t(i)",
-        "synthetic_hashes": f"SELECT i, i % 1024 AS h FROM range({size}) t(i)",
-        "synthetic_minhash": _signatures(_synthetic_hashed()) + made("fn, minhash", "sigs", HASHES),
-        "synthetic_pipeline": _buckets(P, _synthetic_texts()) + made("lane, h AS bucket", "bks", TEXTS),
+        "minhash_split": sig,
+        "bucket_classes": classed + "\nSELECT lane, bucket, first_id, members FROM classes",
+        "banded_join": joined,
+        "candidate_pairs": f"SELECT first_id, doc_id, count(DISTINCT lane) AS lanes FROM ({joined}) WHERE doc_id <> first_id GROUP BY first_id, doc_id",
+        "signature_similarity": similar,
+        "packed_corpus": _any_length_sql(),
     }

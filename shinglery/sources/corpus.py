@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, only the columns that fingerprints need; dealt out if its files are too few."""
+    """The documents table, only the columns that fingerprints need. Rows are dealt out where there are fewer files than
+    cores: a file may be one row group, which one task reads whole, however many splits it has. To move a text costs
+    little beside the folds of its bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(4 * cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(4 * cores) if len(docs.inputFiles()) < cores else docs
 
 
 def unpack(buffer: bytes, ends: list[int]) -> list[tuple[int, bytes]]:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from sqlcheck import rows_of_frame, rows_of_sql
 
 from shinglery.functions.murmur import murmur3_32, murmur3_windows, native_hash, seed_literal, u32
-from shinglery.operators import buckets, shingles, signature
+from shinglery.operators import buckets, partial, shingles, signature
 from shinglery.plans.params import MinHashParams
 from shinglery.plans.pipeline import minhash_pipeline
 from shinglery.plans.queries import QUERIES, oracle
@@ -60,7 +60,8 @@ def test_goldens_and_equal_documents(spark):
 
 def test_short_empty_null(spark):
     df = spark.createDataFrame([(1, ""), (2, "abc"), (3, None), (None, "abcd")], "doc_id long, text string")
-    for route in (signature.signature, signature.signature_native):
+    merged = lambda df, p: partial.merged(partial.partial_signatures(partial.segments(df, p, 3), p))
+    for route in (signature.signature, merged, lambda df, p: partial.split_signature(df, p, 2)):
         got = {r.doc_id: r.sig for r in route(df, P).collect()}
         assert set(got) == {1, 2, None} and set(got[1]) == set(got[2]) == {2**32 - 1} and got[None] != got[1]
     assert {r.bucket for r in minhash_pipeline(df.where("doc_id = 1"), P).collect()} == {2540302534}
@@ -73,8 +74,13 @@ def test_routes_agree_and_order_is_ignored(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     a = {r.doc_id: r.sig for r in signature.signature(df, P).collect()}
     b = {r.doc_id: r.sig for r in signature.signature_from_hashes(shingles.shingle_hashes(df, P), P).collect()}
-    c = {r.doc_id: r.sig for r in signature.signature_native(df.repartition(7), P).collect()}
-    assert a == b == c
+    assert a == b
+    for size in (1 << 20, 1000, 7):
+        cut = df.where("doc_id < 30") if size == 7 else df
+        assert {r.doc_id: r.sig for r in partial.split_signature(cut.repartition(7), P, size).collect()} == {k: v for k, v in a.items() if size > 7 or k < 30}
+    by_lane = {(r.doc_id, r.fn): r.minhash for r in signature.signature_rows(df, P).collect()}
+    assert by_lane == {(d, i): x for d, sig in a.items() for i, x in enumerate(sig)}
+    assert sorted(buckets.lane_buckets(signature.signature(df, P), P).collect()) == sorted(minhash_pipeline(df, P).collect())
     for k in (3, 5):
         p = MinHashParams(k=k)
         for r in shingles.shingle_hashes(df, p).collect():
