@@ -61,27 +61,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The folders inside a folder, by name."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in found if f.isDirectory())
+
+
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+#: Longer keys are not remembered: in texts without spaces a word may be a paragraph.
+LONGEST = 64
+#: Bytes of an entry besides its key's and its value's own characters: object heads and the table's share.
+ENTRY = 160
+
+
 class Memory(dict):
-    """Values of keys by `make`, in two generations of at most `most` keys: look up `memory[key]`, and go on with
-    `memory.aged()` now and then."""
+    """Values of keys by `make`, in two generations of about `most` bytes: look up `memory[key]`, and go on with
+    `memory.aged()` now and then. Keys above LONGEST are made anew each time."""
 
     def __init__(self, make: Callable, most: int, old: dict | None = None):
         super().__init__()
-        self.make, self.most, self.old = make, most, old or {}
+        self.make, self.most, self.old, self.held = make, most, old or {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONGEST:
+            self[key] = value
+            self.held += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         return value
 
     def aged(self) -> Memory:
-        if len(self) <= self.most:
+        if self.held <= self.most:
             return self
         self.old = {}
         return Memory(self.make, self.most, self)

@@ -40,8 +40,8 @@ FUNCTIONS = BANDS * ROWS
 STEP, TOLERANCE = 12, 1e-6
 #: Rows of a block of a bucket, and of a group that is verified.
 BUCKET, GROUP = 256, 128
-#: Shingles folded at once, words that a worker remembers, columns of a block's incidence matrix.
-CHUNK, REMEMBERED, COLUMNS = 1 << 14, 150_000, 8192
+#: Shingles folded at once, bytes of words that a worker remembers, columns of a block's incidence matrix.
+CHUNK, REMEMBERED, COLUMNS = 1 << 14, 24 << 20, 8192
 #: From so many pairs a class on, the sizes of intersections come from an incidence matrix.
 DENSE = 4
 

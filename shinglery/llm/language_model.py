@@ -7,7 +7,7 @@ dealt out by themselves, so that no context fills a task (the share only balance
 part merges its blocks, writes its array and passes on what its n-grams say of the next lower order, which is
 merged in parts of its own, down to single words. Where there are more than FAN parts, blocks are dealt out
 digit by digit, so that neither blocks nor open files grow with tasks times parts; at most FILES files hold the
-parts of an order. Hashes have 48 bits for words and 64 for n-grams, counts up to 64.
+parts of an order. Hashes and counts have 64 bits.
 
 Every document begins after order - 1 start symbols. An n-gram counts as often as it occurs in the highest order
 and by the number of distinct words before it in lower ones.
@@ -39,11 +39,10 @@ from shinglery.llm.common import Memory, file_system, kept, map_texts, shared_pa
 # The base model's added count.
 ADDED = 0.1
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-M48 = (1 << 48) - 1
-START, END = (xxhash.xxh3_64_intdigest(x) & M48 for x in (b"\n<s>", b"\n</s>"))
+START, END = (xxhash.xxh3_64_intdigest(x) for x in (b"\n<s>", b"\n</s>"))
 ORDER = 2
-#: Tokens that a task counts at once, bytes of text meant for a part, words that a worker remembers.
-FLUSH, PART, REMEMBERED = 2_000_000, 6_400_000, 300_000
+#: Tokens that a task counts at once, bytes of text meant for a part, bytes of words that a worker remembers.
+FLUSH, PART, REMEMBERED = 2_000_000, 6_400_000, 32 << 20
 #: Parts that a task deals out to at once, files of an order, files that a worker maps at once.
 FAN, FILES, MAPS = 1024, 1 << 16, 4096
 #: The share of rows in which frequent contexts are sought, and how many contexts are dealt out by n-gram.
@@ -61,7 +60,7 @@ class Hashes:
     """Hashes of the words of texts."""
 
     def __init__(self):
-        self.words = Memory(lambda w: xxhash.xxh3_64_intdigest(w) & M48, REMEMBERED)
+        self.words = Memory(xxhash.xxh3_64_intdigest, REMEMBERED)
 
     def of(self, text: str) -> list[int]:
         words = self.words
@@ -110,8 +109,8 @@ def narrow(a: np.ndarray) -> np.ndarray:
 def packed(words: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
     """Word hashes by a dictionary of the block, and numbers, column by column and compressed."""
     known, ids = np.unique(np.concatenate(words), return_inverse=True)
-    columns = [known.astype("<u4"), (known >> np.uint64(32)).astype("<u2"), narrow(ids), *map(narrow, numbers)]
-    top = json.dumps([len(words), len(known), len(words[0]), *[c.itemsize for c in columns[2:]]]).encode()
+    columns = [known.astype("<u8"), narrow(ids), *map(narrow, numbers)]
+    top = json.dumps([len(words), len(known), len(words[0]), *[c.itemsize for c in columns[1:]]]).encode()
     return zstandard.compress(top + b"\n" + b"".join([c.tobytes() for c in columns]), 1)
 
 
@@ -119,9 +118,8 @@ def unpacked(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     data = zstandard.decompress(block)
     at = data.index(b"\n") + 1
     order, kinds, n, *widths = json.loads(data[:at])
-    low, high = np.frombuffer(data, "<u4", kinds, at), np.frombuffer(data, "<u2", kinds, at + 4 * kinds)
-    known = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    at, columns = at + 6 * kinds, []
+    known = np.frombuffer(data, "<u8", kinds, at)
+    at, columns = at + 8 * kinds, []
     for i, width in enumerate(widths):
         columns.append(np.frombuffer(data, f"<u{width}", n * (1 if i else order), at))
         at += columns[-1].nbytes

@@ -24,8 +24,8 @@ from shinglery.llm.mixing import ranged, running
 
 # Ids a sequence holds, and the id that ends a document.
 LENGTH, END = 2048, 1
-#: Words that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+#: Bytes of words, and of parts of words, that a worker remembers in each of two generations.
+REMEMBERED = 32 << 20
 #: Up to so many places (40 bytes each) are broadcast.
 SLOTS = 200_000
 PUNCTUATION = string.punctuation
@@ -61,14 +61,11 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.words = Memory(self._new, REMEMBERED)
-        self.parts: dict[str, bytes] = {}
+        self.parts = Memory(self._made, REMEMBERED // 4)
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = self.parts[part] = _ids_bytes([t.id for t in self.model.tokenize(spelt)])
-        return ids
+    def _made(self, part: str) -> bytes:
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return _ids_bytes([t.id for t in self.model.tokenize(spelt)])
 
     def _new(self, word: bytes) -> bytes:
         text = word.decode()
@@ -76,9 +73,9 @@ class Words:
             low = text.lower()
             letters = low.rstrip(PUNCTUATION)
             if letters.isalpha():
-                return self._part(low) if len(letters) == len(low) else self._part(letters) + self._part(low[len(letters) :])
+                return self.parts[low] if len(letters) == len(low) else self.parts[letters] + self.parts[low[len(letters) :]]
             if not letters:
-                return self._part(low)
+                return self.parts[low]
         return _ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -86,9 +83,7 @@ class Words:
         for t in texts:
             words = self.words
             out.append(b"".join([words[w] for w in t.encode("utf-8", "replace").split()]) + end)
-            self.words = words.aged()
-            if self.words is not words:
-                self.parts = {}
+            self.words, self.parts = words.aged(), self.parts.aged()
         return out
 
 

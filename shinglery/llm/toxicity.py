@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shinglery.llm.common import kept, map_texts
+from shinglery.llm.common import ENTRY, kept, map_texts
 from shinglery.llm.jaccard_join import ROWS, forest, minhashes, shingler
 
 #: At most so many labelled documents of each label, of at most so many characters on average, are learned from.
@@ -43,8 +43,8 @@ PURE = 0.8
 TELLING, PREFIXES, SUFFIXES = 4.0, (4, 5, 6, 7, 8), (3, 4)
 STEPS, RATE, RIDGE = 60, 0.3, 1e-3
 REJECT, SPAN, DECIMALS = 0.7, 0.5, 6
-#: Tokens of a segment of the chain, tokens that are learned from at once, words that a worker remembers.
-SEGMENT, CHUNK, REMEMBERED = 64, 200_000, 150_000
+#: Tokens of a segment of the chain, tokens that are learned from at once, bytes of words that a worker remembers.
+SEGMENT, CHUNK, REMEMBERED = 64, 200_000, 32 << 20
 QUARTERS = 4
 TOKEN = re.compile(r"\w+")
 
@@ -141,7 +141,7 @@ class Field:
         self.forget()
 
     def forget(self) -> None:
-        self.memory, self.potentials = {}, array("d")
+        self.memory, self.potentials, self.held = {}, array("d"), 0
 
     def seen(self, word: str) -> list[int]:
         return [0, *[i for t in traits(word) if (i := self.traits.get(t))]]
@@ -157,6 +157,7 @@ class Field:
         memory = self.memory
         if new := [w for w in set(words) if w not in memory]:
             memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
+            self.held += sum(map(len, new)) + (ENTRY + 24) * len(new)
             flat, starts = self.flat(new)
             self.potentials.frombytes(np.add.reduceat(self.weights[:, flat], starts, axis=1).T.tobytes())
         return np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
@@ -234,7 +235,7 @@ class Field:
         full = np.flatnonzero(sizes)
         out = [np.empty(0)] * len(docs)
         if full.size:
-            if len(self.memory) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.forget()
             ids = self.ids([w for d in docs for w in d])
             layout = self.layout(sizes[full])
@@ -271,6 +272,8 @@ class Model:
         texts, toxic = without_copies(texts, toxic)
         docs = [TOKEN.findall(t) for t in texts]
         signs, telling = told([set(d) for d in docs], toxic)
+        if not any(docs):
+            return  # nothing to learn from: no field, and so no spans
         self.field = Field(telling)
         known: dict[str, bool] = {}
         for w in {w for d in docs for w in d}:

@@ -1,6 +1,7 @@
 """Parts of the operators, and paths that small tables do not reach."""
 
 import glob
+import hashlib
 import math
 import os
 import random
@@ -11,9 +12,10 @@ import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from sqlcheck import rows_of_sql
 
 import corpus_pipeline
-from shinglery.llm import boosting, common, components, flac, jaccard_join, language_model, licences, mixing, packing, pii, secrets, topk, toxicity
+from shinglery.llm import boosting, common, components, flac, jaccard_join, language_model, licences, mixing, packing, pii, registry, secrets, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +81,14 @@ def test_top_k_ties_and_copies():
         assert lists.top(own, v[own], 5) == want
 
 
+def test_top_k_of_long_vectors_raises(spark, tmp_path):
+    spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 0.0])], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    with pytest.raises(Exception, match="too long for 64-bit scores"):
+        registry.op8_exact_topk(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="too long for 64-bit scores"):
+        rows_of_sql(topk.sql(), str(tmp_path))
+
+
 def test_stages_keep_columns_of_any_name(spark):
     names = ["score", "predicted", "toxic_spans", "pii_text", "own_hash", "stay_key", "node", "sig", "text_hash", "class_id", "root", "size", "toxic_key", "col_0", "mix_size", "a.b"]
     rows = [(i, t, 7 if t is None else len(t), "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(["x a@b.cc y", "x a@b.cc y", None, ""])]
@@ -171,8 +181,8 @@ def test_language_model_counts_and_discounts():
 
 def test_ledger_scans_only_unseen_blobs(spark, monkeypatch, tmp_path):
     old = spark.createDataFrame([(1, 'token = "abcdef1"'), (2, "x"), (2, "x")], "doc_id long, text string")
-    for few in (secrets.FEW, 0):
-        monkeypatch.setattr(secrets, "FEW", few)
+    for bits in (secrets.BITS, 1 << 10):
+        monkeypatch.setattr(secrets, "BITS", bits)
         first = secrets.update_ledger(old)
         both = old.unionByName(spark.createDataFrame([(3, "x"), (4, "AKIA" + "A" * 16), (5, None), (None, None), (None, "")], old.schema))
         more = secrets.update_ledger(both, ledger=first)
@@ -180,10 +190,67 @@ def test_ledger_scans_only_unseen_blobs(spark, monkeypatch, tmp_path):
         assert secrets.update_ledger(both, ledger=first, rules="2").count() == 4
         found = [(r.doc_id, [tuple(x) for x in r.findings]) for r in secrets.findings_of_paths(both, first.unionByName(more)).collect()]
         assert sorted(found, key=repr) == sorted([(1, [("assign", 0, 16)]), (2, []), (2, []), (3, []), (4, [("access", 0, 20)]), (5, []), (None, []), (None, [])], key=repr)
-        root = f"file://{tmp_path}/ledger-{few}"
-        increments = lambda: sorted(spark.read.parquet(x).count() for x in glob.glob(f"{tmp_path}/ledger-{few}/*"))  # noqa: E731, B023
+        root = f"file://{tmp_path}/ledger-{bits}"
+        increments = lambda: sorted(spark.read.parquet(x).count() for x in glob.glob(f"{tmp_path}/ledger-{bits}/*"))  # noqa: E731, B023
         results = [sorted(map(repr, secrets.scan_versions(x, root).collect())) for x in (old, both, both)]
         assert increments() == [0, 2, 2] and results[1] == results[2]
+        monkeypatch.setattr(secrets, "MANY", 2)
+        assert sorted(map(repr, secrets.scan_versions(both, root).collect())) == results[1] and increments() == [0, 4]
+        monkeypatch.setattr(secrets, "MANY", 16)
+
+
+def test_ledger_moves_texts_of_unseen_blobs_only(spark):
+    """Of 3,000 blobs 40 are unseen: these texts pass the filter, and few others do. A filter of few bits passes more,
+    and the increment is the same."""
+    docs = spark.createDataFrame([(i, f"text {i} token=abcdef{i}") for i in range(3000)], "doc_id long, text string")
+    ledger = secrets.update_ledger(docs.where("doc_id >= 40"))
+    more = {bytes(r.blob): r.findings for r in secrets.update_ledger(docs, ledger=ledger).collect()}
+    assert more == {hashlib.sha256(f"text {i} token=abcdef{i}".encode()).digest(): more[hashlib.sha256(f"text {i} token=abcdef{i}".encode()).digest()] for i in range(40)}
+    place = F.concat(F.lit("="), F.col("doc_id").cast("string"))
+    addressed = docs.select(place.alias("place"), "text", secrets.blob_id(F.col("text")).alias("blob"))
+    unseen = addressed.where("place IN ({})".format(", ".join(f"'={i}'" for i in range(40)))).select(F.col("blob").alias("first_blob"), F.col("place").alias("first_place"))
+    moved = {r.place for r in secrets.perhaps_unseen(addressed, unseen, 40).select("place").collect()}
+    assert {f"={i}" for i in range(40)} <= moved and len(moved) < 140
+
+
+def test_further_secrets():
+    for kind, text in (("aws", "AWS_SECRET_ACCESS_KEY = \"" + "aB3/" * 10 + '"'), ("key", "sk-" + "a1B2" * 6), ("lab", "glpat-" + "x" * 20), ("bearer", "Authorization: Bearer " + "tok.en_" * 4)):
+        assert kind in [s[0] for s in secrets.scan(f"see {text}.")], kind
+    assert secrets.scan("a task-" + "z" * 30 + " bearer of news") == []
+
+
+def test_expressions_end_with_their_line():
+    labels = lambda t: licences.scan(t)["labels"]
+    assert labels("SPDX-License-Identifier: MIT\nAnd then we import sys") == labels("SPDX-License-Identifier: MIT\r\nor not, who knows") == "mit"
+    assert labels("SPDX-License-Identifier:\n\nimport os") == labels("spdx license identifier: the value is missing") == ""
+    assert labels("# SPDX-License-Identifier: (EPL-2.0 OR\n#  0BSD) AND Zlib\nfoo") == "0bsd,epl-2.0,zlib"
+    assert labels("/* SPDX-License-Identifier: EPL-2.0 OR Zlib */ int x;") == "epl-2.0,zlib" and labels('"license-expression": "WTFPL", "x"') == "wtfpl"
+    assert labels("SPDX-License-Identifier: MIT applies, see EPL-2.0") == "mit" and labels("Licensed under\nthe terms of MIT or BSD-3-Clause.") == "bsd-3-clause,mit"
+
+
+def test_memory_is_bounded_by_bytes():
+    """50,000 words of 3,000 characters, as of texts without spaces, are not kept; short ones only up to the bound."""
+    made = []
+    memory = common.Memory(lambda w: made.append(w) or b"v" * len(w), 1 << 20)
+    for i in range(50_000):
+        assert len(memory[b"%07d" % i * 430]) == 3010
+        memory = memory.aged()
+    assert memory.held == 0 and not memory and not memory.old
+    for i in range(50_000):
+        memory[b"%07d" % i]
+        memory = memory.aged()
+        assert memory.held <= (1 << 20) + 200 and len(memory.old) <= 1 + (1 << 20) // common.ENTRY
+    n = len(made)
+    assert memory[b"%07d" % 49_999] == b"v" * 7 and len(made) == n
+
+
+def test_long_words_leave_the_operators_small():
+    words = ["".join(random.Random(i).choice("abcdefgh漢字") for _ in range(1000)) for i in range(300)]
+    own, hashes, shingles = packing.Words(packing.vocabulary()), language_model.Hashes(), jaccard_join.Shingler()
+    first = own.encode([" ".join(words)])
+    hashes.of(" ".join(words)), shingles(" ".join(words))
+    assert own.words.held == own.parts.held == hashes.words.held == shingles.words.held == 0
+    assert own.encode([" ".join(words)]) == first
 
 
 def test_rules_are_the_version(monkeypatch):
@@ -213,6 +280,7 @@ def test_toxicity_of_short_and_long_texts(spark):
 
 def test_toxicity_without_labels_or_with_one_kind():
     assert toxicity.Model([], []).scores(["x", ""]) == [(0.0, [])] * 2
+    assert toxicity.Model(["", ""], [0, 1]).scores(["x y", ""]) == [(0.5, [])] * 2
     assert toxicity.Model(["a", "b"], [1, 1]).score("x") == (1.0, []) and toxicity.Model(["a"], [0]).score("") == (0.0, [])
 
 
