@@ -3,9 +3,10 @@ parser evaluates and/or/with licence expressions.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a phrase matches wherever its
 words stand consecutively, whatever ASCII separators stand between; overlapping places all count; an
-expression that does not parse is ignored; a tag stands where the automaton finds its words; after a tag with a colon or equals sign every name of an expression
-is a label, listed or not (LicenseRef- too), after LOOSE and tags in prose listed ones only, and expressions
-without them are ignored; repeated rows give repeated results; other columns are kept.
+expression that does not parse is ignored; a tag stands where the automaton finds its words. An expression ends with its
+line, but for line breaks inside its brackets. After a tag with a colon or equals sign every name of an expression that
+fills the rest of the line, the quotes or the comment is a label, listed or not (LicenseRef- too); after LOOSE, tags in
+prose and expressions that other words follow, listed ones only, and expressions without them are ignored; repeated rows give repeated results; other columns are kept.
 """
 
 from __future__ import annotations
@@ -60,9 +61,14 @@ DUTY = (
 UNKNOWN, EXCEPTION = 0.5, 0.6
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+-]+(?::LicenseRef-[A-Za-z0-9.-]+)?)")
-FIELD = re.compile(r"[\s\"'*]*[:=]")
+NAME = r"(\(|\)|[A-Za-z0-9.+-]+(?::LicenseRef-[A-Za-z0-9.-]+)?)"
+TOKEN = re.compile(r"[^\S\n]*" + NAME)
+#: Inside brackets a line may break, and the next one begin as a comment does.
+INNER = re.compile(r"\s*(?:(?:#|//|;|--|\*(?!/))[^\S\n]*)?" + NAME)
+FIELD = re.compile(r"[^\S\n]*[\"'*]*[^\S\n]*[:=][^\S\n\"'*]*[\"'*]*")
 HEAD = re.compile(r"[\s:=\"'*]*(?:(?:the|terms|of|either)\s+)*", re.I)
+#: What stands behind an expression that fills its field.
+CLOSED = re.compile(r"[^\S\n]*(?:\n|\Z|[\"'`,;|<>)\]}*]|-->|\*/|#|\\n)")
 #: A word, as in the fixed definition.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -120,14 +126,13 @@ def evaluate(expression: list[str]) -> float | None:
     return stack[0][0]
 
 
-def read_expression(text: str, at: int) -> tuple[list[str], list[str]]:
-    """The longest well-formed expression from `at`, and its licence names; empty if there is none.
+def read_expression(text: str, at: int) -> tuple[list[str], list[str], int]:
+    """The longest well-formed expression from `at`, its licence names, and where it ends; empty if there is none.
 
     Only `and`, `or`, `with` and brackets carry an expression over a further operand.
     """
-    at = HEAD.match(text, at).end()
-    tokens, whole, depth, operand = [], 0, 0, False
-    while m := TOKEN.match(text, at):
+    tokens, whole, depth, operand, end = [], 0, 0, False, at
+    while m := (INNER if depth else TOKEN).match(text, at):
         t = m[1].rstrip(".") if m[1] not in "()" else m[1]
         word = t not in ("(", ")") and t.lower() not in PRECEDENCE
         if not t or (word and operand) or (t == ")" and (not depth or not operand)) or (t == "(" and operand) or (t.lower() in PRECEDENCE and not operand):
@@ -137,12 +142,12 @@ def read_expression(text: str, at: int) -> tuple[list[str], list[str]]:
         operand = word or t == ")"
         at = m.end()
         if operand and not depth:
-            whole = len(tokens)
+            whole, end = len(tokens), at
         if word and m[1].endswith("."):
             break
     best = tokens[:whole]
     after_with = {i + 1 for i, t in enumerate(best) if t.lower() == "with"}
-    return best, [t.lower() for i, t in enumerate(best) if t not in "()" and t.lower() not in PRECEDENCE and i not in after_with]
+    return best, [t.lower() for i, t in enumerate(best) if t not in "()" and t.lower() not in PRECEDENCE and i not in after_with], end
 
 
 @cache
@@ -188,9 +193,10 @@ def scan(text: str) -> dict:
     if tags:
         ends = [m.end() for m in WORD.finditer(text)]
         for last, tag in tags:
-            at = ends[last]
-            tokens, names = read_expression(text, at)
-            if tag == LOOSE or not FIELD.match(text, at):
+            field = FIELD.match(text, ends[last])
+            at = HEAD.match(text, ends[last]).end() if tag == LOOSE else field.end() if field else ends[last]
+            tokens, names, end = read_expression(text, at)
+            if tag == LOOSE or not field or not CLOSED.match(text, end):
                 names = [n for n in names if KNOWN.fullmatch(n)]
             if names and (d := evaluate(tokens)) is not None:
                 labels.update(names)
