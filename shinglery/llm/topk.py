@@ -12,7 +12,8 @@ Defined cases: vectors that are null, empty, of another length than the query's,
 or non-finite components take no part; ties go to the smaller id; equal vectors are scored once and all
 count; a query never finds its own id; rows with a null id take no part; repeated rows count once, and an id with
 several vectors, on either side, scores the best of its pairs, so that no query finds an id twice; fewer
-candidates than k give fewer rows; other columns are ignored.
+candidates than k give fewer rows; other columns are ignored. A score has 64 bits: vectors of a norm of LARGEST or
+more, whose products might not fit, raise an error.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ CANDIDATES, QUERIES = 16384, 16384
 #: Where these leave fewer tasks than the cluster has cores, groups of queries are smaller, down to so many rows.
 LEAST = 64
 FIRST_DEPTH, GROWTH = 8, 4
+#: No product of two vectors below this norm leaves 64 bits.
+LARGEST = 1 << 31
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
@@ -147,7 +150,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
 
     At the driver meet the counts of rows and the largest norm of each block, a number for CANDIDATES rows.
     """
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    norm = F.when(square < float(LARGEST) ** 2, square).otherwise(F.raise_error(F.lit("a vector is too long for 64-bit scores")))
     slim = lambda df: df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct().withColumn("norm", norm)
     order = [F.col("norm").desc(), F.col("id")]
     parts = ranged(slim(vectors), *order)
@@ -182,7 +186,8 @@ def sql(k: int = 5, every: int = 50) -> str:
     return f"""WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM v),
 flat AS MATERIALIZED (SELECT r, vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS d, len(q) AS n FROM numbered),
+fitting AS (SELECT vec_id, CASE WHEN list_sum(list_transform(q, lambda x: x::DOUBLE * x)) >= {float(LARGEST) ** 2!r}::DOUBLE THEN error('a vector is too long for 64-bit scores') END AS fits FROM v),
 scored AS (SELECT a.vec_id AS query_id, b.vec_id, a.r AS ra, b.r AS rb, sum(a.x * b.x)::BIGINT AS score FROM flat a JOIN flat b ON a.d = b.d AND a.n = b.n AND a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0 GROUP BY ALL),
 best AS (SELECT query_id, vec_id, max(score) AS score FROM scored GROUP BY query_id, vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM best)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}"""
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k} AND (SELECT count(fits) FROM fitting) = 0"""
