@@ -20,7 +20,7 @@ from shinglery.llm.common import written
 
 # Weights of the sources in order, the share of all sizes, the most epochs.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 
 
 def word_count(text: Column) -> Column:
@@ -111,7 +111,8 @@ def take(rows: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
     left = F.col("mix_taken") - F.col("mix_size") * F.col("mix_epoch")
     copies = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
     epochs = rows.join(wanted.hint("shuffle_hash"), F.col("mix_row") == F.col("mix_at")).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
+    # each word with the white space before it, so that a cut text is a prefix of the whole one
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({SPACE}{WORD})"), F.lit(1)), F.lit(1), left.cast("int")), "")
     cut = F.when(left < F.col("mix_size"), words).otherwise(F.col(text))
     keep = [c for c in rows.columns if not c.startswith("mix_")]
     return epochs.select(*[cut.alias(c) if c == text else F.col(c) for c in keep], F.least(left, F.col("mix_size")).alias("mix_words"))

@@ -214,7 +214,7 @@ def mixed_texts(con_rows, docs):
         words = brute.re.findall(mixing.WORD, t or "")
         left = taken[d].pop()
         while left > 0:
-            out.append((d, t if left >= len(words) else " ".join(words[:left])))
+            out.append((d, t if left >= len(words) else brute.re.match(rf"(?:[\x20\x09-\x0D]*{mixing.WORD}){{{left}}}", t)[0]))
             left -= len(words)
     return out
 
