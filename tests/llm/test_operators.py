@@ -50,8 +50,14 @@ def test_personal_data():
     t = "mail a.b@c.de, 1.2.3.4 or 300.1.1.1, 4111 1111 1111 1111, +1 (555) 123-4567"
     assert [(k, t[a:b]) for k, a, b in pii.base_spans(t)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567")]
     judge, rng = pii.judge(), random.Random(99)
-    right = [bool(pii.find(x, judge)[1]) == good for x, kind, good in pii.sentences(rng, 300)]
-    assert sum(right) / len(right) > 0.85
+    for held in (False, True):
+        right = [bool(pii.find(x, judge)[1]) == good for x, kind, good in pii.sentences(rng, 300, held)]
+        assert sum(right) / len(right) > 0.85
+    assert all(judge.thresholds[k] >= 0.5 and judge.precision[k] >= 0.98 and judge.recall[k] > 0.8 for k in pii.ALL)
+    forms = pii.Forms(rng)
+    taken = lambda make: sum(bool(pii.find(f"{forms.word()} {make()} {forms.word()}", judge)[1]) for _ in range(300)) / 300
+    assert all(taken(lambda: f"{cue} {forms.num(3)}-{forms.num(3)}-{forms.num(4)}") < 0.05 for cue in ("order", "ticket", "serial", "part", "invoice"))  # noqa: B023
+    assert taken(lambda: forms.hexes(6, 2)) < 0.05 and taken(lambda: f"call {forms.num(3)}-{forms.num(3)}-{forms.num(4)}") > 0.9 and taken(lambda: forms.hexes(8, 4)) > 0.9
     assert pii.redacted("a x@y.zz b", [("email", 2, 8), ("phone", 4, 6)]) == "a [EMAIL] b"
 
 
