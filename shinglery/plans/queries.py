@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shinglery.functions.murmur import C1, C2, FINAL_1, FINAL_2, STEP_ADD, STEP_MUL
+from shinglery.functions.table import register
 from shinglery.operators import buckets, candidates, partial, shingles, signature
 from shinglery.plans.params import MinHashParams
 from shinglery.plans.pipeline import minhash_pipeline
 from shinglery.sources.corpus import read_documents
 from shinglery.sources.packed import read_packed, write_packed
 from shinglery.sources.tables import shared_path, written
+from shinglery.streaming.classes import CLASS, novelty, session_classes, stream_classes, timed_buckets
 
 P = MinHashParams.canonical()
 #: Documents side by side in a tile of the lane matrix.
@@ -55,6 +57,34 @@ def _packed(spark, d):
     return shingles.whole_hash(read_packed(spark, path, range_bytes=1 << 20), WHOLE_SEED)
 
 
+def _by_sql(spark, d):
+    """The pipeline as SQL text alone: the table function beside each row of a view."""
+    register(spark)
+    read_documents(spark, d).createOrReplaceTempView("shinglery_documents")
+    return spark.sql(f"SELECT d.doc_id, b.lane, b.bucket FROM shinglery_documents d, LATERAL minhash_buckets(d.text, {P.k}, {P.seed}, {P.lanes}, {P.functions}, CAST(NULL AS INT)) b")
+
+
+#: A document a minute, by id; a bucket is forgotten after GAP seconds, and files may come DELAY seconds late.
+GAP, DELAY = 5430, 600
+
+
+def _timed(spark, d):
+    return read_documents(spark, d).withColumn("at", F.timestamp_seconds(F.col("doc_id") * 60))
+
+
+def _streamed(spark, d):
+    docs, out = shared_path(spark, "timed"), shared_path(spark, "classes")
+    _timed(spark, d).write.parquet(docs)
+    stream_classes(spark, docs, "doc_id long, text string, at timestamp", out, shared_path(spark, "checkpoint"), f"{GAP} seconds", f"{DELAY} seconds", P).awaitTermination()
+    seconds = lambda c: F.unix_seconds(c).alias(c)
+    return spark.read.schema(CLASS).parquet(out).select("lane", "bucket", "first_id", "members", seconds("begins"), seconds("ends"))
+
+
+def _novelty(spark, d):
+    classes = session_classes(timed_buckets(_timed(spark, d), P), f"{GAP} seconds")
+    return novelty(read_documents(spark, d).where("text IS NOT NULL AND doc_id IS NOT NULL"), classes, P)
+
+
 QUERIES = {
     "shingle_count": lambda s, d: shingles.shingle_count(read_documents(s, d), P.k),
     "shingle_hash": lambda s, d: shingles.shingle_long(read_documents(s, d), P),
@@ -74,6 +104,9 @@ QUERIES = {
     "candidate_pairs": lambda s, d: candidates.candidate_pairs(_joined(s, d)),
     "signature_similarity": _similarity,
     "packed_corpus": _packed,
+    "buckets_by_sql": _by_sql,
+    "stream_classes": _streamed,
+    "document_novelty": _novelty,
 }
 
 
@@ -163,6 +196,9 @@ def oracle() -> dict[str, str]:
     pairs = "pairs AS (SELECT first_id, b.doc_id, count(DISTINCT b.lane) AS lanes FROM buckets b JOIN classes c ON b.lane = c.lane AND b.bucket = c.bucket WHERE b.doc_id <> first_id GROUP BY first_id, b.doc_id)"
     agreed = "agreed AS (SELECT first_id, p.doc_id, lanes, sum((x.minhash = y.minhash)::INT)::BIGINT AS agree FROM pairs p JOIN sigs x ON x.doc_id = p.first_id JOIN sigs y ON y.doc_id = p.doc_id AND x.fn = y.fn GROUP BY ALL)"
     similar = f"{classed},\n{pairs},\n{agreed}\nSELECT *, {candidates.interval_sql('agree', P.functions)} FROM agreed"
+    marked = f"marked AS (SELECT *, CASE WHEN doc_id * 60 - lag(doc_id * 60) OVER w <= {GAP} THEN 0 ELSE 1 END AS new FROM buckets WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY lane, bucket ORDER BY doc_id))"
+    numbered = "numbered AS (SELECT *, sum(new) OVER (PARTITION BY lane, bucket ORDER BY doc_id) AS part FROM marked)"
+    sessions = f"{classed},\n{marked},\n{numbered},\nalive AS (SELECT lane, bucket, min(doc_id) AS first_id, count(*) AS members, min(doc_id) * 60 AS begins, max(doc_id) * 60 + {GAP} AS ends FROM numbered GROUP BY lane, bucket, part)"
     return {
         "shingle_count": f"SELECT doc_id, greatest(octet_length(encode(text)) - {P.k - 1}, 0)::BIGINT AS shingles FROM documents WHERE text IS NOT NULL",
         "shingle_hash": _shingles(P.k) + "\nSELECT doc_id, pos, h FROM shs",
@@ -182,4 +218,7 @@ def oracle() -> dict[str, str]:
         "candidate_pairs": f"SELECT first_id, doc_id, count(DISTINCT lane) AS lanes FROM ({joined}) WHERE doc_id <> first_id GROUP BY first_id, doc_id",
         "signature_similarity": similar,
         "packed_corpus": _any_length_sql(),
+        "buckets_by_sql": found(P),
+        "stream_classes": f"{sessions}\nSELECT lane, bucket, first_id, members, begins, ends FROM alive WHERE ends <= (SELECT max(doc_id) * 60 - {DELAY} FROM documents)",
+        "document_novelty": f"{sessions}\nSELECT doc_id, coalesce(n, 0) AS leads, coalesce(n, 0) < {P.lanes} AS seen FROM docs LEFT JOIN (SELECT first_id, count(*) AS n FROM alive GROUP BY first_id) ON doc_id = first_id WHERE doc_id IS NOT NULL",
     }
