@@ -1,12 +1,14 @@
 """Exact top-k search by the threshold algorithm over sorted per-dimension lists.
 
-Candidates lie in blocks of CANDIDATES rows in the order of their norms, the longest first; each block holds one
+Candidates lie in blocks of at most CANDIDATES rows: each is placed with the nearest of some centres, which are fitted on
+a bounded sample, and the rows of a centre are cut into rings by their distance from it. Each block holds one
 sorted list per dimension. A query reads the lists from its best end in growing depths, scores what it has not
 met, and stops when no unmet vector can beat its kth score: the bound is the query's product with the values
-where the lists stand. A first pass over the first block gives each query a lower bound of its kth score, which it
-takes along: blocks whose longest vector cannot reach it are not visited at all, and in the others the search
-stops by that bound at once. A candidate is copied once for each QUERIES queries, a query once for each block that
-it visits.
+where the lists stand. A first pass over the block of the centre that suits it best gives each query a lower bound
+of its kth score, which it takes along. No vector within r of a centre c scores more than q c + |q| r, so blocks that
+cannot reach the bound are not visited at all, and in the others the search stops by it at once. A query is copied
+once for each block that it visits, and a block once for each QUERIES queries that visit it, so that both grow
+with visits.
 
 Defined cases: vectors that are null, empty, of another length than the query's, or that hold null
 or non-finite components take no part; ties go to the smaller id; equal vectors are scored once and all
@@ -18,20 +20,20 @@ more, whose products might not fit, raise an error.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shinglery.llm.common import written
+from shinglery.llm.common import discard, written
 from shinglery.llm.mixing import ranged, running
 
-#: Rows of a block of candidates and of a block of queries.
-CANDIDATES, QUERIES = 16384, 16384
+#: Rows of a block of candidates and of a group of queries, the most centres, and rows on which these are fitted.
+CANDIDATES, QUERIES, CENTRES, SAMPLE = 8192, 16384, 256, 4096
 #: Where these leave fewer tasks than the cluster has cores, groups of queries are smaller, down to so many rows.
 LEAST = 64
 FIRST_DEPTH, GROWTH = 8, 4
@@ -109,19 +111,129 @@ class Lists:
         return None
 
 
-def _search(candidates: DataFrame, queries: DataFrame, k: int, groups: int) -> DataFrame:
-    """`(query_id, vec_id, score)`: the best k of each block that a query visits. candidates: `(block, id, v)`;
+def fitted(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """n centres of a sample, by a few rounds of means."""
+    rng = np.random.default_rng(0)
+    centres = sample[rng.permutation(len(sample))[:n]].astype(float)
+    for _ in range(rounds):
+        own = nearest(sample, centres)[0]
+        size = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        centres[size > 0] = sums[size > 0] / size[size > 0, None]
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and how far it is."""
+    own = ((centres**2).sum(1) - 2.0 * (x @ centres.T)).argmin(1)
+    return own, np.sqrt(((x - centres[own]) ** 2).sum(1))
+
+
+def vectors_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of a list column one row after another, where rows start, and their sizes."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.values.to_numpy()[column.offsets[0].as_py() :]
+    return flat, np.cumsum(sizes) - sizes, sizes
+
+
+def placed_near(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """`(id, v, centre, far)`: the nearest centre and the distance from it. Vectors of other lengths than the centres' have
+    centre -1, and their norm for the distance."""
+    dim = centres.shape[1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, starts, sizes = vectors_of(b.column(1))
+            centre, far, own = np.full(b.num_rows, -1, np.int64), np.sqrt(b.column(2).to_numpy()), np.flatnonzero(sizes == dim)
+            far = far.copy()
+            for lo in range(0, own.size, 4096):
+                at = own[lo : lo + 4096]
+                centre[at], far[at] = nearest(flat[starts[at][:, None] + np.arange(dim)].astype(float), centres)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(centre), pa.array(far)], ["id", "v", "centre", "far"])
+
+    return rows.select("id", "v", "norm").mapInArrow(place, "id long, v array<long>, centre long, far double")
+
+
+class Blocks:
+    """What the driver knows of the blocks, a few numbers for CANDIDATES rows: centre, ring and radius."""
+
+    def __init__(self, centres: np.ndarray, found: list):
+        self.centres = centres
+        self.keys = np.array([r["block"] for r in found], np.int64)
+        self.centre = self.keys >> 32
+        self.radius = np.array([r["far"] for r in found], float)
+
+    def bounds(self, q: np.ndarray, odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For queries of one length, what a vector of each block can score at most (-inf: it holds none of the
+        length), and what its centre scores."""
+        norms, none = np.sqrt((q.astype(float) ** 2).sum(1)), self.centre < 0
+        if odd:
+            middle = np.where(none, 0.0, -np.inf)[None, :] + np.zeros((len(q), 1))
+            size = self.radius
+        else:
+            products = q.astype(float) @ self.centres.T
+            middle = np.where(none, -np.inf, products[:, np.maximum(self.centre, 0)])
+            size = self.radius + np.sqrt((self.centres**2).sum(1))[np.maximum(self.centre, 0)]
+        return middle + norms[:, None] * self.radius + norms[:, None] * size * 1e-9 + 1e-6, middle
+
+    def visited(self, q: np.ndarray, odd: bool, floors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, block): without floors the first block of each query, else all others that can reach its floor."""
+        top, middle = self.bounds(q, odd)
+        first = middle.argmax(1)
+        real = middle[np.arange(len(q)), first] > -np.inf
+        if floors is None:
+            return np.flatnonzero(real), self.keys[first[real]]
+        may = top >= floors[:, None]
+        may[middle == -np.inf] = False
+        may[np.arange(len(q)), first] = False
+        i, j = np.nonzero(may)
+        return i, self.keys[j]
+
+
+def visits(asked: DataFrame, blocks: Blocks, first: bool) -> DataFrame:
+    """`(block, id, v, floor)`: a row for each block that a query visits; `asked` has `(id, v)`, and `floor` but for the
+    first pass."""
+    dim = blocks.centres.shape[1]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, starts, sizes = vectors_of(b.column(1))
+            for d in np.unique(sizes):
+                mine = np.flatnonzero(sizes == d)
+                for lo in range(0, mine.size, 256):
+                    at = mine[lo : lo + 256]
+                    floors = None if first else b.column(2).take(pa.array(at)).cast(pa.float64()).fill_null(-np.inf).to_numpy()
+                    i, block = blocks.visited(flat[starts[at][:, None] + np.arange(d)], d != dim, floors)
+                    rows = pa.array(at[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(block), *[b.column(c).take(rows) for c in range(3)]], ["block", "id", "v", "floor"])
+
+    return asked.select("id", "v", "floor").mapInArrow(visit, "block long, id long, v array<long>, floor long")
+
+
+def searched(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """`_search` with as many groups of queries for a block as its visits ask for, and at least as the cores can take."""
+    wanted = 2 * candidates.sparkSession.sparkContext.defaultParallelism
+    met = queries.groupBy(F.col("block").alias("met")).agg(F.count("*").alias("n"))
+    few = met.agg(F.count("*")).scalar()
+    groups = F.greatest(F.ceil(F.col("n") / QUERIES), F.least(F.ceil(wanted / few), F.ceil(F.col("n") / LEAST))).cast("long")
+    table = F.broadcast(met.select("met", groups.alias("groups")))  # a row for a block: at most one for CANDIDATES rows, and a centre
+    here = F.col("block") == F.col("met")
+    copies = candidates.join(table, here).select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"), "id", "v")
+    dealt = queries.join(table, here).select("block", F.pmod(F.xxhash64("id"), F.col("groups")).alias("grp"), "id", "v", "floor")
+    return _search(copies, dealt, k)
+
+
+def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """`(query_id, vec_id, score)`: the best k of each block that a query visits. candidates: `(block, grp, id, v)`;
     queries: `(block, grp, id, v, floor)`."""
-    none = F.lit(None).cast("long").alias("floor")
-    one = candidates.select(F.lit(0).alias("role"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), "id", "v", none)
+    one = candidates.select(F.lit(0).alias("role"), "block", "grp", "id", "v", F.lit(None).cast("long").alias("floor"))
     rows = one.unionByName(queries.withColumn("role", F.lit(1)))
 
     def search(_: tuple, table: pa.Table) -> pa.Table:
         role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
-        lists, floors = table.column("v").combine_chunks(), table.column("floor").to_pylist()
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat = lists.values.to_numpy()[lists.offsets[0].as_py() :]
-        starts = np.cumsum(sizes) - sizes
+        floors = table.column("floor").to_pylist()
+        flat, starts, sizes = vectors_of(table.column("v").combine_chunks())
         best: dict[tuple[int, int], int] = {}
         for dim in np.unique(sizes):
             mine = np.flatnonzero(sizes == dim)
@@ -145,41 +257,49 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "q") -> DataFrame:
-    """`(query_id, rank, vec_id, score)` for integer vectors `(key, vector)`.
+def blocked(vectors: DataFrame) -> tuple[DataFrame, Blocks] | None:
+    """`(block, id, v)` of vectors `(id, v, norm)`, written, and what is known of the blocks; None if there are none.
 
-    At the driver meet the counts of rows and the largest norm of each block, a number for CANDIDATES rows.
+    The sample is the SAMPLE rows of least hash. A block's number is its centre's, times 2^32, and its ring's.
     """
+    rows = written(vectors, "vectors")
+    n = rows.count()
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).select("v").collect()]
+    if not sample:
+        return None
+    dim = Counter(map(len, sample)).most_common(1)[0][0]
+    sample = np.array([v for v in sample if len(v) == dim])
+    centres = fitted(sample, max(1, min(CENTRES, n // CANDIDATES, len(sample))))
+    order = [F.col("centre"), F.col("far"), F.col("id"), F.xxhash64("v")]
+    parts = ranged(placed_near(rows, centres), *order)
+    ring = F.floor(F.col("mix_rank") / CANDIDATES).cast("long")
+    placed = running(parts, order[1:], {"rank": F.lit(1)}, ["centre"]).select((F.col("centre") * (1 << 32) + ring).alias("block"), "id", "v", "far")
+    placed = written(placed, "candidates")
+    found = placed.groupBy("block").agg(F.max("far").alias("far")).orderBy("block").collect()
+    discard(rows, parts)
+    return placed.select("block", "id", "v"), Blocks(centres, found)
+
+
+def slim(df: DataFrame, key: str = "vec_id", vector: str = "q") -> DataFrame:
+    """Distinct `(id, v, norm)` of the vectors that take part; norms are squared."""
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     norm = F.when(square < float(LARGEST) ** 2, square).otherwise(F.raise_error(F.lit("a vector is too long for 64-bit scores")))
-    slim = lambda df: df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct().withColumn("norm", norm)
-    order = [F.col("norm").desc(), F.col("id")]
-    parts = ranged(slim(vectors), *order)
-    placed = running(parts, order, {"rank": F.lit(1)}, []).select("id", "v", "norm", F.floor(F.col("mix_rank") / CANDIDATES).cast("long").alias("block"))
-    placed = written(placed, "candidates")
-    asked = written(slim(queries), "queries")
-    n, wanted = asked.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism
-    longest = np.array([r["top"] for r in placed.groupBy("block").agg(F.max("norm").alias("top")).orderBy("block").collect()])
-    many = lambda blocks: max(1, -(-n // QUERIES), min(-(-wanted // blocks), -(-n // LEAST)))
-    dealt = lambda groups: F.pmod(F.xxhash64("id"), F.lit(groups).cast("long")).alias("grp")
-    groups = many(1)
-    first = asked.select(F.lit(0).cast("long").alias("block"), dealt(groups), "id", "v", F.lit(None).cast("long").alias("floor"))
-    found = written(_search(placed.where("block = 0").select("block", "id", "v"), first, k, groups), "first-block")
-    if longest.size < 2:
-        return _ranked(found, k)
+    return df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct().withColumn("norm", norm)
 
-    @F.pandas_udf("int")
-    def reach(norms: pd.Series, floors: pd.Series) -> pd.Series:
-        """The last block whose longest vector can reach the floor: |q| |x| >= floor, with room for rounding."""
-        least = np.where(floors > 0, np.square(floors.fillna(0.0)) / np.maximum(norms, 1e-300) * (1 - 1e-9), 0.0)
-        return pd.Series(np.searchsorted(-longest, -least, side="right") - 1)
-
-    bounds = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("bound_id"), F.col("score").alias("floor"))
-    more = asked.join(bounds, F.col("id") == F.col("bound_id"), "left").withColumn("last", reach("norm", F.col("floor").cast("double"))).where("last >= 1")
-    groups = many(longest.size - 1)
-    more = more.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("block"), dealt(groups), "id", "v", "floor")
-    rest = _search(placed.where("block > 0").select("block", "id", "v"), more, k, groups)
-    return _ranked(found.unionByName(rest), k)
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "q") -> DataFrame:
+    """`(query_id, rank, vec_id, score)` for integer vectors `(key, vector)`."""
+    none = F.lit(None).cast("long")
+    asked = written(slim(queries, key, vector).select("id", "v", none.alias("floor")), "queries")
+    if (made := blocked(slim(vectors, key, vector))) is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    placed, blocks = made
+    found = written(searched(placed, visits(asked, blocks, first=True), k), "first-blocks")
+    if blocks.keys.size < 2:
+        return _ranked(found, k)
+    floors = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("bound_id"), F.col("score").alias("floor"))
+    more = asked.drop("floor").join(floors, F.col("id") == F.col("bound_id"), "left").select("id", "v", "floor")
+    return _ranked(found.unionByName(searched(placed, visits(more, blocks, first=False), k)), k)
 
 
 def sql(k: int = 5, every: int = 50) -> str:

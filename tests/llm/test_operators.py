@@ -87,6 +87,25 @@ def test_top_k_ties_and_copies():
         assert lists.top(own, v[own], 5) == want
 
 
+def test_top_k_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
+    """Normalised vectors around 20 directions: results are exact, and fewer than half of the blocks are visited."""
+    monkeypatch.setattr(topk, "CANDIDATES", 128)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    x = centres[rng.integers(0, 20, 4000)] + 0.15 * rng.normal(size=(4000, 16))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, q array<long>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()}
+    scores = x[::50] @ x.T
+    for k, row in enumerate(scores):
+        best = sorted(((int(s), i) for i, s in enumerate(row) if i != 50 * k), key=lambda p: (-p[0], p[1]))[:5]
+        assert [got[50 * k, r] for r in range(1, 6)] == [(i, s) for s, i in best]
+    placed, blocks = topk.blocked(topk.slim(df))
+    floors = np.sort(scores, axis=1)[:, -6]
+    seen = blocks.visited(x[::50], False, floors)[0].size + len(scores)
+    assert placed.count() == 4000 and len(blocks.keys) >= 32 and seen < 0.5 * len(scores) * len(blocks.keys)
+
+
 def test_top_k_of_long_vectors_raises(spark, tmp_path):
     spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 0.0])], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     with pytest.raises(Exception, match="too long for 64-bit scores"):
