@@ -10,6 +10,7 @@ from shinglery.operators import buckets, candidates, partial, shingles, signatur
 from shinglery.plans.params import MinHashParams
 from shinglery.plans.pipeline import minhash_pipeline
 from shinglery.sources.corpus import read_documents
+from shinglery.sources.lanes import read_lanes, write_lanes
 from shinglery.sources.packed import read_packed, write_packed
 from shinglery.sources.tables import shared_path, written
 from shinglery.streaming.classes import CLASS, novelty, session_classes, stream_classes, timed_buckets
@@ -57,6 +58,16 @@ def _packed(spark, d):
     return shingles.whole_hash(read_packed(spark, path, range_bytes=1 << 20), WHOLE_SEED)
 
 
+#: Lanes that are read back from the store.
+LANES = (8, 15)
+
+
+def _stored(spark, d):
+    path = shared_path(spark, "lanes")
+    write_lanes(minhash_pipeline(read_documents(spark, d), P), path)
+    return read_lanes(spark, path, LANES)
+
+
 def _by_sql(spark, d):
     """The pipeline as SQL text alone: the table function beside each row of a view."""
     register(spark)
@@ -104,6 +115,7 @@ QUERIES = {
     "candidate_pairs": lambda s, d: candidates.candidate_pairs(_joined(s, d)),
     "signature_similarity": _similarity,
     "packed_corpus": _packed,
+    "lane_store": _stored,
     "buckets_by_sql": _by_sql,
     "stream_classes": _streamed,
     "document_novelty": _novelty,
@@ -218,6 +230,7 @@ def oracle() -> dict[str, str]:
         "candidate_pairs": f"SELECT first_id, doc_id, count(DISTINCT lane) AS lanes FROM ({joined}) WHERE doc_id <> first_id GROUP BY first_id, doc_id",
         "signature_similarity": similar,
         "packed_corpus": _any_length_sql(),
+        "lane_store": found(P) + f" WHERE lane BETWEEN {LANES[0]} AND {LANES[1]}",
         "buckets_by_sql": found(P),
         "stream_classes": f"{sessions}\nSELECT lane, bucket, first_id, members, begins, ends FROM alive WHERE ends <= (SELECT max(doc_id) * 60 - {DELAY} FROM documents)",
         "document_novelty": f"{sessions}\nSELECT doc_id, coalesce(n, 0) AS leads, coalesce(n, 0) < {P.lanes} AS seen FROM docs LEFT JOIN (SELECT first_id, count(*) AS n FROM alive GROUP BY first_id) ON doc_id = first_id WHERE doc_id IS NOT NULL",

@@ -4,13 +4,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shinglery.functions.murmur import murmur3_windows
 from shinglery.operators import candidates, partial, signature, skew
 from shinglery.plans.params import MinHashParams
 from shinglery.plans.pipeline import minhash_pipeline
-from shinglery.sources import packed
+from shinglery.sources import lanes, packed
 from shinglery.sources.tables import written
 
 P = MinHashParams.canonical()
@@ -131,3 +132,40 @@ def test_packed_empty(spark, tmp_path):
     assert packed.read_packed(spark, str(tmp_path / "none")).count() == 0
     packed.write_packed(spark.createDataFrame([(1, ""), (2, "")], "doc_id long, text string"), str(tmp_path / "empty"))
     assert sorted((r.doc_id, bytes(r.text)) for r in packed.read_packed(spark, str(tmp_path / "empty")).collect()) == [(1, b""), (2, b"")]
+
+
+def test_lane_store(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, lane, rng.randrange(1 << 32)) for i in range(-50, 150) for lane in range(9)] + [(7, 3, 5), (None, 3, 5), (8, None, 5), (8, 3, None)]
+    want = sorted(r for r in rows if None not in r)
+    df = spark.createDataFrame(rows, "doc_id long, lane long, bucket long").repartition(3)
+    path = str(tmp_path / "store")
+    lanes.write_lanes(df, path)
+    read = lambda **options: sorted(map(tuple, lanes.read_lanes(spark, path, **options).collect()))
+    assert read() == want
+    assert read(lanes=(2, 4)) == [r for r in want if 2 <= r[1] <= 4]
+    assert read(lanes=(3, 3), ids=(0, 9)) == [r for r in want if r[1] == 3 and 0 <= r[0] <= 9]
+    assert read(lanes=(20, 30)) == []
+    assert sorted(lanes.read_lanes(spark, path, columns="bucket long").collect()) == sorted((r[2],) for r in want)
+    whole, some = lanes.read_lanes(spark, path, task_rows=100), lanes.read_lanes(spark, path, lanes=(2, 4), task_rows=100)
+    assert some.rdd.getNumPartitions() < 0.6 * whole.rdd.getNumPartitions()  # blocks of other lanes are not read
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = spark.read.format("lanes").option("push", "true").option("task_rows", 100).load(path).where("lane = 5 AND doc_id >= 100")
+        assert sorted(map(tuple, pushed.collect())) == [r for r in want if r[1] == 5 and r[0] >= 100]
+        assert pushed.rdd.getNumPartitions() < 0.3 * whole.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_lane_blocks_are_cut(tmp_path, monkeypatch):
+    monkeypatch.setattr(lanes, "BLOCK", 4)
+    batch = pa.record_batch({"lane": [1] * 9 + [2] * 3, "doc_id": list(range(12)), "bucket": [9] * 12})
+    writer = lanes.Writer(str(tmp_path))
+    writer.commit([writer.write(iter([batch.slice(0, 6), batch.slice(6)])), None])
+    reader = lanes.Reader(str(tmp_path), ["doc_id", "lane"], {"lane": (0, 9), "doc_id": (0, 99)})
+    parts = reader.partitions()
+    assert [b[1:4] for p in parts for b in p.blocks] == [[1, 0, 4], [1, 48, 4], [1, 96, 1], [2, 108, 3]]
+    assert [r for p in parts for x in reader.read(p) for r in x.column(0).to_pylist()] == list(range(12))
+    writer.abort([writer.write(iter([batch]))])
+    assert len([*tmp_path.glob("*.lanes")]) == 1
