@@ -18,12 +18,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that links of similarity 0.8 or more connect."""
+    """The document with the least id of each group that links of similarity 0.8 or more connect.
+
+    Null text is empty; texts without words are copies only if they are equal; a null id comes last in its group; of
+    repeated rows one stays; an empty table stays empty; all columns are kept, whatever their names."""
     return jaccard_join.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kind's name in brackets in place of each span; null stays null."""
+    """The kind's name in brackets in place of each span; null and empty texts stay as they are, repeated rows alike,
+    and `n_chars`, if there is one, is the new text's."""
     own, text = numbered(docs)
     clean = F.when(F.col(text).isNotNull(), F.col("pii_text"))
     new = {"text": clean, "n_chars": F.length(clean).cast("long")}
@@ -31,7 +35,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each epoch of a document that the mix takes, the last cut at the source's budget."""
+    """A row for each epoch of a document that the mix takes, the last cut at the source's budget.
+
+    Documents without words (null, empty) have size 0 and are not taken; a null source is a source, last in order; repeated
+    rows are rows of their own; rows of equal random key follow each other by id and number."""
     own, text = numbered(docs)
     named = dict(zip(docs.columns, own.columns, strict=True))
     keyed = mixing.keyed(own, own.columns, text, named["doc_id"])
@@ -40,7 +47,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences. Null and empty texts are the end id alone; repeated rows get
+    places of their own; pieces of equal length are ranked by id, start, checksum and number."""
     return packing.pack_documents(docs)
 
 
