@@ -89,10 +89,10 @@ def test_top_k_ties_and_copies():
 
 def test_top_k_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
     """Normalised vectors around 20 directions: results are exact, and fewer than half of the blocks are visited."""
-    monkeypatch.setattr(topk, "CANDIDATES", 128)
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))
-    x = centres[rng.integers(0, 20, 4000)] + 0.15 * rng.normal(size=(4000, 16))
+    x = centres[rng.integers(0, 20, 2000)] + 0.15 * rng.normal(size=(2000, 16))
     x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, q array<long>")
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()}
@@ -103,7 +103,7 @@ def test_top_k_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
     placed, blocks = topk.blocked(topk.slim(df))
     floors = np.sort(scores, axis=1)[:, -6]
     seen = blocks.visited(x[::50], False, floors)[0].size + len(scores)
-    assert placed.count() == 4000 and len(blocks.keys) >= 32 and seen < 0.5 * len(scores) * len(blocks.keys)
+    assert placed.count() == 2000 and len(blocks.keys) >= 32 and seen < 0.5 * len(scores) * len(blocks.keys)
 
 
 def test_top_k_of_long_vectors_raises(spark, tmp_path):
@@ -206,7 +206,7 @@ def test_language_model_counts_and_discounts():
 
 def test_ledger_scans_only_unseen_blobs(spark, monkeypatch, tmp_path):
     old = spark.createDataFrame([(1, 'token = "abcdef1"'), (2, "x"), (2, "x")], "doc_id long, text string")
-    for bits in (secrets.BITS, 1 << 10):
+    for bits in (1 << 10,):
         monkeypatch.setattr(secrets, "BITS", bits)
         first = secrets.update_ledger(old)
         both = old.unionByName(spark.createDataFrame([(3, "x"), (4, "AKIA" + "A" * 16), (5, None), (None, None), (None, "")], old.schema))

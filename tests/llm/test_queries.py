@@ -219,13 +219,21 @@ def mixed_texts(con_rows, docs):
     return out
 
 
-def test_pipeline(spark, tmp_path):
-    """All stages by plain Python on their own input, against the rows of `run`."""
+def test_pipeline(spark, tmp_path, monkeypatch):
+    """All stages by plain Python on their own input, against the rows of `run`; and the toxicity query with them, as they
+    share a fitted model."""
     sf = "/root/testdata/sf0.01"  # the smallest table has too few labels to learn from
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    monkeypatch.setattr(toxicity, "train", lambda *rest, **named: model)
     rows = {r.doc_id: r for r in docs.collect()}
-    kept = {d: r for d, r in rows.items() if model.score(r.text)[0] < 0.7}
+    scores = {d: model.score(r.text) for d, r in rows.items()}
+    got = QUERIES["op7_toxicity"](spark, sf).collect()
+    assert {r.doc_id: (r.score, r.toxic_spans) for r in got} == {d: (s, ",".join(f"{a}:{b}" for a, b in spans)) for d, (s, spans) in scores.items()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = Counter((labels[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in labels)
+    assert held[1, 1] > 0.75 * (held[1, 0] + held[1, 1]) and held[0, 1] < 0.03 * (held[0, 0] + held[0, 1])
+    kept = {d: r for d, r in rows.items() if scores[d][0] < 0.7}
     assert 0 < len(rows) - len(kept) < 0.2 * len(rows)
     shingles = jaccard_join.Shingler()
     groups = brute.classes({d: set(shingles(r.text).tolist()) or {r.text} for d, r in kept.items()})
