@@ -171,3 +171,25 @@ def test_entry_without_the_subpackage(monkeypatch):
         monkeypatch.setitem(sys.modules, "shinglery.llm.registry", None)
         with pytest.raises(ImportError):
             entry.queries()
+
+
+def test_shingle_totals_of_repeated_keys(spark):
+    """Repeated rows, differing texts of a key and of no key, texts too short for a window; no window moves if keys are unique."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcé漢 ") for _ in range(rng.randrange(400))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (4, texts[9]), (5, "abc"), (None, texts[0]), (None, texts[1]), (90, "abcd"), (91, None), (92, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = {}
+    for key, text in rows:
+        data = (text or "").encode()
+        for i in range(len(data) - 4):
+            want.setdefault(key, []).append(murmur3_32(data[i : i + 5], 1))
+    found = shingles.shingle_totals(docs, MinHashParams(k=5))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(((k, sum(h), len(set(h))) for k, h in want.items()), key=repr)
+
+
+def test_k5_moves_a_row_for_each_document(spark):
+    """The plan has no aggregate by document and hash over the whole table; only texts of keys that differ get there."""
+    plan = QUERIES["shingle_hash_k5"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    hashed = [x for x in plan.splitlines() if "Aggregate [doc_id" in x and ", h#" in x.split("],")[0]]
+    assert all("LeftSemi" in plan[plan.index(x) :] for x in hashed) and "max(distinct_h" in plan
