@@ -11,6 +11,7 @@ from shinglery.functions.murmur import murmur3_windows
 from shinglery.operators import candidates, partial, signature, skew
 from shinglery.plans.params import MinHashParams
 from shinglery.plans.pipeline import minhash_pipeline
+from shinglery.plans.queries import QUERIES
 from shinglery.sources import lanes, packed
 from shinglery.sources.tables import written
 
@@ -100,6 +101,26 @@ def test_similarity_is_near_jaccard(spark):
     assert np.mean([r.low <= truth[r.a] <= r.high for r in rows]) > 0.88
 
 
+@pytest.mark.parametrize("held", [0, 3, 6, 100])
+def test_similarity_of_held_and_joined_signatures(spark, held):
+    """Whether all, some or no signatures are held, the rows are those of the plain comparison; of a repeated key each row counts."""
+    rng = random.Random(8)
+    sigs = [(i % 11, [rng.randrange(3) for _ in range(128)]) for i in range(13)]
+    pairs = [(i * i % 7 if i % 5 else None, i, f"p{i}") for i in range(40)] + [(50, 1, "none"), (0, 0, "own")]
+    want = Counter((a, b, n, sum(p == q for p, q in zip(x, y, strict=True))) for a, b, n in pairs for i, x in sigs for j, y in sigs if i == a and j == b)
+    df = written(spark.createDataFrame(sigs, "doc_id long, sig array<long>"), "signatures")
+    listed = written(spark.createDataFrame(pairs, "a long, b long, note string"), "pairs")
+    for own in (df, written(candidates.packed_signatures(df), "packed")):
+        got = candidates.similarity(listed, own, "a", "b", share=5, held=held).collect()
+        assert Counter((r.a, r.b, r.note, r.agree) for r in got) == want and len(want) > 8
+
+
+def test_signatures_of_frequent_firsts_do_not_move(spark):
+    """The registered query's plan joins one signature to each pair, not two, and counts lanes in one shuffle."""
+    plan = QUERIES["signature_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sig_b" in plan and "sig_a" not in plan
+
+
 def test_packed_round_trip(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, rng.choice(["", "é", "a b", "漢字 " * rng.randrange(50)])) for i in range(500)] + [(7, "again"), (-1, "x" * 100_000), (None, "no id"), (3, None)]
