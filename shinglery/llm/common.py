@@ -95,6 +95,11 @@ class Memory(dict):
             self.held += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         return value
 
+    def put(self, keys: list, values: list[bytes]) -> None:
+        """Values that were made elsewhere, of keys of at most LONGEST that it does not hold."""
+        self.update(zip(keys, values, strict=True))
+        self.held += ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+
     def aged(self) -> Memory:
         if self.held <= self.most:
             return self

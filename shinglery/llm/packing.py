@@ -9,12 +9,15 @@ cut into full pieces and a rest; equal rows get places of their own; an empty ta
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import string
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +29,17 @@ from shinglery.llm.mixing import ranged, running
 LENGTH, END = 2048, 1
 #: Bytes of words, and of parts of words, that a worker remembers in each of two generations.
 REMEMBERED = 32 << 20
+#: Characters of texts, and parts of a text, that are looked through for new parts at a time.
+CHARS, RUN = 1 << 20, 1 << 16
 #: Up to so many places (40 bytes each) are broadcast.
 SLOTS = 200_000
 PUNCTUATION = string.punctuation
 BEYOND_LATIN = re.compile("[^\x00-\u024f]").search
+#: Characters whose lower case, letters and numbers the pattern below does not know.
+OTHERS = re.compile("[^\x00-\u012f\u0131-\u017f]").search
+_OF = {kind: "".join([chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind]) for kind in "LN"}
+#: The vocabulary's pattern over the rest, in which white space has six and two characters.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_OF['L']}]+|[{_OF['N']}]|[^\t-\r \x85\xa0{_OF['L']}{_OF['N']}]+").findall
 
 
 def _ids_bytes(ids: list[int]) -> bytes:
@@ -47,21 +57,99 @@ _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
 BYTE_CHARS = {b: b if b in _PLAIN else 256 + i for i, b in enumerate(_PLAIN + [b for b in range(256) if b not in _PLAIN], -len(_PLAIN))}
 
 
+class Merges:
+    """Ids of many words at once by byte-pair merges: in each step every word merges its pair of least rank, the leftmost
+    of equal ones, as the vocabulary's model does word by word. Symbols lie in a column for each word."""
+
+    #: Bytes of a word; a pair's rank and place are one number, NONE where no merge is.
+    WIDEST, NONE = 63, np.int32(2**31 - 1)
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        own = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(own)
+        self.pairs, self.ranks = own[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.bytes = np.array([[vocab[chr(BYTE_CHARS[b])], vocab[chr(BYTE_CHARS[b]) + end]] for b in range(256)], np.int64)
+        self.first = self._rank(np.repeat(self.bytes[:, 0], 512), np.tile(self.bytes.ravel(), 256))
+
+    @classmethod
+    def of(cls, path: str) -> Merges | None:
+        """None where the vocabulary's model is of another kind."""
+        with open(path) as f:
+            model = json.load(f)["model"]
+        plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not any(model.get(x) for x in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix"))
+        known = plain and all(chr(c) + x in model["vocab"] for c in BYTE_CHARS.values() for x in ("", model["end_of_word_suffix"]))
+        return cls(model) if known and len({*map(str, model["merges"])}) == len(model["merges"]) else None
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, shifted by the bits of a place."""
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), self.pairs.size - 1)
+        return np.where(self.pairs[at] == pair, self.ranks[at] << 6, self.NONE)
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Words of 1 to WIDEST bytes."""
+        out: dict[int, bytes] = {}
+        sizes = np.array([len(w) for w in words])
+        for least, most in ((0, 8), (8, 12), (12, 20), (20, self.WIDEST)):
+            rows = np.flatnonzero((sizes > least) & (sizes <= most))
+            if rows.size:
+                out |= zip(rows.tolist(), self._merged([words[i] for i in rows.tolist()], sizes[rows]), strict=True)
+        return [out[i] for i in range(len(words))]
+
+    def _merged(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        n, wide = len(words), int(sizes.max())
+        places = np.arange(wide + 1)[:, None]
+        data = np.zeros((wide + 1, n), np.int64)
+        data[:wide] = np.frombuffer(b"".join([w.ljust(wide, b"\0") for w in words]), np.uint8).reshape(n, wide).T
+        kind = data * 2 + (places == sizes - 1)
+        held = places < sizes
+        best = np.full((wide + 1, n), self.NONE)
+        best[:-1] = self.first.take(data[:-1] * 512 + kind[1:])
+        best[:-1][~held[1:]] = self.NONE
+        best |= np.where(best < self.NONE, places, 0).astype(np.int32)
+        # Flat places from here on: a row below, and after the last one, holds what is read beyond a word.
+        own, symbols = held.ravel(), self.bytes.ravel().take(kind).ravel()
+        after, before = np.arange(n, (wide + 2) * n), np.arange(-n, (wide + 1) * n)
+        flat, live, ends = best.ravel(), np.arange(n), sizes * n
+        while live.size:
+            least = best.take(live, 1).min(0)
+            some = np.flatnonzero(least < self.NONE)
+            live, least = live.take(some), least.take(some)
+            at = (least & 63) * n + live
+            right, lead = after.take(at), before.take(at)
+            follow, made = after.take(right), self.made.take(least >> 6)
+            symbols[at], after[at], flat[right], own[right] = made, follow, self.NONE, False
+            has, led = np.flatnonzero(follow < ends.take(live)), np.flatnonzero(lead >= 0)
+            before[follow.take(has)] = at.take(has)
+            flat[at] = self.NONE
+            left = np.concatenate([at.take(has), lead.take(led)])
+            ranks = self._rank(symbols.take(left), np.concatenate([symbols.take(follow.take(has)), made.take(led)]))
+            flat[left] = np.where(ranks < self.NONE, ranks | (left // n).astype(np.int32), ranks)
+        found = symbols.reshape(wide + 1, n).T[held.T].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(held.sum(0))).tolist()
+        return [found[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+
+
 class Words:
     """Ids of texts. White space always ends a token of this vocabulary, so words are looked up one by one.
 
-    A new word of Latin letters, with punctuation behind or not, is normalised and split here as the
-    tokenizer would, and its parts go to the tokenizer's model; other new words go through the whole
-    tokenizer. Ids are kept as little-endian 32-bit bytes, in generations of bounded size.
+    Texts of Latin letters are lower-cased and split into parts here as the tokenizer would, and new parts of many texts
+    are merged at once. Of other texts a new word of Latin letters, with punctuation behind or not, is treated
+    likewise, and other new words go through the whole tokenizer. Ids are kept as little-endian 32-bit bytes, in
+    generations of bounded size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.merges = self.tokenizer.model, Merges.of(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Memory(self._new, REMEMBERED)
-        self.parts = Memory(self._made, REMEMBERED // 4)
+        self.parts = Memory(self._made, REMEMBERED)
 
     def _made(self, part: str) -> bytes:
         spelt = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
@@ -78,12 +166,47 @@ class Words:
                 return self.parts[low]
         return _ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _found(self, runs: list[list[str]]) -> dict[str, bytes]:
+        """Ids of the parts of some runs. A small dictionary is looked up faster than a large one, once for each part."""
+        known, old, every = self.parts, self.parts.old, set().union(*runs)
+        held = every & known.keys()
+        again = (every - held) & old.keys()
+        found = dict(zip(held, map(known.__getitem__, held), strict=True))
+        known.put(again := list(again), values := list(map(old.__getitem__, again)))
+        found.update(zip(again, values, strict=True))
+        new = {p: data for p in every - found.keys() if len(data := p.encode()) <= Merges.WIDEST} if self.merges else {}
+        if new:
+            known.put(list(new), values := self.merges.ids(list(new.values())))
+            found.update(zip(new, values, strict=True))
+        found.update((p, known[p]) for p in every - found.keys())
+        self.parts = known.aged()
+        return found
+
+    def _words(self, words: list[bytes]) -> bytes:
+        found = self.words
+        ids = b"".join([found[w] for w in words])
+        self.words, self.parts = found.aged(), self.parts.aged()
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        end, out = END.to_bytes(4, "little"), []
-        for t in texts:
-            words = self.words
-            out.append(b"".join([words[w] for w in t.encode("utf-8", "replace").split()]) + end)
-            self.words, self.parts = words.aged(), self.parts.aged()
+        end, out, at = END.to_bytes(4, "little"), [], 0
+        while at < len(texts):
+            chars, upto = len(texts[at]), at + 1
+            while upto < len(texts) and chars + len(texts[upto]) <= CHARS:
+                chars, upto = chars + len(texts[upto]), upto + 1
+            parts = {i: PARTS(t.lower()) for i, t in enumerate(texts[at:upto], at) if not OTHERS(t) and not any(x in t for x in self.special)}
+            found = self._found([own for own in parts.values() if len(own) <= RUN])
+            for i in range(at, upto):
+                own = parts[i] if i in parts else texts[i].encode("utf-8", "replace").split()
+                runs = [own[lo : lo + RUN] for lo in range(0, len(own), RUN)] if len(own) > RUN else [own]
+                if i not in parts:
+                    ids = [self._words(run) for run in runs]
+                elif len(runs) == 1:
+                    ids = [b"".join([found[p] for p in own])]
+                else:
+                    ids = [b"".join(map(self._found([run]).__getitem__, run)) for run in runs]
+                out.append(b"".join([*ids, end]))
+            at = upto
         return out
 
 

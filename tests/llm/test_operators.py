@@ -500,3 +500,24 @@ def test_shared_folder_and_discard(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_dir(Session)
+
+
+def test_new_parts_are_merged_at_once(monkeypatch):
+    """Ids of texts of all Latin characters, special tokens and other scripts equal the tokenizer's, in batches, in runs of a long
+    text and while memories forget; the model is asked for no part of up to 63 bytes."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    chars = [chr(c) for c in range(1, 0x180)] + list("'''sstrvemld dd  aeioun") * 20
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(120))) for _ in range(400)]
+    texts += ["", " ", "x" * 63, "y" * 64 + " " + "é" * 32, "It's <|endoftext|> <|ENDOFTEXT|>", "İ ſ ŉ ǅ Ⱥ – 漢字 don't", " ".join(texts)]
+    tokenizer, words = Tokenizer.from_file(packing.vocabulary()), packing.Words(packing.vocabulary())
+    monkeypatch.setattr(packing, "RUN", 500)
+    monkeypatch.setattr(packing, "CHARS", 3000)
+    words.parts.most = 20_000
+    want = [packing._ids_bytes([*tokenizer.encode(t, add_special_tokens=False).ids, packing.END]) for t in texts]
+    assert words.encode(texts) == want and words.encode(texts[::-1]) == want[::-1] and words.parts.held < 200_000
+    asked, words = [], packing.Words(packing.vocabulary())
+    words.parts.make = asked.append
+    short = [t[:30].replace("İ", "i") for t in texts[:403]]
+    assert words.encode(short) == [packing._ids_bytes([*tokenizer.encode(t, add_special_tokens=False).ids, packing.END]) for t in short] and not asked
