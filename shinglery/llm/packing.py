@@ -152,7 +152,7 @@ class Words:
         self.parts = Memory(self._made, REMEMBERED)
 
     def _made(self, part: str) -> bytes:
-        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+        spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTE_CHARS)
         return _ids_bytes([t.id for t in self.model.tokenize(spelt)])
 
     def _new(self, word: bytes) -> bytes:

@@ -510,7 +510,7 @@ def test_new_parts_are_merged_at_once(monkeypatch):
     rng = random.Random(12)
     chars = [chr(c) for c in range(1, 0x180)] + list("'''sstrvemld dd  aeioun") * 20
     texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(120))) for _ in range(400)]
-    texts += ["", " ", "x" * 63, "y" * 64 + " " + "é" * 32, "It's <|endoftext|> <|ENDOFTEXT|>", "İ ſ ŉ ǅ Ⱥ – 漢字 don't", " ".join(texts)]
+    texts += ["", " ", "x" * 63, "\0" * 64 + "\x7f" * 200, "y" * 64 + " " + "é" * 32, "It's <|endoftext|> <|ENDOFTEXT|>", "İ ſ ŉ ǅ Ⱥ – 漢字 don't", " ".join(texts)]
     tokenizer, words = Tokenizer.from_file(packing.vocabulary()), packing.Words(packing.vocabulary())
     monkeypatch.setattr(packing, "RUN", 500)
     monkeypatch.setattr(packing, "CHARS", 3000)
