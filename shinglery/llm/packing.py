@@ -11,14 +11,14 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import string
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +27,25 @@ from shinglery.llm.mixing import ranged, running
 
 # Ids a sequence holds, and the id that ends a document.
 LENGTH, END = 2048, 1
-#: Bytes of words, and of parts of words, that a worker remembers in each of two generations.
-REMEMBERED = 32 << 20
-#: Characters of texts, and parts of a text, that are looked through for new parts at a time.
-CHARS, RUN = 1 << 20, 1 << 16
+#: Bytes of words of other scripts that a worker remembers in each of two generations, and of parts of words in arrays.
+REMEMBERED, REMEMBERED_PARTS = 32 << 20, 16 << 20
+#: Bytes of texts, and their words of other scripts, that are looked up at a time.
+CHARS, RUN = 4 << 20, 1 << 16
+#: Symbols of new parts that are merged at a time.
+CELLS = 1 << 19
 #: Up to so many places (40 bytes each) are broadcast.
 SLOTS = 200_000
-PUNCTUATION = string.punctuation
-BEYOND_LATIN = re.compile("[^\x00-\u024f]").search
-#: Characters whose lower case, letters and numbers the pattern below does not know.
-OTHERS = re.compile("[^\x00-\u012f\u0131-\u017f]").search
-_OF = {kind: "".join([chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind]) for kind in "LN"}
-#: The vocabulary's pattern over the rest, in which white space has six and two characters.
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_OF['L']}]+|[{_OF['N']}]|[^\t-\r \x85\xa0{_OF['L']}{_OF['N']}]+").findall
+#: What the vocabulary's pattern tells apart: `'s|'t|'re|'ve|'m|'ll|'d|letters+|number|others+`, between white space of
+#: six and two characters; and words that are left to the tokenizer.
+SPACE, LETTER, NUMBER, OTHER, WORD = range(5)
+_LATIN = [chr(c) for c in range(0x180)]
+_KINDS = np.array([SPACE if c in "\t\n\v\f\r \x85\xa0" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in _LATIN], np.uint8)
+_LOWER = np.array([ord(c.lower()[0]) for c in _LATIN], np.uint16)
+#: Kinds and lower case by byte; characters of two bytes are looked up by their number.
+_KIND_BYTES = bytes(_KINDS[:128]) + bytes([OTHER] * 128)
+_LOWER_BYTES = bytes(range(256)).lower()
+_SOLID = bytes([b not in b"\t\n\v\f\r " for b in range(256)])
+_BLANK = re.compile(b"[\t-\r ]").search
 
 
 def _ids_bytes(ids: list[int]) -> bytes:
@@ -89,21 +95,25 @@ class Merges:
         at = np.minimum(np.searchsorted(self.pairs, pair), self.pairs.size - 1)
         return np.where(self.pairs[at] == pair, self.ranks[at] << 6, self.NONE)
 
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Words of 1 to WIDEST bytes."""
-        out: dict[int, bytes] = {}
-        sizes = np.array([len(w) for w in words])
+    def ids(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has. Words are 1 to WIDEST bytes of `data`."""
+        counts, done = np.zeros(sizes.size, np.int64), []
         for least, most in ((0, 8), (8, 12), (12, 20), (20, self.WIDEST)):
             rows = np.flatnonzero((sizes > least) & (sizes <= most))
-            if rows.size:
-                out |= zip(rows.tolist(), self._merged([words[i] for i in rows.tolist()], sizes[rows]), strict=True)
-        return [out[i] for i in range(len(words))]
-
-    def _merged(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
-        n, wide = len(words), int(sizes.max())
+            for lo in range(0, rows.size, CELLS // most):
+                own = rows[lo : lo + CELLS // most]
+                found, counts[own] = self._merged(data, starts[own], sizes[own])
+                done.append((own, found))
+        first = np.cumsum(counts) - counts
+        ids = np.empty(int(counts.sum()), np.uint32)
+        for own, found in done:
+            ids[spread(first[own], counts[own])] = found
+        return ids, counts
+
+    def _merged(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, wide = sizes.size, int(sizes.max())
         places = np.arange(wide + 1)[:, None]
-        data = np.zeros((wide + 1, n), np.int64)
-        data[:wide] = np.frombuffer(b"".join([w.ljust(wide, b"\0") for w in words]), np.uint8).reshape(n, wide).T
+        data = np.where(places < sizes, text.take(starts + places, mode="clip"), 0).astype(np.int64)
         kind = data * 2 + (places == sizes - 1)
         held = places < sizes
         best = np.full((wide + 1, n), self.NONE)
@@ -128,86 +138,206 @@ class Merges:
             left = np.concatenate([at.take(has), lead.take(led)])
             ranks = self._rank(symbols.take(left), np.concatenate([symbols.take(follow.take(has)), made.take(led)]))
             flat[left] = np.where(ranks < self.NONE, ranks | (left // n).astype(np.int32), ranks)
-        found = symbols.reshape(wide + 1, n).T[held.T].astype("<u4").tobytes()
-        stops = (4 * np.cumsum(held.sum(0))).tolist()
-        return [found[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+        return symbols.reshape(wide + 1, n).T[held.T].astype(np.uint32), held.sum(0)
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers `starts[i]`, `starts[i] + 1`, ..., `counts[i]` of them for each i."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if ends.size else 0)
+
+
+class Parts:
+    """Ids of parts of words, kept in arrays of about `most` bytes: beyond that the half goes that was used longest ago.
+    Parts above the widest that can be merged are made one by one by `make` and not remembered."""
+
+    #: Bytes of a part besides its characters and its ids.
+    ENTRY = 8 + 8 + 8 + 4
+
+    def __init__(self, make: Callable[[str], bytes], merges: Merges | None, most: int):
+        self.make, self.merges, self.most, self.held, self.turn = make, merges, most, 0, 0
+        self.keys = pa.array([], pa.large_binary())
+        self.ids, self.counts, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.starts = self.counts
+
+    def _new(self, keys: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.merges and sizes.size and sizes.max() <= Merges.WIDEST:
+            ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys)]
+            return self.merges.ids(np.frombuffer(keys.buffers()[2], np.uint8), ends, sizes)
+        made = [self.make(k.decode()) for k in keys.to_pylist()]
+        return np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made], np.int64)
+
+    def of(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them and how many are those of each key; keys are different."""
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        sizes = pc.binary_length(keys).to_numpy()
+        self.turn += 1
+        self.used[at[at >= 0]] = self.turn
+        known = self.counts.size
+        for wide in (False, True):
+            new = np.flatnonzero((at < 0) & ((sizes > Merges.WIDEST) == wide))
+            own = keys.take(pa.array(new))
+            ids, counts = self._new(own, sizes[new])
+            at[new] = np.arange(new.size) + self.counts.size
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            if not wide:
+                known = self.counts.size
+                self.keys, self.used = pa.concat_arrays([self.keys, own]), np.concatenate([self.used, np.full(new.size, self.turn, np.int32)])
+                self.held += int(sizes[new].sum()) + 4 * ids.size + self.ENTRY * new.size
+        self.starts = np.cumsum(self.counts) - self.counts
+        found = self.ids, self.starts[at], self.counts[at]
+        self._keep(np.arange(known) if self.held <= self.most else np.flatnonzero(self.used > np.median(self.used)))
+        return found
+
+    def _keep(self, rows: np.ndarray) -> None:
+        if rows.size == self.counts.size:
+            return
+        self.ids, self.counts = self.ids[spread(self.starts[rows], self.counts[rows])], self.counts[rows]
+        if rows.size < len(self.keys):
+            self.keys, self.used = self.keys.take(pa.array(rows)), self.used[rows]
+            self.held = int(pc.sum(pc.binary_length(self.keys)).as_py() or 0) + 4 * self.ids.size + self.ENTRY * rows.size
 
 
 class Words:
-    """Ids of texts. White space always ends a token of this vocabulary, so words are looked up one by one.
+    """Ids of texts. White space always ends a token of this vocabulary.
 
-    Texts of Latin letters are lower-cased and split into parts here as the tokenizer would, and new parts of many texts
-    are merged at once. Of other texts a new word of Latin letters, with punctuation behind or not, is treated
-    likewise, and other new words go through the whole tokenizer. Ids are kept as little-endian 32-bit bytes, in
-    generations of bounded size.
+    Latin letters are lower-cased and split into parts here as the tokenizer would, in arrays over many texts; each
+    different part is looked up once, and new ones are merged at once. Words that hold a special token or another
+    character go through the whole tokenizer. What is remembered has a bounded size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.merges = self.tokenizer.model, Merges.of(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Memory(self._new, REMEMBERED)
-        self.parts = Memory(self._made, REMEMBERED)
+        self.model = self.tokenizer.model
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = Memory(self._word, REMEMBERED)
+        self.parts = Parts(self._made, Merges.of(path), REMEMBERED_PARTS)
 
     def _made(self, part: str) -> bytes:
         spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTE_CHARS)
         return _ids_bytes([t.id for t in self.model.tokenize(spelt)])
 
-    def _new(self, word: bytes) -> bytes:
-        text = word.decode()
-        if text.isascii() or not BEYOND_LATIN(text):
-            low = text.lower()
-            letters = low.rstrip(PUNCTUATION)
-            if letters.isalpha():
-                return self.parts[low] if len(letters) == len(low) else self.parts[letters] + self.parts[low[len(letters) :]]
-            if not letters:
-                return self.parts[low]
-        return _ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _found(self, runs: list[list[str]]) -> dict[str, bytes]:
-        """Ids of the parts of some runs. A small dictionary is looked up faster than a large one, once for each part."""
-        known, old, every = self.parts, self.parts.old, set().union(*runs)
-        held = every & known.keys()
-        again = (every - held) & old.keys()
-        found = dict(zip(held, map(known.__getitem__, held), strict=True))
-        known.put(again := list(again), values := list(map(old.__getitem__, again)))
-        found.update(zip(again, values, strict=True))
-        new = {p: data for p in every - found.keys() if len(data := p.encode()) <= Merges.WIDEST} if self.merges else {}
-        if new:
-            known.put(list(new), values := self.merges.ids(list(new.values())))
-            found.update(zip(new, values, strict=True))
-        found.update((p, known[p]) for p in every - found.keys())
-        self.parts = known.aged()
-        return found
+    def _word(self, word: bytes) -> bytes:
+        return _ids_bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
-    def _words(self, words: list[bytes]) -> bytes:
-        found = self.words
-        ids = b"".join([found[w] for w in words])
-        self.words, self.parts = found.aged(), self.parts.aged()
-        return ids
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(words), RUN):
+            out += map(self.words.__getitem__, words[lo : lo + RUN])
+            self.words = self.words.aged()
+        return out
+
+    def _apart(self, raw: bytes, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in words that are left to the tokenizer: characters beyond Latin or of no valid form, the capital I
+        with a dot, whose lower case is two characters, and special tokens. Then where characters of two bytes begin."""
+        high = np.flatnonzero(data >= 0x80)
+        b, c = data[high], data.take(high + 1, mode="clip")
+        lead = (b >= 0xC2) & (b <= 0xC5)
+        paired = lead & (c & 0xC0 == 0x80) & ~first[high + 1]
+        after = np.zeros(high.size, bool)
+        after[1:] = paired[:-1] & (high[1:] == high[:-1] + 1)
+        places = [high[~(paired | after & (b < 0xC0)) | paired & (b == 0xC4) & (c == 0xB0)]]
+        for x in self.special:
+            at = raw.find(x)
+            while at >= 0:
+                places.append(np.array([at]))
+                at = raw.find(x, at + 1)
+        return np.concatenate(places), high[paired]
+
+    def _split(self, raw: bytes, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The parts of some texts, which of them are words left to the tokenizer, and how many lie before each bound."""
+        data, size = np.frombuffer(raw, np.uint8), len(raw)
+        low, kinds = np.frombuffer(bytearray(raw.translate(_LOWER_BYTES)), np.uint8), np.frombuffer(bytearray(raw.translate(_KIND_BYTES)), np.uint8)
+        first = np.zeros(size + 1, bool)
+        first[bounds] = True
+        apart, lead = self._apart(raw, data, first)
+        char = ((data[lead] & 0x1F).astype(np.uint16) << 6) | (data[lead + 1] & 0x3F)
+        kinds[lead] = kinds[lead + 1] = _KINDS[char]
+        low[lead], low[lead + 1] = 0xC0 | (_LOWER[char] >> 6), 0x80 | (_LOWER[char] & 0x3F)
+        starts = first[:-1] | (kinds == NUMBER)
+        starts[1:] |= kinds[1:] != kinds[:-1]
+        starts[lead + 1] = False
+        self._contractions(low, kinds, starts, first)
+        if apart.size:
+            solid = np.frombuffer(raw.translate(_SOLID), np.bool_)
+            begins = solid & (first[:-1] | ~np.concatenate([[False], solid[:-1]]))
+            begins = np.append(np.flatnonzero(begins), size)
+            own = np.unique(np.searchsorted(begins, apart, "right") - 1)
+            within = np.zeros(size + 1, np.int8)
+            within[begins[own]] += 1
+            within[begins[own + 1]] -= 1
+            within = np.cumsum(within[:-1], dtype=np.int8).astype(bool) & solid
+            low[within], kinds[within], starts[within] = data[within], WORD, False
+            starts[begins[own]] = True
+        held = kinds != SPACE
+        places = np.flatnonzero(starts & held)
+        low = low[held]
+        ends = np.append(np.flatnonzero(starts[held]), low.size)
+        parts = pa.Array.from_buffers(pa.large_binary(), places.size, [None, pa.py_buffer(ends), pa.py_buffer(low)])
+        return parts, kinds[places] == WORD, np.searchsorted(places, bounds)
+
+    @staticmethod
+    def _contractions(low: np.ndarray, kinds: np.ndarray, starts: np.ndarray, first: np.ndarray) -> None:
+        """An apostrophe that begins a part takes some letters behind it along; the rest is a part of its own."""
+        at = np.flatnonzero(low[:-1] == ord("'"))
+        at = at[starts[at] & (kinds[at + 1] == LETTER) & ~first[at + 1]]
+        one, two = low[at + 1], np.where(at + 2 < low.size, low.take(at + 2, mode="clip"), 0)
+        two[starts.take(at + 2, mode="clip")] = 0
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        for own, n in ((at[np.isin(one, list(b"stmd"))], 2), (at[long], 3)):
+            starts[own + 1] = False
+            rest = own + n
+            starts[rest[rest < low.size]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        end, out, at = END.to_bytes(4, "little"), [], 0
+        return list(self.column(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary())))
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text with the end's, as little-endian 32-bit bytes; null texts are empty."""
+        texts = texts.cast(pa.large_binary())
+        texts = texts.fill_null(b"") if texts.null_count else texts
+        if not len(texts):
+            return
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        held = memoryview(texts.buffers()[2] or b"")
+        end, at = END.to_bytes(4, "little"), 0
         while at < len(texts):
-            chars, upto = len(texts[at]), at + 1
-            while upto < len(texts) and chars + len(texts[upto]) <= CHARS:
-                chars, upto = chars + len(texts[upto]), upto + 1
-            parts = {i: PARTS(t.lower()) for i, t in enumerate(texts[at:upto], at) if not OTHERS(t) and not any(x in t for x in self.special)}
-            found = self._found([own for own in parts.values() if len(own) <= RUN])
-            for i in range(at, upto):
-                own = parts[i] if i in parts else texts[i].encode("utf-8", "replace").split()
-                runs = [own[lo : lo + RUN] for lo in range(0, len(own), RUN)] if len(own) > RUN else [own]
-                if i not in parts:
-                    ids = [self._words(run) for run in runs]
-                elif len(runs) == 1:
-                    ids = [b"".join([found[p] for p in own])]
-                else:
-                    ids = [b"".join(map(self._found([run]).__getitem__, run)) for run in runs]
-                out.append(b"".join([*ids, end]))
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHARS, "right")) - 1)
+            ids: list[list[bytes]] = [[] for _ in range(at, upto)]
+            lo, last = int(offsets[at]), int(offsets[upto])
+            while True:
+                # A text above CHARS is cut behind white space.
+                blank = _BLANK(held, lo + CHARS, last) if last - lo > CHARS else None
+                stop = blank.end() if blank else last
+                bounds = np.array([0, stop - lo]) if upto == at + 1 else offsets[at : upto + 1] - lo
+                for own, found in zip(ids, self._found(bytes(held[lo:stop]), bounds), strict=True):
+                    own.append(found)
+                lo = stop
+                if lo == last:
+                    break
+            yield from (b"".join([*own, end]) for own in ids)
             at = upto
-        return out
+
+    def _found(self, raw: bytes, bounds: np.ndarray) -> list[bytes]:
+        """Ids of the texts between bounds."""
+        parts, apart, before = self._split(raw, bounds)
+        coded = parts.dictionary_encode()
+        codes, keys = coded.indices.to_numpy(), coded.dictionary
+        word = np.zeros(len(keys), bool)
+        word[codes[apart]] = True
+        starts, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        ids, starts[~word], counts[~word] = self.parts.of(keys.filter(pa.array(~word)) if word.any() else keys)
+        if word.any():
+            more = self._words(keys.filter(pa.array(word)).to_pylist())
+            counts[word] = [len(x) // 4 for x in more]
+            starts[word] = ids.size + np.cumsum(counts[word]) - counts[word]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
+        counts = counts[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])[before] * 4
+        flat = ids.take(spread(starts[codes], counts)).astype("<u4", copy=False).tobytes()
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def words_of(path: str) -> Words:
@@ -222,13 +352,13 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part, rows = b.slice(lo, 128), []
-                for i, ids in enumerate(words.encode([x or "" for x in part.column(1).to_pylist()])):
-                    total = len(ids) // 4
-                    rows += [(i, s, min(length, total - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), total) for s in range(0, total, length)]
+            rows = []
+            for i, ids in enumerate(words.column(b.column(1))):
+                total = len(ids) // 4
+                rows += [(i, s, min(length, total - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), total) for s in range(0, total, length)]
+            if rows:
                 at, *cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *[pa.array(c, pa.int64()) for c in cols]], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array(c, pa.int64()) for c in cols]], names)
 
     return docs.select(key, text).mapInArrow(cut, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -10,6 +10,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sqlcheck import rows_of_sql
@@ -521,3 +522,37 @@ def test_new_parts_are_merged_at_once(monkeypatch):
     words.parts.make = asked.append
     short = [t[:30].replace("İ", "i") for t in texts[:403]]
     assert words.encode(short) == [packing._ids_bytes([*tokenizer.encode(t, add_special_tokens=False).ids, packing.END]) for t in short] and not asked
+
+
+def test_parts_are_looked_up_in_arrays(monkeypatch):
+    """A memory of a megabyte holds 16,000 parts, so that a second pass merges none, and forgets beyond that; of a text with
+    one other character the tokenizer is asked for that word alone; texts of a batch and runs of a long text stay apart."""
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(packing.vocabulary()), packing.Words(packing.vocabulary())
+    want = lambda texts: [packing._ids_bytes([*tokenizer.encode(t, add_special_tokens=False).ids, packing.END]) for t in texts]
+    rng, asked, merged = random.Random(13), [], packing.Merges.ids
+    monkeypatch.setattr(packing.Merges, "ids", lambda self, *a: asked.append(1) or merged(self, *a))
+    words.parts.most = 1 << 20
+    texts = [" ".join("".join(rng.choice("abdeilmnorst") for _ in range(6)) for _ in range(1000)) for _ in range(16)]
+    first = [words.encode([t])[0] for t in texts]
+    assert first == want(texts) and asked
+    asked.clear()
+    assert [words.encode([t])[0] for t in texts] == first and not asked
+    words.parts.most = 1 << 18
+    assert [words.encode([t])[0] for t in texts[::-1]] == first[::-1] and words.parts.held <= 1 << 18
+
+    make = words.words.make
+    words.words.make = lambda word: asked.append(word) or make(word)
+    asked.clear()
+    mixed = texts[0] + " “漢字’s " + texts[1]
+    assert words.encode([mixed]) == want([mixed]) and asked == ["“漢字’s".encode()]
+
+    small = ["'", "s", "re", "ve", "ll", "l", "r", "e", "d", " ", "a", "1", "½", "É", ".", "’", "İ", "\xa0", "\u0301", "<|endoftext|>", "<|"]
+    odd = ["".join(rng.choice(small) for _ in range(rng.randrange(9))) for _ in range(5000)] + ["", "'", "s", "<|endof", "text|>"]
+    assert words.encode(odd) == want(odd) and words.encode([""]) == want([""]) and words.encode([]) == []
+    monkeypatch.setattr(packing, "CHARS", 300)
+    monkeypatch.setattr(packing, "CELLS", 512)
+    assert words.encode([*odd, " ".join(odd)]) == want([*odd, " ".join(odd)])
+    with pytest.raises(UnicodeDecodeError):
+        list(words.column(pa.array([b"ab \xc3 c"])))
